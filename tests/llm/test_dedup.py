@@ -68,10 +68,10 @@ def brute_print(text, k=3):
 
 @pytest.mark.parametrize("text", [None, "", " \n", "One", "Ab cD", "É a b C d", "x y z", "a b c d e f a b c", "w " * 70000])
 def test_fingerprint(text):
-    assert simhash.fingerprint(text) % (1 << 64) == brute_print(text)
+    assert simhash.fingerprint(text)[0] % (1 << 64) == brute_print(text)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5, 12])
 def test_linked_is_exact(radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -79,12 +79,12 @@ def test_linked_is_exact(radius):
     rng.shuffle(values)
     key = np.sort(rng.integers(0, 3, len(values)))
     u, v = simhash.linked([key], values, radius)
-    edges, where = [], {int(x): i for i, x in enumerate(values)}
+    edges = []
     for i in range(len(values)):
         for j in range(i + 1, len(values)):
             if key[i] == key[j] and bin(int(values[i] ^ values[j])).count("1") <= radius:
                 edges.append((i, j))
-    got = [(where[int(a)], where[int(b)]) for a, b in zip(u, v)]
+    got = list(zip(u, v))
     assert brute_components(len(values), got) == brute_components(len(values), edges)
     assert len(got) < len(values) and all(e in set(edges) or e[::-1] in set(edges) for e in got)
 
@@ -113,7 +113,7 @@ def test_simhash_classes(spark):
             least[c] = min(least.get(c, d), d)
     want = sorted(((str(d), least.get(c)) for (d, _), c in zip(rows, comp)), key=str)
     assert sorted(((str(r.doc_id), r.component_id) for r in got), key=str) == want
-    kept = simhash.kept_rows(docs, shingle=3)
+    kept = simhash.kept_rows(docs, shingle=3, radius=3, words=1)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect() if r.doc_id is not None} == set(least.values())
     assert simhash.classes(docs.limit(0)).count() == 0
 
@@ -123,8 +123,24 @@ def test_crowded_keys_are_cut_exactly(spark, monkeypatch):
     base = int(rng.integers(0, 1 << 62))
     values = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 20, (60, 2))})
     monkeypatch.setattr(simhash, "CHUNK", 7)
-    got = graph.connected_components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()
+    got = graph.connected_components(simhash.links(spark.createDataFrame([(v, v) for v in values], "node long, fp0 long"))).collect()
     edges = [(i, j) for i in range(len(values)) for j in range(i) if bin(values[i] ^ values[j]).count("1") <= 3]
     comp = brute_components(len(values), edges)
     label = {r.node: r.component for r in got}
     assert all((label.get(a, a) == label.get(b, b)) == (comp[i] == comp[j]) for i, a in enumerate(values) for j, b in enumerate(values))
+
+
+def test_wide_fingerprints_find_similar_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows, close = [], []
+    for i in range(60):
+        t = [rng.choice(words) for _ in range(150)]
+        u = list(t)
+        for _ in range(2):
+            u[rng.randrange(len(u))] = "changed"
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(u))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.kept_rows(docs).collect()
+    ids = {r.doc_id for r in got}
+    assert {2 * i for i in range(60)} <= ids and len(ids) <= 62
