@@ -59,6 +59,20 @@ class RankQueue:
         return rank, at
 
 
+class _Memo(dict):
+    """Ids of pieces, found when first met; forgets all when ``most`` are held."""
+
+    def __init__(self, find, most: int):
+        super().__init__()
+        self._find, self._most = find, most
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= self._most:
+            self.clear()
+        self[piece] = found = self._find(piece.encode("utf-8"))
+        return found
+
+
 class Encoder:
     """Encoding by a table of ranks (token bytes -> id), and decoding.
 
@@ -72,8 +86,7 @@ class Encoder:
         self.tokens = {i: b for b, i in ranks.items()}
         self.names = {i: str(i) for i in self.tokens}
         self.queue = RankQueue(max(ranks.values(), default=0))
-        self._memo: dict[str, tuple[int, ...]] = {}
-        self._most = memo
+        self._memo = _Memo(self.piece, memo)
 
     def piece(self, b: bytes) -> tuple[int, ...]:
         """Ids of one piece."""
@@ -116,14 +129,7 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; null is empty."""
-        pieces, memo = self.split(text or ""), self._memo
-        new = set(pieces).difference(memo)
-        if len(memo) + len(new) > self._most:
-            memo.clear()
-            new = set(pieces)
-        for p in new:
-            memo[p] = self.piece(p.encode("utf-8"))
-        return list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        return list(chain.from_iterable(map(self._memo.__getitem__, self.split(text or ""))))
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that ids stand for; an id outside the table is an error."""
