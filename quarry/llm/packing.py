@@ -28,12 +28,32 @@ MEMO = 1_000_000
 _PARTITION_BITS, _PLACE_BITS = 21, 37
 
 
+class _Memo(dict):
+    """Ids of pieces, asked for when first met; forgets all when ``MEMO`` are held, to bound a worker's memory."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self._ask = ask
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        self[piece] = found = self._ask(piece)
+        return found
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level models write each byte: itself if it prints, else the next free one from 256 on."""
+    prints = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    free = iter(range(256, 512))
+    return {b: chr(b if b in prints else next(free)) for b in range(256)}
+
+
 class Tokens:
     """Token ids of texts by a tokenizers file, as little-endian uint32 bytes.
 
-    A byte-level tokenizer encodes each piece of its split on its own, so the ids of a
-    piece are asked for once and remembered, for at most ``MEMO`` pieces. Tokenizers of
-    other kinds encode whole texts.
+    A byte-level tokenizer encodes each piece of its split on its own, so the library's model
+    is asked for a piece once. Tokenizers of other kinds encode whole texts.
     """
 
     def __init__(self, table: str, pattern: str):
@@ -46,7 +66,8 @@ class Tokens:
         pre = said.get("pre_tokenizer") or {}
         alone = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not said.get("normalizer")
         self._split = Splitter(pattern) if alone else None
-        self._memo: dict[str, bytes] = {}
+        letters, model = _byte_letters(), self._tok.model
+        self._memo = _Memo(lambda p: np.array([t.id for t in model.tokenize(p.encode("utf-8").decode("latin-1").translate(letters))], "<u4").tobytes())
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -54,16 +75,8 @@ class Tokens:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self._split is None:
             return self._ids(texts)
-        memo, split = self._memo, [self._split(t) for t in texts]
-        new = set().union(*split).difference(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = set().union(*split)
-        new = list(new)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            memo.update(zip(part, self._ids(part)))
-        return [b"".join(map(memo.__getitem__, s)) for s in split]
+        of, split = self._memo.__getitem__, self._split
+        return [b"".join(map(of, split(t))) for t in texts]
 
 
 _TOKENS: dict[str, Tokens] = {}
