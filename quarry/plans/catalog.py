@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import retrieval_queries
+from quarry.plans import retrieval_queries, statistics_queries
 
-QUERIES = {**retrieval_queries.QUERIES}
-ORACLES = {**retrieval_queries.ORACLES}
+_PARTS = (retrieval_queries, statistics_queries)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+ORACLES = {k: s for p in _PARTS for k, s in p.ORACLES.items()}
