@@ -119,7 +119,7 @@ def table_rows(markdown: Column) -> Column:
 def compact_table(markdown: Column) -> Column:
     """A Markdown table without separator rows and empty cells."""
     lines = F.filter(F.split(markdown, "\n"), lambda x: ~x.rlike(r"^\s*\|(\s*:?-+:?\s*\|)+\s*$"))
-    cells = lambda x: F.filter(F.transform(F.split(x, r"\|"), F.trim), lambda c: c != "")
+    cells = lambda x: F.filter(F.transform(F.split(x, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
     return F.array_join(F.filter(F.transform(lines, lambda x: F.array_join(cells(x), " | ")), lambda x: x != ""), "\n")
 
 

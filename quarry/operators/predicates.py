@@ -45,11 +45,11 @@ def _matches(schema: T.StructType, field: str, values: Sequence) -> Column:
         return F.lit(False)
     if _is_array(schema, field):
         return F.coalesce(F.arrays_overlap(F.col(field), F.array(*map(F.lit, values))), F.lit(False))
-    return F.coalesce(F.col(field).isin(*values), F.lit(False))
+    return F.col(field).isin(*values)
 
 
-def compile_clauses(schema: T.StructType, clauses: Iterable[Clause], strict: bool = True, relaxed: Iterable[str] = ()) -> Column:
-    """One boolean Column, never null, that Parquet can push down where it is a plain comparison.
+def compile_clauses(schema: T.StructType, clauses: Iterable[Clause], strict: bool = True, relaxed: Iterable[str] = (), scan: bool = False) -> Column:
+    """One boolean Column, never null; or with ``scan``, for a filter, one that may be null for false, whose plain comparisons reach the Parquet scan.
 
     Included, strict: the value must match. Soft, or strict with the field in ``relaxed``: an empty field passes too.
     Excluded: matching rows go, empty fields stay. A fiscal year also matches by the label year,
@@ -60,14 +60,15 @@ def compile_clauses(schema: T.StructType, clauses: Iterable[Clause], strict: boo
         hit = _matches(schema, c.field, c.values)
         by_label = hit | _matches(schema, LABEL_YEAR, c.values) if c.field == YEAR else hit
         if not c.include:
-            parts.append(~by_label)
+            parts.append(~F.coalesce(by_label, F.lit(False)))
         elif not strict:
             parts.append(by_label | is_empty(schema, c.field))
         elif c.field in relaxed:
             parts.append(hit | is_empty(schema, c.field))
         else:
             parts.append(by_label)
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+    every = reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+    return every if scan else F.coalesce(every, F.lit(False))
 
 
 def without_periods(clauses: Iterable[Clause]) -> list[Clause]:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import retrieval_queries, statistics_queries, text_queries
+from quarry.plans import plan_queries, retrieval_queries, statistics_queries, text_queries
 
-_PARTS = (retrieval_queries, statistics_queries, text_queries)
+_PARTS = (retrieval_queries, plan_queries, statistics_queries, text_queries)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLES = {k: s for p in _PARTS for k, s in p.ORACLES.items()}
