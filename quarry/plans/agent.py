@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import ranking
+from quarry.sources.storage import checkpoint_folder
 
 #: Limits of a run: sub-questions of a plan, waves of execution.
 MAX_TODOS, MAX_WAVES = 7, 8
@@ -33,6 +34,7 @@ def wave_numbers(plan: DataFrame) -> DataFrame:
 
 def run_waves(plan: DataFrame, execute: Callable[[DataFrame, DataFrame | None], DataFrame], waves: int = MAX_WAVES) -> DataFrame:
     """Rows of ``execute(ready, found so far)`` of all waves. A wave's rows are checkpointed, so the plan of a late wave does not hold the earlier ones."""
+    checkpoint_folder(plan.sparkSession)
     numbered = wave_numbers(plan).checkpoint()
     last = numbered.agg(F.max("wave")).first()[0]
     found = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,14 @@ def key_values(text: DataFrame, id_col: str = "path", text_col: str = "text") ->
     number = F.regexp_replace(F.regexp_extract(raw, r"^\$?(-?[0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "").try_cast("double")
     unit = F.when(raw.endswith("%"), F.lit("percent")).when(raw.rlike(r"[0-9]T$"), F.lit("T")).when(raw.rlike(r"[0-9]B$"), F.lit("B")).when(raw.rlike(r"[0-9]M$"), F.lit("M"))
     return pairs.select(id_col, "section", F.trim(F.regexp_extract("line", r"^([^:]+):", 1)).alias("field"), raw.alias("raw"), number.alias("value"), unit.alias("unit"))
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names; one is made and set only where it names none, as in tests."""
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    sc.setCheckpointDir(named)
+    return named

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text
 from quarry.operators import lines, ranking, search
 from quarry.operators.predicates import cascade, clause, compile_clauses, without_periods
+from quarry.plans import agent, retrieve
 from quarry.sources import html, storage
 from quarry.streaming import incremental
 
@@ -194,3 +195,23 @@ def test_storage(spark, tmp_path):
     (tmp_path / "f" / "b.md").write_text("no")
     assert [r.hash for r in storage.discover(spark, str(tmp_path / "f")).collect()] == ["49f68a5c8493ec2c0bf489821c21fc3b"]
     assert storage.read_records(spark, str(tmp_path / "none.json")) is None
+
+
+def test_waves_see_what_earlier_ones_found(spark):
+    plan = spark.createDataFrame([(1, 0, "a", None), (1, 1, "b", 0), (1, 2, "c", 1), (2, 0, "d", None)], "query_id int, id int, task string, depends_on int")
+
+    def execute(ready, found):
+        base = ready.select("query_id", "id", "wave", F.col("task").alias("ticker"), F.col("depends_on").alias("of"))
+        if found is None:
+            return base.select("query_id", "id", "wave", "ticker", F.lit(1).alias("rank"))
+        parent = agent.parent_entities(found).withColumnRenamed("id", "of")
+        return base.join(parent, ["query_id", "of"]).select("query_id", "id", "wave", F.concat("entity", "ticker").alias("ticker"), F.lit(1).alias("rank"))
+
+    got = {(r.query_id, r.id): (r.wave, r.ticker) for r in agent.run_waves(agent.todos(plan), execute).collect()}
+    assert got == {(1, 0): (0, "a"), (1, 1): (1, "ab"), (1, 2): (2, "abc"), (2, 0): (0, "d")}
+
+
+def test_evidence_text(spark):
+    rows = spark.createDataFrame([(1, 2, 7, "f2"), (1, 1, 9, "f1")], "query_id int, rank int, doc_id int, source string")
+    corpus = spark.createDataFrame([(7, "seven"), (9, "nine")], "doc_id int, text string")
+    assert retrieve.evidence_text(rows, corpus).first().prompt == "[Reference 1: f1, chunk #9]\nnine\n\n[Reference 2: f2, chunk #7]\nseven"
