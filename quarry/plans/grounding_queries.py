@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import positional
+from quarry.functions import positional, units
 from quarry.operators import grounding
 from quarry.operators.search import importable
 from quarry.plans.text_queries import literal as frame
@@ -55,3 +55,13 @@ def positional_matches(spark, d):
     return t.select("id", F.array_join(p.cast("array<string>"), "|").alias("percents"), positional.published_in(F.col("body"), F.col("as_of")).cast("string").alias("day"))
 
 
+
+
+_AMOUNTS = [(1, "Revenue $1.5 billion, 300 million users"), (2, "US$2,000 mn（約 20 億美元）"), (3, "15 億美元（$1.5 billion） rose"), (4, "$3.2B and $45M"), (5, None), (6, "12 trillion USD")]
+
+
+@query("""SELECT * FROM (VALUES (1, 'Revenue 15 億美元（$1.5 billion）, 3 億（300 million） users', 0), (2, '20 億美元（US$2,000 mn）', 1), (3, '15 億美元（$1.5 billion） rose', 1), (4, '32 億美元（$3.2 billion） and 0.45 億美元（$45 million）', 0), (5, '', 0), (6, '120,000 億美元（$12 trillion）', 0)) v(id, text, removed)""")
+def unit_conversion(spark, d):
+    importable(spark)
+    done = frame(spark, _AMOUNTS, "id int, body string").withColumn("f", units.finalised(F.col("body")))
+    return done.select("id", "f.text", "f.removed")
