@@ -1,21 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models over bytes.
 
 Two interpolated Kneser-Ney models of order six, one of the toxic and one of the
-ordinary labelled texts. Below its own counts each falls back to the same model of
-order six of both classes together, and that to continuation counts of both:
+ordinary labelled texts. Each has counts of its own down to order three, continuation counts
+below the top; below that both share the continuation counts of all texts:
 
-    P_k(w | h5) = max(c_k(h5 w) - D_k(c), 0) / c_k(h5) + left_k(h5) * P(w | h5)
-    P(w | h5): the same on the counts of both classes; P(w | h4), P(w | h3), P(w) on continuation counts
+    P_k(w | h5) = max(c_k(h5 w) - D(c), 0) / c_k(h5) + left_k(h5) * P_k(w | h4), and so on
+    P_k(w | h1) = P(w | h1): the same on continuation counts of both classes; P(w) likewise
 
-The discounts of a class depend on the count (one, two, more) and come from its counts
-of counts, so an expression that one text happens to use says little: what it has seen
+The discounts depend on the count (one, two, more) and come from each class's counts
+of counts, so an expression that one text happens to use says little: what a class has seen
 once it mostly takes from the shared counts, as does the class that has not seen it.
 
 What a text needs of the two models is the log ratio at each byte: one number per
-six-gram, and for six-grams never seen one per context. All labelled texts of the
-training folds are counted, as a table of distinct six-grams. Executors score with the
-ratios hashed into tables of fixed size (``GRAM_BITS``, ``CONTEXT_BITS``), whose
-entries are means weighted by count; only they are broadcast.
+six-gram. A six-gram that no labelled text has gets its probability from the shared
+counts in both models; what would be left of the ratio is how much text the classes
+have, so it counts as 0. All labelled texts of the training folds are counted, as a table of
+distinct six-grams. Executors score with the ratios hashed into a table of fixed size
+(2**``GRAM_BITS``), whose entries are means weighted by count; only it is broadcast.
 
 A document is compared by length-normalised ratios: of the whole text, of windows
 of ``WINDOW`` bytes and of single words, since a long text may be abusive in one place. A
@@ -30,16 +31,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.labels import fold, truth
-from quarry.llm.scratch import importable, stored
+from quarry.llm.scratch import importable, release, stored
 
 ORDER = 6
 DISCOUNT = 0.75
 WINDOW = 64
-GRAM_BITS, CONTEXT_BITS = 22, 20
+GRAM_BITS = 22
 #: Rows of the calibration fold that the logistic function is fitted on, at most.
 CALIBRATION_ROWS = 20_000
 _PAD = b"\x00" * (ORDER - 1)
@@ -103,49 +104,59 @@ def counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("g").agg(F.sum("ct").alias("ct"), F.sum("co").alias("co"))
 
 
-def _discounts(table: DataFrame, c: str) -> tuple[float, float, float]:
-    """What is taken from counts of one, two and more, by the counts of counts (Chen and Goodman, 1998)."""
-    n1, n2, n3, n4 = table.agg(*[F.count_if(F.col(c) == i) for i in (1, 2, 3, 4)]).first()
-    if not (n1 and n2 and n3):
-        return DISCOUNT, DISCOUNT, DISCOUNT
-    y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(d, 0.1), i - 0.02) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
+def _discounts(table: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """What is taken from counts of one, two and more in each class, by the counts of counts (Chen and Goodman, 1998)."""
+    counted = table.agg(*[F.count_if(F.col(c) == i) for c in ("ct", "co") for i in (1, 2, 3, 4)]).first()
+    out = {}
+    for c, (n1, n2, n3, n4) in (("ct", counted[:4]), ("co", counted[4:])):
+        if n1 and n2 and n3:
+            y = n1 / (n1 + 2 * n2)
+            out[c] = tuple(min(max(d, 0.1), i - 0.02) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
+        else:
+            out[c] = (DISCOUNT,) * 3
+    return out
+
+
+def _low(n: int) -> Column:
+    return F.col("g").bitwiseAND(F.lit(_LOW[n]))
 
 
-def _level(ends: DataFrame, lower: DataFrame, low_key, *more: str) -> DataFrame:
-    """Shared probabilities of seen n-grams ``ends(g, c)``: discounted, plus the share left times ``lower(k, p)``."""
-    made = ends.withColumn("h", F.shiftright("g", 8))
-    stats = made.groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"))
-    with_stats = made.join(stats, "h").withColumn("k", low_key)
-    joined = with_stats.join(lower, "k")
-    return joined.select("g", *more, (F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("all") + DISCOUNT * F.col("kinds") / F.col("all") * F.col("p")).alias("p"))
+def _shared(ends: DataFrame, lower: DataFrame) -> DataFrame:
+    """(g, p) of seen pairs ``ends(g, c)``: discounted, plus the share left times ``lower(k, p)``."""
+    stats = ends.withColumn("h", F.shiftright("g", 8)).groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"))
+    joined = ends.withColumn("h", F.shiftright("g", 8)).withColumn("k", _low(1)).join(stats, "h").join(lower, "k")
+    return joined.select("g", (F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("all") + DISCOUNT * F.col("kinds") / F.col("all") * F.col("p")).alias("p"))
 
 
-def ratios(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From ``counts``: (g, n, r) of every seen six-gram, and (h, n, r) of every context, for six-grams unseen in it."""
-    low = lambda c, n: F.col(c).bitwiseAND(F.lit(_LOW[n]))
-    fives = table.groupBy(low("g", 5).alias("g")).agg(F.count("*").alias("c"))
-    fours = fives.groupBy(low("g", 4).alias("g")).agg(F.count("*").alias("c"))
-    ones = fours.groupBy(low("g", 1).alias("k")).agg(F.count("*").alias("c"))
+def _own(ends: DataFrame, n: int, lower: DataFrame) -> DataFrame:
+    """(g, ct, co, pt, po) of n-grams ``ends(g, ct, co)``: each class's probabilities over those of ``lower(k, pt, po)``."""
+    cut = _discounts(ends)
+    less = lambda c: F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, cut[c][0]).when(F.col(c) == 2, cut[c][1]).otherwise(cut[c][2])
+    marked = ends.withColumn("h", F.shiftright("g", 8))
+    stats = marked.groupBy("h").agg(*[f.alias(a) for c in ("ct", "co") for f, a in ((F.sum(c), f"all_{c}"), (F.sum(less(c)), f"left_{c}"))])
+    joined = marked.withColumn("k", _low(n - 1)).join(stats, "h").join(lower, "k")
+    of = lambda c, p: F.when(F.col(f"all_{c}") > 0, (F.col(c) - less(c) + F.col(f"left_{c}") * F.col(p)) / F.col(f"all_{c}")).otherwise(F.col(p))
+    return joined.select("g", "ct", "co", of("ct", "pt").alias("pt"), of("co", "po").alias("po"))
+
+
+def ratios(table: DataFrame) -> DataFrame:
+    """From ``counts``: (g, n, r) of every seen six-gram."""
+    levels = {ORDER: table}
+    for n in range(ORDER - 1, 2, -1):
+        levels[n] = levels[n + 1].groupBy(_low(n).alias("g")).agg(F.count_if(F.col("ct") > 0).alias("ct"), F.count_if(F.col("co") > 0).alias("co"))
+    twos = levels[3].groupBy(_low(2).alias("g")).agg(F.count("*").alias("c"))
+    ones = twos.groupBy(_low(1).alias("k")).agg(F.count("*").alias("c"))
     total = ones.agg(F.sum("c").alias("all"))
     single = F.broadcast(ones.crossJoin(F.broadcast(total)).select("k", ((F.col("c") + 0.5) / (F.col("all") + 128)).alias("p")))  # 256 rows at most
-    p4 = _level(fours, single, low("g", 1)).withColumnRenamed("g", "k")
-    p5 = _level(fives, p4, low("g", 4)).withColumnRenamed("g", "k")
-    cut = {c: _discounts(table, c) for c in ("ct", "co")}
-    less = lambda c: F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, cut[c][0]).when(F.col(c) == 2, cut[c][1]).otherwise(cut[c][2])
-    left = lambda c: F.when(F.sum(c) > 0, F.sum(less(c)) / F.sum(c)).otherwise(F.lit(1.0))
-    contexts = table.groupBy(F.shiftright("g", 8).alias("h")).agg(F.sum("ct").alias("at"), F.sum("co").alias("ao"), left("ct").alias("lt"), left("co").alias("lo"))
-    p6 = _level(table.select("g", (F.col("ct") + F.col("co")).alias("c"), "ct", "co"), p5, low("g", 5), "ct", "co")
-    top = p6.withColumn("h", F.shiftright("g", 8)).join(contexts, "h")
-    own = lambda c, a: F.when(F.col(a) > 0, (F.col(c) - less(c)) / F.col(a)).otherwise(F.lit(0.0))
-    r = F.log(own("ct", "at") + F.col("lt") * F.col("p")) - F.log(own("co", "ao") + F.col("lo") * F.col("p"))
-    seen = top.select("g", (F.col("ct") + F.col("co")).alias("n"), r.alias("r"))
-    unseen = contexts.select("h", (F.col("at") + F.col("ao")).alias("n"), (F.log("lt") - F.log("lo")).alias("r"))
-    return seen, unseen
+    found = _shared(twos, single).select(F.col("g").alias("k"), F.col("p").alias("pt"), F.col("p").alias("po"))
+    for n in range(3, ORDER + 1):
+        made = _own(levels[n], n, found)
+        found = made.select(F.col("g").alias("k"), "pt", "po")
+    return made.select("g", (F.col("ct") + F.col("co")).alias("n"), (F.log("pt") - F.log("po")).alias("r"))
 
 
 def _dense(rows: DataFrame, bits: int) -> np.ndarray:
-    """(g, n, r) hashed into 2**bits means of r; NaN where nothing fell. At most 2**bits rows reach the driver."""
+    """(g, n, r) hashed into 2**bits means of r; 0 where nothing fell. At most 2**bits rows reach the driver."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,17 +164,16 @@ def _dense(rows: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(_slot(g.astype(np.int64).view(np.uint64), bits).astype(np.int32)), pa.array(n.astype(np.float64)), pa.array(n * r)], names=["s", "n", "w"])
 
     found = rows.mapInArrow(slots, "s int, n double, w double").groupBy("s").agg((F.sum("w") / F.sum("n")).cast("float").alias("r")).toArrow()
-    out = np.full(1 << bits, np.nan, np.float32)
+    out = np.zeros(1 << bits, np.float32)
     out[found["s"].to_numpy()] = found["r"].to_numpy()
     return out
 
 
 @dataclass
 class Model:
-    """Ratios by hashed six-gram and by hashed context, and the weights of the logistic function."""
+    """Ratios by hashed six-gram, the weights of the logistic function, and the share of toxic texts, which is the score of a text without any words."""
 
     by_gram: np.ndarray | None
-    by_context: np.ndarray | None
     weights: np.ndarray
     prior: float
 
@@ -177,25 +187,22 @@ class Model:
                 bodies.append(_bytes(texts[stop]))
                 size += len(bodies[-1])
                 stop += 1
-            g = grams(_PAD.join(bodies))
-            r = self.by_gram[_slot(g, GRAM_BITS)]
-            new = np.isnan(r)
-            h = self.by_context[_slot(g[new] >> np.uint64(8), CONTEXT_BITS)]
-            r[new] = np.where(np.isnan(h), 0.0, h)
-            total = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
+            r = self.by_gram[_slot(grams(_PAD.join(bodies)), GRAM_BITS)]
             at = 0
             for i, body in enumerate(bodies):
                 n = len(body)
                 if n:
-                    cuts = np.append(np.arange(at, at + n, WINDOW // 2), at + n)
-                    cuts = np.minimum(np.stack([cuts[:-1], cuts[:-1] + WINDOW]), at + n)
+                    # Sums start anew in each text, so equal texts have equal scores.
+                    total = np.concatenate([[0.0], np.cumsum(r[at : at + n], dtype=np.float64)])
+                    cuts = np.arange(0, n, WINDOW // 2)
+                    cuts = np.minimum(np.stack([cuts, cuts + WINDOW]), n)
                     window = np.sort(total[cuts[1]] - total[cuts[0]])[: -9 : -1] / WINDOW
                     # A word reaches to the space after it; short words are not overrated.
-                    ends = at + np.append(np.flatnonzero(np.frombuffer(body, np.uint8) == 32) + 1, n)
-                    starts = np.append(at, ends[:-1])
+                    ends = np.append(np.flatnonzero(np.frombuffer(body, np.uint8) == 32) + 1, n)
+                    starts = np.append(0, ends[:-1])
                     word = np.sort((total[ends] - total[starts]) / (ends - starts + 4.0))[: -9 : -1]
                     window, word = (np.pad(x, (0, 8 - len(x))) for x in (window, word))
-                    out[start + i, :-1] = *word[[0, 1, 3, 7]], *window[[0, 2, 7]], (total[at + n] - total[at]) / n, np.log1p(n)
+                    out[start + i, :-1] = *word[[0, 1, 3, 7]], *window[[0, 2, 7]], total[n] / n, np.log1p(n)
                 out[start + i, -1] = 1.0
                 at += n + ORDER - 1
             start = stop
@@ -204,7 +211,8 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.by_gram is None:
             return np.full(len(texts), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
+        found = 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
+        return np.where([not (t and t.strip()) for t in texts], self.prior, found)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -230,9 +238,10 @@ def fit(rows: DataFrame) -> Model:
     calibration = rows.where("fold = 4").select("text", "label")
     prior = rows.where("fold between 1 and 4").agg(F.sum("label").alias("t"), F.count("*").alias("n")).first() if not (have[0] and have[1]) else None
     if prior is not None:
-        return Model(None, None, np.zeros(FEATURES), ((prior["t"] or 0) + 0.5) / (prior["n"] + 10))
-    seen, unseen = ratios(table)
-    model = Model(_dense(seen, GRAM_BITS), _dense(unseen, CONTEXT_BITS), np.zeros(FEATURES), 0.0)
+        release(table)
+        return Model(None, np.zeros(FEATURES), ((prior["t"] or 0) + 0.5) / (prior["n"] + 10))
+    model = Model(_dense(ratios(table), GRAM_BITS), np.zeros(FEATURES), 0.0)
+    release(table)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +254,7 @@ def fit(rows: DataFrame) -> Model:
     found = calibration.mapInArrow(features, ", ".join(["label int", *(f"{n} double" for n in _NAMES)]))
     sample = found.orderBy(F.xxhash64(*_NAMES), "label").limit(CALIBRATION_ROWS).toArrow().to_pandas()
     x, y = sample[_NAMES].to_numpy(), sample["label"].to_numpy(float)
+    model.prior = float((y.sum() + 0.5) / (len(y) + 10))
     if len(set(y)) == 2:
         model.weights = _logistic(x, y)
     else:
@@ -271,14 +281,16 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(fold() != 0)
     known = truth(labels, label_col, id_col).where(fold() != 0)
     rows = stored(texts.join(known.hint("shuffle_hash"), "doc_id").select("text", "label", fold().cast("int").alias("fold")), "toxicity-rows")
-    return fit(rows)
+    model = fit(rows)
+    release(rows)
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
     Labels teach only outside fold 0, which is held out; a row with a null id is not held out.
-    Null and empty texts have the score of a text without any evidence. Equal texts have
+    Null and empty texts, and those of white space alone, have the smoothed share of toxic rows as their score. Equal texts have
     equal scores; repeated rows are scored each. Other columns are not read. An empty
     table gives no rows.
     """
