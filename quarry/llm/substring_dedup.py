@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import connected_components
-from quarry.llm.scratch import importable, stored, width
+from quarry.llm.scratch import importable, release, stored, width
 
 SHINGLE, SIMILAR, MIN_WORDS = 5, 0.8, 30
 BANDS, ROWS, SEED = 16, 4, 11
@@ -163,33 +163,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     cut = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_cut(min_words), schema)
     found = stored(cut, "paragraphs")
     # Bands are a function of the node, so copies are combined here, in the map tasks first.
-    nodes = stored(found.groupBy("node", *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)]).agg(F.count("*").alias("n")), "paragraph-nodes")
-    banded = nodes.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"), "node")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(banded.join(shared, "band").withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int")), "paragraph-bands")
+    # A decimal orders occurrences by (doc_id, number), null ids last, and fits the buffers of hash aggregation.
+    ident = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
+    order = (ident * F.lit(2**31).cast("decimal(10,0)")).cast("decimal(38,0)") + F.col("number")
+    counted = [F.count("*").alias("n"), F.min(order.cast("decimal(38,0)")).alias("first")]
+    grouped = found.groupBy("node", *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)]).agg(*counted)
+    nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "paragraph-nodes")
+    banded = nodes.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"), "id")
+    n = F.count("*").over(Window.partitionBy("band"))
+    met = stored(banded.withColumn("n", n).where("n > 1").select("band", "id", F.ceil(F.col("n") / CHUNK).cast("int").alias("m")), "paragraph-bands")
     # Only nodes that share a band need their text, once each.
-    wanted = met.select("node").distinct()
-    texts = found.join(wanted.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.min("body").alias("body")).withColumn("id", F.monotonically_increasing_id())
-    texts = stored(texts, "paragraph-texts")
-    mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
+    wanted = nodes.select("id", "node").join(met.select("id").distinct(), "id", "left_semi")
+    texts = stored(found.select("node", "body").join(wanted.hint("shuffle_hash"), "node").groupBy("id").agg(F.min("body").alias("body")), "paragraph-texts")
+    mine = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    dealt = met.join(texts, "node").select("band", F.explode(meets).alias("c"), "id", "body").select("band", "c.i", "c.j", "id", "body")
+    dealt = met.join(texts, "id").select("band", F.explode(meets).alias("c"), "id", "body").select("band", "c.i", "c.j", "id", "body")
     near = dealt.repartition(width(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
     part = connected_components(near.mapInArrow(_verify(similar), "u long, v long"))
-    # A node's class is the node of its component's smallest id; nodes without edges are classes of their own.
-    member = part.join(texts.select(F.col("id").alias("node_id"), "node"), F.col("node_id") == part["node"]).select(texts["node"], "component")
-    head = texts.select(F.col("id").alias("component"), F.col("node").alias("class"))
-    member = member.join(head, "component").select("node", "class")
-    classed = nodes.select("node", "n").join(member, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    sizes = classed.groupBy("class").agg(F.sum("n").alias("class_size")).where("class_size > 1")
-    in_class = stored(classed.join(sizes, "class").select("node", "class", "class_size"), "paragraph-classes")
-    occurrences = found.select("doc_id", "number", "start", "end", "node").join(in_class, "node")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number", "start")
-    first = occurrences.groupBy("class").agg(F.min(order).alias("first"))
-    out = occurrences.join(first, "class")
+    release(met, texts)
+    # A class is known by its smallest node; nodes without edges are classes of their own.
+    classed = nodes.select("id", "node", "n", "first").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
+    heads = classed.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("first")).where("class_size > 1")
+    in_class = stored(classed.drop("first").join(heads, "class").select("node", "class", "class_size", "first"), "paragraph-classes")
+    release(nodes)
+    out = found.select("doc_id", "number", "start", "end", "node").join(in_class, "node")
+    place = F.pmod(F.col("first"), F.lit(2**31).cast("decimal(10,0)"))
+    out = out.withColumn("keep_number", place.cast("int")).withColumn("keep_id", F.when(F.col("first") < F.lit(str(2**94)).cast("decimal(38,0)"), F.expr(f"(first - keep_number) div {2**31}")))
     return out.select(
-        "doc_id", "number", "start", "end", F.lower(F.hex("class")).alias("component_id"), F.col("first.doc_id").alias("keep_id"), F.col("first.number").alias("keep_number"), "class_size",
-        (~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("number") == F.col("first.number")))).alias("removed"),
+        "doc_id", "number", "start", "end", F.col("class").alias("component_id"), "keep_id", "keep_number", "class_size",
+        (~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("number") == F.col("keep_number")))).alias("removed"),
     )
 
 
@@ -208,7 +210,7 @@ def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     were; documents of which nothing but white space is left are left out. Rows with a null id are kept whole.
     """
     spark = docs.sparkSession
-    removed = classes(docs, id_col, text_col, min_words, similar).where("removed and doc_id is not null")
+    removed = stored(classes(docs, id_col, text_col, min_words, similar).where("removed and doc_id is not null").select("doc_id", "start", "end"), "paragraphs-removed")
     spans = removed.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # of one document
     joined = docs.join(spans.hint("shuffle_hash"), F.col(f"`{id_col}`").cast("long") == F.col("_doc"), "left")
     names = docs.columns
