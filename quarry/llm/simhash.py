@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import connected_components
-from quarry.llm.scratch import importable, stored, width
+from quarry.llm.scratch import importable, release, stored, width
 
 SEED = 42
 KEEP = 3
@@ -203,10 +203,12 @@ def linked(keys: list[np.ndarray], values: np.ndarray, radius: int) -> tuple[lis
     return us, vs
 
 
-def _search(radius: int):
+def _search(radius: int, keys: int):
+    """Edges of batches sorted by their first ``keys`` columns, which a node and its fingerprint follow."""
+
     def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
-        u, v = linked(cols[:3], np.stack(cols[4:], axis=1).view(np.uint64), radius)
-        return pa.RecordBatch.from_arrays([pa.array(cols[3][u]), pa.array(cols[3][v])], names=["u", "v"])
+        u, v = linked(cols[:keys], np.stack(cols[keys + 1 :], axis=1).view(np.uint64), radius)
+        return pa.RecordBatch.from_arrays([pa.array(cols[keys][u]), pa.array(cols[keys][v])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -217,7 +219,7 @@ def _search(radius: int):
             if size < 65536:
                 continue
             cols = [np.concatenate(c) for c in zip(*held)]
-            other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in cols[:3]]))
+            other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in cols[:keys]]))
             cut = int(other[-1]) + 1 if len(other) else 0  # the last run may go on in the next batch
             if cut:
                 yield edges([c[:cut] for c in cols])
@@ -243,14 +245,16 @@ def links(nodes: DataFrame, radius: int = 3, key_bits: int = 16) -> DataFrame:
     keyed = nodes.select(F.explode(keys).alias("key"), "node", *names)
     crowded = stored(keyed.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("m")).where("m > 1"), "simhash-crowded")
     if crowded.isEmpty():
-        dealt = keyed.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", *names)
+        release(crowded)
+        dealt = keyed
     else:
         met = keyed.join(crowded, "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
         mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
         meets = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
         dealt = met.select("key", F.explode(meets).alias("c"), "node", *names).select("key", "c.i", "c.j", "node", *names)
-    near = dealt.repartition(width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return near.mapInArrow(_search(radius), "u long, v long")
+    by = [c for c in dealt.columns if c in ("key", "i", "j")]
+    near = dealt.repartition(width(spark), *by).sortWithinPartitions(*by)
+    return near.mapInArrow(_search(radius, len(by)), "u long, v long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, words: int = 1) -> DataFrame:
@@ -271,6 +275,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     named = nodes.select("node", "first").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_node = stored(named.join(least, "component").select("node", "component_id"), "simhash-classes")
+    release(nodes)
     return prints.withColumn("node", node).join(by_node, "node").select("doc_id", *names, "component_id")
 
 
@@ -284,7 +289,7 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     all stay for the same reason.
     """
     found = classes(docs, id_col, text_col, shingle, radius, words)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    dropped = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "simhash-dropped")
     nulls = not found.where("doc_id is null and component_id is not null").isEmpty()
     out = docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(f"`{id_col}`").cast("long") == F.col("_dropped"), "left_anti")
     return out.where(F.col(f"`{id_col}`").isNotNull()) if nulls else out
