@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quarry.llm.pretokens import Splitter
 from quarry.llm.scratch import importable
 
-MEMO = 1_000_000
+MEMO = 400_000
 #: Bits of a sequence id: bucket, partition, place in the partition.
 _PARTITION_BITS, _PLACE_BITS = 21, 37
 
