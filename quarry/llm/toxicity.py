@@ -91,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = _bytes(text.as_py())
             held.setdefault(label, []).append(body)
             size += len(body)
-            if size > 8 * _CHUNK:
+            if size > 4 * _CHUNK:
                 yield of(held)
                 held, size = {}, 0
     if held:
