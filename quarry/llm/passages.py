@@ -1,0 +1,149 @@
+"""Passages of ``WORDS`` words or more that repeat anywhere, whatever the lines.
+
+Texts are words, as in the line step: A-Z lower-cased, separated by ASCII white space. Every window of
+``WORDS`` words that occurs more than once, in one text or in several, is found, wherever it starts and
+however it is wrapped: the first occurrence by (doc_id, place) stays, the words of all others go.
+
+1. Of each ``WORDS`` words the run of ``ANCHOR`` words with the least hash is an anchor (winnowing), so equal
+   windows have an equal anchor: about 7 % of the places. Anchors are counted by Spark.
+2. Only windows around an anchor that occurs twice are hashed (128 bits) and grouped: a minimum and a count each.
+3. Windows that are not the first of their kind are collected for each document and merged to spans.
+
+Windows are exact: a copy with a change in every ``WORDS`` words is left to the line step.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm.scratch import importable, release, stored
+
+WORDS, ANCHOR = 50, 25
+#: A window holds this many runs of ``ANCHOR`` words.
+_REACH = WORDS - ANCHOR + 1
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _hashes(text: str | None) -> np.ndarray:
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+@lru_cache(8)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+
+
+def _runs(h: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    up, down = (p[: len(h)] for p in _powers(base, 1 << max(16, len(h).bit_length())))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
+    x = (total[size:] - total[:-size]) * down[: len(h) - size + 1]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the anchors of a text of word hashes; none if it is shorter than a window."""
+    if len(h) < WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    g = _runs(h, ANCHOR, _BASES[0])
+    least = np.lib.stride_tricks.sliding_window_view(g, _REACH).argmin(axis=1)
+    at = np.unique(least + np.arange(len(least)))
+    return at, g[at]
+
+
+def spans(text: str, starts: list[int]) -> list[tuple[int, int]]:
+    """Code points (start, end) of the words that the windows at ``starts`` cover, joined where they touch."""
+    b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[b], [False]])
+    first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    edge = np.zeros(len(first) + 1, np.int64)
+    at = np.unique(np.array(starts, np.int64))
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + WORDS, -1)
+    covered = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
+    opens, closes = np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
+    chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    return list(zip(chars[first[opens]].tolist(), chars[last[closes - 1]].tolist()))
+
+
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in range(0, b.num_rows, 256):
+            part = b.slice(row, 256)
+            found = [anchors(_hashes(t.as_py())) for t in part.column(2)]
+            index = pa.array(np.repeat(np.arange(len(found)), [len(at) for at, _ in found]))
+            at, g = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array(at.astype(np.int32)), pa.array(g.view(np.int64))], names=["doc", "key", "at", "g"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in range(0, b.num_rows, 64):
+            part = b.slice(row, 64)
+            out, counts = [], []
+            for text, at in zip(part.column(2), part.column(3).to_pylist()):
+                h = _hashes(text.as_py())
+                near = (np.array(at, np.int64)[:, None] - np.arange(_REACH)).ravel()
+                s = np.unique(near[(near >= 0) & (near <= len(h) - WORDS)])
+                out.append((s, *(_runs(h, WORDS, base)[s] for base in _BASES)))
+                counts.append(len(s))
+            index = pa.array(np.repeat(np.arange(len(out)), counts))
+            s, x, y = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array(s.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["doc", "key", "s", "x", "y"])
+
+
+def key_of(text: Column) -> Column:
+    """With the id this names a row; rows that repeat both have equal passages."""
+    return F.xxhash64(text)
+
+
+def starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, key, at array<int>, first array<int>): the words at which repeated windows start, those to remove and those that stay.
+
+    Rows with a null id come after all others and are kept whole, so they don't take part. Rows that repeat an id are one document: what
+    they repeat of each other at the same place stays. Null, empty and short texts have no window. An empty table gives no rows.
+    """
+    importable(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), key_of(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text")).where("doc is not null")
+    found = stored(rows.mapInArrow(_anchored, "doc long, key long, at int, g long"), "passage-anchors")
+    twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    near = found.join(twice, "g", "left_semi").groupBy("doc", "key").agg(F.collect_list("at").alias("near"))  # of one document
+    around = rows.join(near.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "near")
+    made = stored(around.mapInArrow(_windows, "doc long, key long, s int, x long, y long"), "passage-windows")
+    release(found)
+    # As in the line step: a decimal orders occurrences by (doc, place) and fits the buffers of hash aggregation.
+    order = (F.col("doc").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)")).cast("decimal(38,0)") + F.col("s")
+    ordered = made.withColumn("order", order.cast("decimal(38,0)"))
+    least = ordered.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("order").alias("least")).where("n > 1").drop("n")
+    again = ordered.join(least, ["x", "y"]).withColumn("stays", F.col("order") == F.col("least"))
+    each = again.groupBy("doc", "key").agg(F.collect_list(F.when(~F.col("stays"), F.col("s"))).alias("at"), F.collect_list(F.when(F.col("stays"), F.col("s"))).alias("first"))
+    out = stored(each, "passage-starts")
+    release(made)
+    return out
+
+
+def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, end, removed) of all repeated passages; start and end are code points in the text."""
+    at = starts(docs, id_col, text_col)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), key_of(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(d, *x, gone) for d, text, *both in zip(*(c.to_pylist() for c in b.columns)) for s, gone in zip(both, (True, False)) for x in spans(text, s)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=["doc_id", "start", "end", "removed"])
+
+    joined = rows.join(at.hint("shuffle_hash"), ["doc", "key"]).select("doc", "text", "at", "first")
+    return joined.mapInArrow(run, "doc_id long, start int, end int, removed boolean")

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm import passages
 from quarry.llm.graph import connected_components
 from quarry.llm.scratch import importable, release, stored, width
 
@@ -199,20 +200,12 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
     for start, end in sorted(set(spans)):
         out.append(text[at:start])
-        at = end + 1 if text[end : end + 1] == "\n" else end
+        at = end + 1 if text[end : end + 1].isspace() else end
     return "".join([*out, text[at:]])
 
 
-def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", min_words: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` without the paragraphs that repeat one kept elsewhere; its columns, ``size_col`` counted anew.
-
-    A paragraph goes with the line break after it. Documents that lose nothing are as they
-    were; documents of which nothing but white space is left are left out. Rows with a null id are kept whole.
-    """
-    spark = docs.sparkSession
-    removed = stored(classes(docs, id_col, text_col, min_words, similar).where("removed and doc_id is not null").select("doc_id", "start", "end"), "paragraphs-removed")
-    spans = removed.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # of one document
-    joined = docs.join(spans.hint("shuffle_hash"), F.col(f"`{id_col}`").cast("long") == F.col("_doc"), "left")
+def _cleaned(joined: DataFrame, docs: DataFrame, text_col: str, size_col: str | None, spans_of) -> DataFrame:
+    """The columns of ``docs`` in ``joined``, whose last column ``_spans`` tells ``spans_of(text, _spans)`` what goes."""
     names = docs.columns
     place, size = names.index(text_col), names.index(size_col) if size_col in names else None
 
@@ -220,7 +213,7 @@ def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             cols, spans = list(b.columns[:-1]), b.column(b.num_columns - 1).to_pylist()
             texts = cols[place].to_pylist()
-            new = [t if not s or t is None else _without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)]
+            new = [t if not s or t is None else _without(t, spans_of(t, s)) for t, s in zip(texts, spans)]
             cols[place] = pa.array(new, cols[place].type)
             if size is not None:
                 old = cols[size].to_pylist()
@@ -228,4 +221,22 @@ def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keep = pa.array([not s or bool(t and t.strip()) for t, s in zip(new, spans)], pa.bool_())
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(keep)
 
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_spans").mapInArrow(run, docs.schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], "_spans").mapInArrow(run, docs.schema)
+
+
+def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", min_words: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` without the paragraphs and passages that repeat one kept elsewhere; its columns, ``size_col`` counted anew.
+
+    First similar paragraphs go, with the line break after them; then, of what is left, all passages that
+    ``passages`` finds inside lines and over several lines, with the white space after them. Documents that lose nothing are as they
+    were; documents of which nothing but white space is left are left out. Rows with a null id are kept whole.
+    """
+    removed = stored(classes(docs, id_col, text_col, min_words, similar).where("removed and doc_id is not null").select("doc_id", "start", "end"), "paragraphs-removed")
+    spans = removed.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # of one document
+    ident = F.col(f"`{id_col}`").cast("long")
+    joined = docs.join(spans.hint("shuffle_hash"), ident == F.col("_doc"), "left")
+    lines = stored(_cleaned(joined, docs, text_col, size_col, lambda t, s: [(x["start"], x["end"]) for x in s]), "paragraphs-cleaned")
+    release(removed)
+    at = passages.starts(lines, id_col, text_col).where(F.size("at") > 0).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("at").alias("_spans"))
+    same = (ident == F.col("_doc")) & (passages.key_of(F.col(f"`{text_col}`")) == F.col("_key"))
+    return _cleaned(lines.join(at.hint("shuffle_hash"), same, "left"), docs, text_col, size_col, passages.spans)

@@ -1,0 +1,57 @@
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+from quarry.llm import passages, substring_dedup
+from quarry.llm.queries import op3_passages
+
+
+def brute(rows):
+    """(doc_id, words removed) of all windows that are not the first of their kind."""
+    seen, gone = defaultdict(list), set()
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        for i in range(len(w) - passages.WORDS + 1):
+            seen[tuple(w[i : i + passages.WORDS])].append((d, i))
+    for v in seen.values():
+        for d, i in sorted(v)[1:]:
+            gone |= {(d, j) for j in range(i, i + passages.WORDS)}
+    return gone
+
+
+def words_of(rows, spans):
+    text, out = dict(rows), set()
+    for s in spans:
+        before = len(text[s.doc_id][: s.start].encode().split())
+        out |= {(s.doc_id, before + i) for i in range(len(text[s.doc_id][s.start : s.end].encode().split()))}
+    return out
+
+
+def test_passages_inside_a_line_and_over_short_lines(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"wé{rng.randrange(9999)}" for _ in range(n))
+    one = say(50)
+    wrapped = "\n".join(" ".join(one.split()[i : i + 7]) for i in range(0, 50, 7))
+    a, b, c, d, e, f = (say(80) for _ in range(6))
+    short = " ".join(one.split()[:49])
+    rows = [(1, f"{a} {one} {b}", 0), (2, f"{c} {one.upper().replace('É', 'é')} {d}", 0), (3, f"{e}\n{wrapped}\n{f}", 0), (4, f"{say(9)} {short}", 7), (None, one, 8), (5, None, None)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in substring_dedup.cleaned_rows(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    want = {1: (rows[0][1], 0), 2: (f"{c} {d}", len(c) + len(d) + 1), 3: (f"{e}\n{f}", len(e) + len(f) + 1), 4: rows[3][1:], None: (one, 8), 5: (None, None)}
+    assert got == want
+
+
+def test_rows_that_repeat_an_id(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(4))
+    docs = spark.createDataFrame([(1, a), (2, f"{b} {a} y"), (2, f"{c} {d}")], "doc_id long, text string")
+    assert sorted(r.text for r in substring_dedup.cleaned_rows(docs).collect()) == sorted([a, f"{b} y", f"{c} {d}"])
+
+
+def test_found_equals_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    got = op3_passages(spark, d).collect()
+    assert words_of(rows, [r for r in got if r.removed]) == brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert passages.found(docs.limit(0)).count() == 0
