@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
+from quarry.llm import exact_dedup, near_dedup, packing, substring_dedup, toxicity
 from quarry.llm.scratch import shared_dir
 
 
@@ -27,12 +27,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: five-word shingles, similarity of about 0.8 or more."""
-    return simhash.kept_rows(docs)
+    """One document of each group of similar texts: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return near_dedup.kept_rows(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the paragraphs that repeat one kept elsewhere."""
+    """Documents without the paragraphs and passages that repeat one kept elsewhere."""
     return substring_dedup.cleaned_rows(docs)
 
 

@@ -1,0 +1,129 @@
+"""Near dedup of whole texts: exact Jaccard similarity of five-word shingles.
+
+Texts with equal words (A-Z lower-cased, joined by one space) are one node. Nodes are candidates when they share
+one of the MinHash bands of ``substring_dedup``: at a similarity of 0.8 a pair shares one with probability
+1 - (1 - 0.8^4)^16 = 0.9998. Within a band the similarity is counted over the shingles
+themselves, known by 64-bit hashes; only pairs that reach ``SIMILAR`` link. Classes are the components of the links.
+
+A band of more than ``CHUNK`` nodes is cut into chunks that meet in twos, so no group is gathered.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm.graph import connected_components
+from quarry.llm.scratch import importable, release, stored, width
+from quarry.llm.substring_dedup import BANDS, bands_of, shingles, spanning
+
+SIMILAR = 0.8
+CHUNK = 256
+_SIZE = 1 << 20
+
+
+def _hashes(body: bytes) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter(map(digest, grams := shingles(body)), np.uint64, len(grams)))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(part: pa.RecordBatch, bodies: list[bytes], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        starts = np.cumsum([0] + [len(h) for h in hashes[:-1]])
+        found = pa.FixedSizeListArray.from_arrays(pa.array(bands_of(np.concatenate(hashes), starts).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
+        nodes = pa.array([xxhash.xxh3_128_digest(b) for b in bodies], pa.binary())
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), nodes, found, pa.array(bodies, pa.binary()).cast(pa.string())], names=["doc_id", "key", "node", "bands", "body"])
+
+    for b in batches:
+        bodies, hashes, size, at = [], [], 0, 0
+        for i, text in enumerate(b.column(2)):
+            bodies.append(b" ".join((text.as_py() or "").encode("utf-8", "replace").lower().split()))
+            hashes.append(_hashes(bodies[-1]))
+            size += len(bodies[-1])
+            if size >= _SIZE:
+                yield made(b.slice(at, i + 1 - at), bodies, hashes)
+                bodies, hashes, size, at = [], [], 0, i + 1
+        if bodies:
+            yield made(b.slice(at), bodies, hashes)
+
+
+def _verify(similar: float):
+    def edges(held: list[tuple[int, np.ndarray]]) -> tuple[list[int], list[int]]:
+        if len(held) < 2:
+            return [], []
+        values, place = np.unique(np.concatenate([h for _, h in held]), return_inverse=True)
+        found = spanning(np.split(place, np.cumsum([len(h) for _, h in held])[:-1]), len(values), similar)
+        return [held[i][0] for i, _ in found], [held[j][0] for _, j in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for b in batches:
+            us, vs = [], []
+            for *at, node, body in zip(*(c.to_pylist() for c in b.columns)):
+                if at != key:
+                    u, v = edges(held)
+                    us, vs = us + u, vs + v
+                    held, key = [], at
+                held.append((node, _hashes(body.encode())))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        u, v = edges(held)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, key, component_id) for every row of ``docs``; ``key`` is the XXH64 of the text.
+
+    ``component_id`` is the smallest doc_id of the class, null if all its ids are. Null texts are empty; texts
+    without words are one class. Repeated rows fall into one class. Other columns are not read. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    importable(spark)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    found = stored(rows.mapInArrow(_cut, "doc_id long, key long, node binary, bands array<long>, body string"), "near-texts")
+    # Bands are a function of the node, so copies are combined first.
+    grouped = found.groupBy("node", *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)]).agg(F.min("doc_id").alias("first"))
+    nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
+    banded = nodes.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"), "id")
+    crowd = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / CHUNK).cast("int").alias("m"))
+    met = stored(banded.join(crowd, "band"), "near-bands")
+    # Only nodes that share a band need their text, once each.
+    wanted = nodes.select("id", "node").join(met.select("id").distinct(), "id", "left_semi")
+    texts = stored(found.select("node", "body").join(wanted.hint("shuffle_hash"), "node").groupBy("id").agg(F.min("body").alias("body")), "near-bodies")
+    mine = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+    dealt = met.join(texts, "id").select("band", F.explode(meets).alias("c"), "id", "body").select("band", "c.i", "c.j", "id", "body")
+    near = dealt.repartition(width(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
+    part = connected_components(near.mapInArrow(_verify(similar), "u long, v long"))
+    release(met, texts)
+    named = nodes.select("id", "node", "first").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_node = stored(named.join(least, "component").select("node", "component_id"), "near-classes")
+    release(nodes)
+    return found.select("doc_id", "key", "node").join(by_node, "node").select("doc_id", "key", "component_id")
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the one with the smallest doc_id.
+
+    A class whose ids are all null keeps all its rows; rows that repeat the smallest id of their class
+    all stay. Each row is judged by its own class, whatever other rows have its id.
+    """
+    return without_others(docs, classes(docs, id_col, text_col, similar), id_col, text_col)
+
+
+def without_others(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that ``found(doc_id, key, component_id)`` puts into a class of another id.
+
+    Rows are known by id and text: those that agree in both are in one class.
+    """
+    other = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    dropped = stored(other.select(F.col("doc_id").alias("_dropped"), F.col("key").alias("_key")).distinct(), "near-dropped")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_dropped")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_key"))
+    return docs.join(dropped, same, "left_anti")

@@ -56,22 +56,26 @@ def shingles(body: bytes, size: int = SHINGLE) -> list[bytes]:
 
 def bands(bodies: list[bytes], n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """(paragraphs, bands) of hashed MinHash bands."""
-    rng = np.random.default_rng(SEED)
-    mul = rng.integers(1, 1 << 31, n_bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, n_bands * rows, dtype=np.uint64)
     grams = [shingles(b) for b in bodies]
     starts = np.cumsum([0] + [len(g) for g in grams[:-1]])
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s) for g in grams for s in g), np.uint64, sum(map(len, grams)))
-    low = np.empty((n_bands * rows, len(bodies)), np.uint64)
+    return bands_of(np.fromiter((digest(s) for g in grams for s in g), np.uint64, sum(map(len, grams))), starts, n_bands, rows)
+
+
+def bands_of(h: np.ndarray, starts: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """``bands`` of shingle hashes; those of each body begin at its start."""
+    rng = np.random.default_rng(SEED)
+    mul = rng.integers(1, 1 << 31, n_bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, n_bands * rows, dtype=np.uint64)
+    low = np.empty((n_bands * rows, len(starts)), np.uint64)
     for i in range(n_bands * rows):
         x = h * mul[i] + add[i]
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         low[i] = np.minimum.reduceat(x, starts)
-    out = np.zeros((n_bands, len(bodies)), np.uint64)
+    out = np.zeros((n_bands, len(starts)), np.uint64)
     for i in range(n_bands):
-        x = np.full(len(bodies), i + 1, np.uint64)
+        x = np.full(len(starts), i + 1, np.uint64)
         for r in low[i * rows : (i + 1) * rows]:
             x = (x ^ r) * np.uint64(0x94D049BB133111EB)
             x ^= x >> np.uint64(32)
@@ -107,11 +111,16 @@ def _similar(bodies: list[bytes], similar: float) -> list[tuple[int, int]]:
     grams = [shingles(b) for b in bodies]
     ids: dict[bytes, int] = {}
     cols = [np.fromiter((ids.setdefault(s, len(ids)) for s in g), np.int64, len(g)) for g in grams]
+    return spanning(cols, len(ids), similar)
+
+
+def spanning(cols: list[np.ndarray], kinds: int, similar: float) -> list[tuple[int, int]]:
+    """As above for sets of different numbers below ``kinds``."""
     sizes = np.array([len(c) for c in cols])
     flat, owner = np.concatenate(cols), np.repeat(np.arange(len(cols)), sizes)
     order = np.argsort(flat, kind="stable")
-    posts, ends = owner[order], np.searchsorted(flat[order], np.arange(len(ids) + 1))
-    label, edges = np.arange(len(bodies)), []
+    posts, ends = owner[order], np.searchsorted(flat[order], np.arange(kinds + 1))
+    label, edges = np.arange(len(cols)), []
     for i, c in enumerate(cols):
         if (label == label[0]).all():
             break  # all in one part: no pair can join two
