@@ -69,6 +69,17 @@ def _prints(shingle: int, words: int):
     return run
 
 
+def _keyed_prints(rows: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc_id, fp0, ..., key) of ``rows(doc_id, text, key)``."""
+    made = _prints(shingle, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from (x.append_column("key", b.column(2)) for x in made([b]))
+
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in _names(words)), "key long"]))
+
+
 def _names(words: int) -> list[str]:
     return [f"fp{i}" for i in range(words)]
 
@@ -267,8 +278,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     not read, whatever their names. An empty table gives no rows. The search is exact for
     ``words`` = 1; wider fingerprints are known to the component table by a 64-bit hash.
     """
+    found = _classed(stored(fingerprints(docs, id_col, text_col, shingle, words), "simhash"), radius, words)
+    return found.select("doc_id", *_names(words), "component_id")
+
+
+def _classed(prints: DataFrame, radius: int, words: int) -> DataFrame:
+    """``prints(doc_id, fp0, ...)``, its further columns and component_id."""
     names = _names(words)
-    prints = stored(fingerprints(docs, id_col, text_col, shingle, words), "simhash")
     node = F.col("fp0") if words == 1 else F.xxhash64(*names)
     nodes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).select(node.alias("node"), *names, "first"), "simhash-nodes")
     part = connected_components(links(nodes.select("node", *names), radius))
@@ -276,7 +292,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_node = stored(named.join(least, "component").select("node", "component_id"), "simhash-classes")
     release(nodes)
-    return prints.withColumn("node", node).join(by_node, "node").select("doc_id", *names, "component_id")
+    return prints.withColumn("node", node).join(by_node, "node").drop("node")
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 44, words: int = 4) -> DataFrame:
@@ -286,10 +302,14 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     with Jaccard similarity J differ in a share acos(2J / (1 + J)) / pi of the bits on average, which is 39
     of 256 at 0.8; one standard deviation more is let through. A class whose ids are all
     null keeps all its rows, as nothing tells them apart; rows that repeat the smallest id
-    all stay for the same reason.
+    all stay for the same reason. Each row is judged by its own class, whatever other rows have its id.
     """
-    found = classes(docs, id_col, text_col, shingle, radius, words)
-    dropped = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "simhash-dropped")
-    nulls = not found.where("doc_id is null and component_id is not null").isEmpty()
-    out = docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(f"`{id_col}`").cast("long") == F.col("_dropped"), "left_anti")
-    return out.where(F.col(f"`{id_col}`").isNotNull()) if nulls else out
+    importable(docs.sparkSession)
+    key = F.xxhash64(F.col(f"`{text_col}`"))
+    ident = F.col(f"`{id_col}`").cast("long")
+    # Rows are known by id and text: those that agree in both have one fingerprint and so one class.
+    prints = stored(_keyed_prints(docs.select(ident.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), key.alias("key")), shingle, words), "simhash")
+    other = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = _classed(prints, radius, words).where(other)
+    dropped = stored(found.select(F.col("doc_id").alias("_dropped"), F.col("key").alias("_key")).distinct(), "simhash-dropped")
+    return docs.join(dropped, ident.eqNullSafe(F.col("_dropped")) & (key == F.col("_key")), "left_anti")

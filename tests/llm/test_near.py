@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline as P
-from quarry.llm import near_dedup
+from quarry.llm import near_dedup, simhash
 
 
 def grams(text):
@@ -56,3 +58,14 @@ def test_stage_equals_brute_force(spark, monkeypatch):
         out = P.drop_near_copies(spark, docs, "")
         assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == want
     assert P.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("keep", [near_dedup.kept_rows, simhash.kept_rows])
+def test_rows_are_judged_by_their_own_class(spark, keep):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(150)) for _ in range(4))
+    rows = [(1, a), (None, a + " more"), (None, b), (None, c), (None, c + " more"), (7, a + " end"), (7, d), (8, d + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in keep(docs).collect()), key=str)
+    # Of the class of a row 1 stays, of that of d the second row 7; all of a class without ids stay.
+    assert got == sorted([rows[0], *rows[2:5], rows[6]], key=str)
