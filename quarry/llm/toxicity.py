@@ -15,8 +15,8 @@ What a text needs of the two models is the log ratio at each byte: one number pe
 six-gram. A six-gram that no labelled text has gets its probability from the shared
 counts in both models; what would be left of the ratio is how much text the classes
 have, so it counts as 0. All labelled texts of the training folds are counted, as a table of
-distinct six-grams. Executors score with the ratios hashed into a table of fixed size
-(2**``GRAM_BITS``), whose entries are means weighted by count; only it is broadcast.
+distinct six-grams. Executors score with the exact ratios of all of them, in a table that grows
+with their number (some twenty bytes a gram at most); only it is broadcast.
 
 A document is compared by length-normalised ratios: of the whole text, of windows
 of ``WINDOW`` bytes and of single words, since a long text may be abusive in one place. A
@@ -155,25 +155,51 @@ def ratios(table: DataFrame) -> DataFrame:
     return made.select("g", (F.col("ct") + F.col("co")).alias("n"), (F.log("pt") - F.log("po")).alias("r"))
 
 
-def _dense(rows: DataFrame, bits: int) -> np.ndarray:
-    """(g, n, r) hashed into 2**bits means of r; 0 where nothing fell. At most 2**bits rows reach the driver."""
+class Grams:
+    """Ratio by six-gram, exact for every gram and 0 for others; as large as the number of grams asks for.
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g, n, r = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(_slot(g.astype(np.int64).view(np.uint64), bits).astype(np.int32)), pa.array(n.astype(np.float64)), pa.array(n * r)], names=["s", "n", "w"])
+    An odd factor permutes the 48 bits of a gram. The top bits of the product are its slot; grams of a slot lie together and are
+    told apart by the other bits, at most 32.
+    """
 
-    found = rows.mapInArrow(slots, "s int, n double, w double").groupBy("s").agg((F.sum("w") / F.sum("n")).cast("float").alias("r")).toArrow()
-    out = np.zeros(1 << bits, np.float32)
-    out[found["s"].to_numpy()] = found["r"].to_numpy()
-    return out
+    def __init__(self, g: np.ndarray, r: np.ndarray):
+        self.rest_bits = 48 - min(max(len(g).bit_length() + 1, 16), 30)
+        mixed = self._mixed(g)
+        order = np.argsort(mixed)
+        slots, self.rest = self._cut(mixed[order])
+        self.start = np.searchsorted(slots, np.arange((1 << (48 - self.rest_bits)) + 1)).astype(np.uint32)
+        self.r = r[order].astype(np.float32)
+
+    def _mixed(self, g: np.ndarray) -> np.ndarray:
+        return (g * _ODD) & np.uint64((1 << 48) - 1)
+
+    def _cut(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (mixed >> np.uint64(self.rest_bits)).astype(np.int64), (mixed & np.uint64((1 << self.rest_bits) - 1)).astype(np.uint32)
+
+    def of(self, g: np.ndarray) -> np.ndarray:
+        slot, rest = self._cut(self._mixed(g))
+        at, end = self.start[slot].astype(np.int64), self.start[slot + 1]
+        out, left = np.zeros(len(g), np.float32), np.flatnonzero(at < end)
+        while len(left):
+            hit = self.rest[at[left]] == rest[left]
+            out[left[hit]] = self.r[at[left[hit]]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+def _gathered(rows: DataFrame) -> Grams:
+    """The ratios of ``rows(g, r)`` on the driver: twelve bytes a gram."""
+    found = rows.select("g", F.col("r").cast("float").alias("r")).toArrow()
+    return Grams(found["g"].to_numpy().astype(np.int64).view(np.uint64), found["r"].to_numpy())
 
 
 @dataclass
 class Model:
-    """Ratios by hashed six-gram, the weights of the logistic function, and the share of toxic texts, which is the score of a text without any words."""
+    """Ratios by six-gram (or an array of them by ``_slot``), the weights of the logistic function, and the share of toxic texts, which is the score of a text without any words."""
 
-    by_gram: np.ndarray | None
+    by_gram: Grams | np.ndarray | None
     weights: np.ndarray
     prior: float
 
@@ -187,7 +213,8 @@ class Model:
                 bodies.append(_bytes(texts[stop]))
                 size += len(bodies[-1])
                 stop += 1
-            r = self.by_gram[_slot(grams(_PAD.join(bodies)), GRAM_BITS)]
+            g = grams(_PAD.join(bodies))
+            r = self.by_gram.of(g) if isinstance(self.by_gram, Grams) else self.by_gram[_slot(g, GRAM_BITS)]
             at = 0
             for i, body in enumerate(bodies):
                 n = len(body)
@@ -240,7 +267,7 @@ def fit(rows: DataFrame) -> Model:
     if prior is not None:
         release(table)
         return Model(None, np.zeros(FEATURES), ((prior["t"] or 0) + 0.5) / (prior["n"] + 10))
-    model = Model(_dense(ratios(table), GRAM_BITS), np.zeros(FEATURES), 0.0)
+    model = Model(_gathered(ratios(table)), np.zeros(FEATURES), 0.0)
     release(table)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
