@@ -125,12 +125,12 @@ def starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     release(found)
     # As in the line step: a decimal orders occurrences by (doc, place) and fits the buffers of hash aggregation.
     order = (F.col("doc").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)")).cast("decimal(38,0)") + F.col("s")
-    ordered = made.withColumn("order", order.cast("decimal(38,0)"))
-    least = ordered.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("order").alias("least")).where("n > 1").drop("n")
-    again = ordered.join(least, ["x", "y"]).withColumn("stays", F.col("order") == F.col("least"))
+    order = order.cast("decimal(38,0)")
+    least = stored(made.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(order).alias("least")).where("n > 1").drop("n"), "passage-least")
+    again = made.join(least, ["x", "y"]).withColumn("stays", order == F.col("least"))
     each = again.groupBy("doc", "key").agg(F.collect_list(F.when(~F.col("stays"), F.col("s"))).alias("at"), F.collect_list(F.when(F.col("stays"), F.col("s"))).alias("first"))
     out = stored(each, "passage-starts")
-    release(made)
+    release(made, least)
     return out
 
 

@@ -199,10 +199,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     out = found.select("doc_id", "number", "start", "end", "node").join(in_class, "node")
     place = F.pmod(F.col("first"), F.lit(2**31).cast("decimal(10,0)"))
     out = out.withColumn("keep_number", place.cast("int")).withColumn("keep_id", F.when(F.col("first") < F.lit(str(2**94)).cast("decimal(38,0)"), F.expr(f"(first - keep_number) div {2**31}")))
-    return out.select(
+    out = out.select(
         "doc_id", "number", "start", "end", F.col("class").alias("component_id"), "keep_id", "keep_number", "class_size",
         (~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("number") == F.col("keep_number")))).alias("removed"),
     )
+    out._reads = [found, in_class]
+    return out
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -240,7 +242,9 @@ def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``passages`` finds inside lines and over several lines, with the white space after them. Documents that lose nothing are as they
     were; documents of which nothing but white space is left are left out. Rows with a null id are kept whole.
     """
-    removed = stored(classes(docs, id_col, text_col, min_words, similar).where("removed and doc_id is not null").select("doc_id", "start", "end"), "paragraphs-removed")
+    found = classes(docs, id_col, text_col, min_words, similar)
+    removed = stored(found.where("removed and doc_id is not null").select("doc_id", "start", "end"), "paragraphs-removed")
+    release(*found._reads)
     spans = removed.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # of one document
     ident = F.col(f"`{id_col}`").cast("long")
     joined = docs.join(spans.hint("shuffle_hash"), ident == F.col("_doc"), "left")
