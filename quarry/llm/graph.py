@@ -2,45 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quarry.llm.scratch import shared_dir
+from quarry.llm.scratch import release, stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The different edges as a table, and what tells two tables apart, in one job."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("total")
+    table = stored(edges.distinct().observe(seen, F.count("*").alias("n"), total), "edges")
+    return table, (seen.get["n"], seen.get["total"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(u long, v long)``; the component is its smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): a number of rounds
-    logarithmic in the component sizes, each a few joins on the node key. Neighbour sets
+    logarithmic in the component sizes, each a few joins on the node key and one job, whose result is
+    written to the shared folder. Neighbour sets
     are only ever aggregated to a minimum, so a node with any number of neighbours is no
     problem. Loops, repeated edges and edges with a null end are ignored; an empty table gives no rows.
     """
-    shared_dir(edges.sparkSession)
-    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    now, state = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     before = None
-    state = _state(now)
     while state[0] and state != before:
-        before = state
-        now = _small_star(_large_star(now)).checkpoint()
-        state = _state(now)
+        old, before = now, state
+        now, state = _written(_small_star(_large_star(old).distinct()))
+        release(old)
     own = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
+    out._reads = [now]
+    return out

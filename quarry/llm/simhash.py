@@ -4,13 +4,15 @@ A fingerprint is the bitwise majority of the XXH64 hashes of a text's word shing
 Two fingerprints link when they differ in at most ``radius`` bits; classes are the
 connected components of the links over all documents.
 
-Candidates: fingerprints meet that agree on all bits of some mask. For 64 bits and a
+Candidates: fingerprints meet that agree on all bits of some mask. For a
 small radius, the bits are cut into ``radius + KEEP`` blocks and the masks are all
 choices of ``KEEP`` blocks: two fingerprints within the radius agree on at least ``KEEP``
-blocks, so the search is exact. Wide fingerprints (several words of 64 bits, one seed
-each) tell texts apart that are less alike; their masks are random, as many as find a
-pair at the expected distance with probability ``RECALL``. Only distinct
-fingerprints take part, so copies cost nothing.
+blocks, so the search is exact. Only distinct fingerprints take part, so copies cost nothing.
+
+Texts of a stated similarity are found by wide fingerprints (``WORDS`` words of 64 bits) of the set of their
+five-word shingles: sets with Jaccard similarity J differ in a share acos(2J / (1 + J)) / pi of the bits on
+average. The radius is three standard deviations more, the masks are random, as many as find a pair at that
+distance with probability ``RECALL``. Fingerprints only bring texts together; the exact similarity of the shingles decides.
 
 Comparison: within a partition the fingerprints, sorted by key, are stored as bit
 planes, 64 fingerprints to a machine word. Fingerprint i meets fingerprint i+d by
@@ -31,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import jaccard, words
 from quarry.llm.graph import connected_components
 from quarry.llm.scratch import importable, release, stored, width
 
 SEED = 42
 KEEP = 3
-RECALL = 0.99
+WORDS, RECALL, BUCKET = 2, 0.999, 8
+_FPS = [f"fp{i}" for i in range(WORDS)]
 #: Fingerprints of one key that are compared in one piece; a larger key is cut into chunks
 #: of about this size, and every two chunks meet, so the result does not depend on it.
 CHUNK = 4096
@@ -44,63 +48,36 @@ _ONE = np.uint64(1)
 _ALL = ~np.uint64(0)
 
 
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]:
-    """Fingerprint of one text, in signed words of 64 bits; no words give zeros, fewer than a shingle give one shingle."""
-    parts = (text or "").encode("utf-8", "replace").lower().split()
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Signed fingerprint of one text of 64 bits; no words give zero, fewer than a shingle give one shingle."""
+    parts = words.encoded(text).lower().split()
     if not parts:
-        return [0] * words
+        return 0
     grams = [b" ".join(g) for g in zip(*(parts[i:] for i in range(shingle)))] if len(parts) > shingle else [b" ".join(parts)]
-    digest, out = xxhash.xxh64_intdigest, []
-    for w in range(words):
-        total = np.zeros(64, np.int64)
-        for at in range(0, len(grams), 65536):
-            h = np.array([digest(g, SEED + w) for g in grams[at : at + 65536]], dtype="<u8")
-            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * total > len(grams), bitorder="little").view("<i8")[0]))
-    return out
-
-
-def _prints(shingle: int, words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.array([fingerprint(x.as_py(), shingle, words) for x in b.column(1)], np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in found.T)], names=["doc_id", *_names(words)])
-
-    return run
+    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    for at in range(0, len(grams), 65536):
+        h = np.array([digest(g, SEED) for g in grams[at : at + 65536]], dtype="<u8")
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(grams), bitorder="little").view("<i8")[0])
 
 
-def _keyed_prints(rows: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(doc_id, fp0, ..., key) of ``rows(doc_id, text, key)``."""
-    made = _prints(shingle, words)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, fp0 long) for every row; whole texts, null as empty."""
+    importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from (x.append_column("key", b.column(2)) for x in made([b]))
-
-    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in _names(words)), "key long"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], pa.int64())], names=["doc_id", "fp0"])
 
-
-def _names(words: int) -> list[str]:
-    return [f"fp{i}" for i in range(words)]
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, fp0 long, fp1 long, ...) for every row; whole texts, null as empty."""
-    importable(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_prints(shingle, words), ", ".join(["doc_id long", *(f"{n} long" for n in _names(words))]))
+    return rows.mapInArrow(run, "doc_id long, fp0 long")
 
 
-def _masks(radius: int, words: int, key_bits: int) -> list[int]:
-    bits = 64 * words
-    if words == 1:
-        cuts = np.linspace(0, bits, radius + KEEP + 1).astype(int)
-        blocks = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(cuts, cuts[1:])]
-        return [sum(c) for c in combinations(blocks, KEEP)]
-    met = (1 - radius / bits) ** key_bits
-    rng = np.random.default_rng(SEED)
-    picks = (rng.choice(bits, key_bits, replace=False) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - met))))
-    return [sum(1 << int(b) for b in p) for p in picks]
+def exact_masks(radius: int, bits: int = 64) -> list[int]:
+    """Masks of which two fingerprints within the radius agree on at least one."""
+    cuts = np.linspace(0, bits, radius + KEEP + 1).astype(int)
+    blocks = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(cuts, cuts[1:])]
+    return [sum(c) for c in combinations(blocks, KEEP)]
 
 
 def _signed(x: int) -> int:
@@ -145,10 +122,10 @@ def within(planes: np.ndarray, lanes: np.ndarray, at: np.ndarray, d: int, radius
     over = np.zeros(len(at), np.uint64)
     count = [over] * max(1, radius.bit_length())
     for start in range(0, len(planes), 16):
-        words = at[alive]
+        here = at[alive]
         for p in range(start, start + 16, 2):
-            x = planes[p][words] ^ _shifted(planes[p], words, d)
-            y = planes[p + 1][words] ^ _shifted(planes[p + 1], words, d)
+            x = planes[p][here] ^ _shifted(planes[p], here, d)
+            y = planes[p + 1][here] ^ _shifted(planes[p + 1], here, d)
             half = count[0] ^ x  # carry-save: count[0] + x + y = count[0]' + 2 * carry
             carry = (count[0] & x) | (half & y)
             count[0] = half ^ y
@@ -241,18 +218,17 @@ def _search(radius: int, keys: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = 3, key_bits: int = 16) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, masks: list[int] | None = None) -> DataFrame:
     """Edges (u, v) that span all links between ``nodes(node, fp0, fp1, ...)`` within ``radius`` bits.
 
-    ``key_bits`` counts for wide fingerprints: keys of more bits bring together fewer
-    pairs that do not link, from more masks; two more for each fourfold of the documents keep pace.
+    Without ``masks`` the search is exact; given masks find the pairs that agree on all bits of one of them.
     """
     spark = nodes.sparkSession
     importable(spark)
     names = [c for c in nodes.columns if c != "node"]
-    parts = [[m >> (64 * w) & (2**64 - 1) for w in range(len(names))] for m in _masks(radius, len(names), key_bits)]
-    masks = F.array(*[F.struct(F.lit(i).alias("t"), *[F.lit(_signed(x)).alias(n) for n, x in zip(names, p)]) for i, p in enumerate(parts)])
-    keys = F.transform(masks, lambda m: F.xxhash64(m["t"], *[F.col(n).bitwiseAND(m[n]) for n in names]))
+    parts = [[m >> (64 * w) & (2**64 - 1) for w in range(len(names))] for m in masks or exact_masks(radius, 64 * len(names))]
+    table = F.array(*[F.struct(F.lit(i).alias("t"), *[F.lit(_signed(x)).alias(n) for n, x in zip(names, p)]) for i, p in enumerate(parts)])
+    keys = F.transform(table, lambda m: F.xxhash64(m["t"], *[F.col(n).bitwiseAND(m[n]) for n in names]))
     keyed = nodes.select(F.explode(keys).alias("key"), "node", *names)
     crowded = stored(keyed.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("m")).where("m > 1"), "simhash-crowded")
     if crowded.isEmpty():
@@ -268,48 +244,122 @@ def links(nodes: DataFrame, radius: int = 3, key_bits: int = 16) -> DataFrame:
     return near.mapInArrow(_search(radius, len(by)), "u long, v long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, fp0, ..., component_id) for every row of ``docs``.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """(doc_id, fp0, component_id) for every row of ``docs``.
 
-    ``component_id`` is the smallest doc_id reachable over links, the row's own included.
-    Null texts are empty; texts without words have fingerprint 0 and link like others.
+    ``component_id`` is the smallest doc_id reachable over links, the row's own included; the search is exact.
+    Null texts are empty; texts without words have fingerprint 0 and link like others. Texts of any length are read whole.
     Rows with a null doc_id take part; they never give a component its id unless all its
-    ids are null, when it is null. Repeated rows fall into one class. Other columns are
-    not read, whatever their names. An empty table gives no rows. The search is exact for
-    ``words`` = 1; wider fingerprints are known to the component table by a 64-bit hash.
+    ids are null, when it is null. Repeated rows fall into one class, so ties cannot matter. Other columns are
+    not read, whatever their names. An empty table gives no rows.
     """
-    found = _classed(stored(fingerprints(docs, id_col, text_col, shingle, words), "simhash"), radius, words)
-    return found.select("doc_id", *_names(words), "component_id")
-
-
-def _classed(prints: DataFrame, radius: int, words: int) -> DataFrame:
-    """``prints(doc_id, fp0, ...)``, its further columns and component_id."""
-    names = _names(words)
-    node = F.col("fp0") if words == 1 else F.xxhash64(*names)
-    nodes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).select(node.alias("node"), *names, "first"), "simhash-nodes")
-    part = connected_components(links(nodes.select("node", *names), radius))
+    prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    nodes = stored(prints.groupBy("fp0").agg(F.min("doc_id").alias("first")).select(F.col("fp0").alias("node"), "first"), "simhash-nodes")
+    part = connected_components(links(nodes.select("node", F.col("node").alias("fp0")), radius))
     named = nodes.select("node", "first").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_node = stored(named.join(least, "component").select("node", "component_id"), "simhash-classes")
-    release(nodes)
-    return prints.withColumn("node", node).join(by_node, "node").drop("node")
+    by_node = stored(named.join(least, "component").select(F.col("node").alias("fp0"), "component_id"), "simhash-classes")
+    release(nodes, *part._reads)
+    return prints.join(by_node, "fp0").select("doc_id", "fp0", "component_id")
+
 
+# Similar texts: wide fingerprints find the candidates, the exact similarity decides.
 
-def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 44, words: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with the smallest doc_id.
 
-    By default two texts link from a similarity of about 0.8 on: shingles of five words
-    with Jaccard similarity J differ in a share acos(2J / (1 + J)) / pi of the bits on average, which is 39
-    of 256 at 0.8; one standard deviation more is let through. A class whose ids are all
-    null keeps all its rows, as nothing tells them apart; rows that repeat the smallest id
-    all stay for the same reason. Each row is judged by its own class, whatever other rows have its id.
+def wide(grams: np.ndarray) -> np.ndarray:
+    """Fingerprint of ``WORDS`` words of 64 bits of a set of shingle hashes."""
+    total = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(grams), 16384):
+        h = np.empty((len(grams[at : at + 16384]), WORDS), "<u8")
+        h[:, 0] = grams[at : at + 16384]
+        for w in range(1, WORDS):
+            h[:, w] = words.mixed((h[:, w - 1] + np.uint64(w)) * np.uint64(words.BASES[1]))
+        total += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * total > len(grams), bitorder="little").view("<i8")
+
+
+def distance(similar: float) -> float:
+    """Share of the bits in which two sets of this Jaccard similarity differ on average."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
+
+
+def radius_of(similar: float) -> int:
+    """Bits that all but one in a thousand pairs of this similarity stay within."""
+    bits, p = 64 * WORDS, distance(similar)
+    return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+
+
+def wide_masks(similar: float, n: int) -> list[int]:
+    """Random masks that find a pair at the average distance with probability ``RECALL``.
+
+    Of n fingerprints a mask brings together some ``BUCKET`` by chance, so its bits grow with log2(n).
+    """
+    key_bits = max(16, math.ceil(math.log2(max(n, 1) / BUCKET)))
+    met = (1 - distance(similar)) ** key_bits
+    rng = np.random.default_rng(SEED)
+    picks = (rng.choice(64 * WORDS, key_bits, replace=False) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - met))))
+    return [sum(1 << int(b) for b in p) for p in picks]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, node, fp0, fp1, size, body) of rows (doc_id, key, text)."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            bodies, prints = [], []
+            for text in part.column(2):
+                own = words.encoded(text.as_py()).lower().split()
+                bodies.append(b" ".join(own))
+                prints.append(wide(words.shingles(words.hashes(own or [b""]), jaccard.SHINGLE)))
+            cols = [part.column(0), part.column(1), pa.array([xxhash.xxh3_128_digest(x) for x in bodies], pa.binary()), *(pa.array(c) for c in np.array(prints, np.int64).T)]
+            cols += [pa.array([len(x) for x in bodies], pa.int64()), pa.array(bodies, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "node", *_FPS, "size", "body"])
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = jaccard.SIMILAR) -> DataFrame:
+    """(doc_id, key, component_id) for every row of ``docs``; ``key`` is the XXH64 of the text.
+
+    Texts link when the Jaccard similarity of their five-word shingles is at least ``similar``. Candidates are texts in one component
+    of fingerprints within ``radius_of``; among them every pair's exact similarity is counted. Classes are the components of the links.
+    ``component_id`` is the smallest doc_id of the class, null if all its ids are. Null texts are empty; texts
+    without words are one class. Repeated rows fall into one class. Texts of any length are read whole. Other columns are not read. An empty table gives no rows.
     """
     importable(docs.sparkSession)
-    key = F.xxhash64(F.col(f"`{text_col}`"))
-    ident = F.col(f"`{id_col}`").cast("long")
-    # Rows are known by id and text: those that agree in both have one fingerprint and so one class.
-    prints = stored(_keyed_prints(docs.select(ident.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), key.alias("key")), shingle, words), "simhash")
-    other = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    found = _classed(prints, radius, words).where(other)
-    dropped = stored(found.select(F.col("doc_id").alias("_dropped"), F.col("key").alias("_key")).distinct(), "simhash-dropped")
-    return docs.join(dropped, ident.eqNullSafe(F.col("_dropped")) & (key == F.col("_key")), "left_anti")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    schema = ", ".join(["doc_id long, key long, node binary", *(f"{n} long" for n in _FPS), "size long, body string"])
+    found = stored(rows.mapInArrow(_texts, schema), "near-texts")
+    grouped = found.groupBy("node", "size", *_FPS).agg(F.min("doc_id").alias("first"))
+    nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
+    prints = nodes.select(*_FPS).distinct().select(F.xxhash64(*_FPS).alias("node"), *_FPS)
+    close = connected_components(links(prints, radius_of(similar), wide_masks(similar, nodes.count())))
+    own = nodes.select(F.xxhash64(*_FPS).alias("print"), "id", "size").join(close.withColumnRenamed("node", "print"), "print", "left")
+    members = own.select(F.coalesce("component", "print").alias("group"), "id", "size")
+    met = stored(members.drop("size").join(jaccard.crowds(members), "group"), "near-groups")
+    release(*close._reads)
+    # Only texts that have a candidate are moved, once each.
+    wanted = nodes.select("id", "node").join(met.select("id"), "id", "left_semi")
+    bodies = stored(found.select("node", "body").join(wanted.hint("shuffle_hash"), "node").groupBy("id").agg(F.min("body").alias("body")), "near-bodies")
+    part = connected_components(jaccard.links(met, bodies, similar))
+    release(met, bodies)
+    named = nodes.select("id", "node", "first").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_node = stored(named.join(least, "component").select("node", "component_id"), "near-classes")
+    release(nodes, *part._reads)
+    out = found.select("doc_id", "key", "node").join(by_node, "node").select("doc_id", "key", "component_id")
+    out._reads = [found, by_node]
+    return out
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = jaccard.SIMILAR) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class of ``similar_classes`` the one with the smallest doc_id.
+
+    A class whose ids are all null keeps all its rows; rows that repeat the smallest id of their class
+    all stay. Each row is known by id and text and judged by its own class, whatever other rows have its id. Null and empty texts are one class.
+    """
+    found = similar_classes(docs, id_col, text_col, similar)
+    other = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    dropped = stored(other.select(F.col("doc_id").alias("_dropped"), F.col("key").alias("_key")).distinct(), "near-dropped")
+    release(*found._reads)
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_dropped")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_key"))
+    return docs.join(dropped, same, "left_anti")

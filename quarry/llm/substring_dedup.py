@@ -1,255 +1,303 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a line of at least ``MIN_WORDS`` words. Equal paragraphs (after lower-casing
-A-Z and joining words by one space) are one node, however often they occur; nodes are
-what is compared. Each node has MinHash values of its five-word shingles, cut into
-``BANDS`` bands of ``ROWS``: at a Jaccard similarity of 0.8 a pair shares some band with
-probability 1 - (1 - 0.8^4)^16 = 0.9998. Within the nodes of a shared band, exact Jaccard
-similarity is counted over the shingles themselves, by an inverted index; of the pairs
-that reach ``SIMILAR``, those that join two parts become edges. Components of the edges
-are the classes: their first occurrence stays, the others are removed.
-
-No group is gathered: a band shared by more than ``CHUNK`` nodes is cut into chunks that meet
-in twos, copies are counted per node before anything else, and occurrences only join
-their class.
+Texts are words: A-Z lower-cased, separated by ASCII white space. Two kinds of paragraphs are banded, so
+that neither lines nor what stands around a passage decide whether it is found:
+
+* **Blocks** cover each text without overlap and are compared by similarity. A line of ``MIN_WORDS`` to ``LONG`` words is a block;
+  stretches of shorter and longer lines are cut, whatever their lines, where the hash of the next few words is the least of ``MIN_WORDS`` words on either
+  side. Blocks have MinHash values of their five-word shingles, in as many bands of ``jaccard.ROWS`` as find a pair of the wanted
+  similarity with probability ``jaccard.RECALL``; of the blocks that share a band, the exact Jaccard similarity decides, and components of the links are the classes.
+* **Windows** are all runs of ``WINDOW`` words, wherever they start. Their shingles have ``WINDOW_SHINGLE`` words and their
+  MinHash has one row: the least hash of a window's shingles. Neighbouring windows share it, so it is found once for about 7 % of the places,
+  and equal windows always collide. Of the windows that collide all are hashed (96 bits) and those that are equal are a class.
+
+The first occurrence of a class by (doc_id, place) stays, the others are removed. Equal windows next to each other join to one passage.
+
+No group is gathered: crowded bands are cut into pieces that meet in twos (``jaccard``), copies of blocks are one node, windows are counted by
+partial aggregation, and occurrences only join their class.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import passages
+from quarry.llm import jaccard, words
 from quarry.llm.graph import connected_components
-from quarry.llm.scratch import importable, release, stored, width
-
-SHINGLE, SIMILAR, MIN_WORDS = 5, 0.8, 30
-BANDS, ROWS, SEED = 16, 4, 11
-CHUNK = 2048
-_LINES = re.compile(r"[^\n]+")
-_PRIME = np.uint64((1 << 61) - 1)
-
-
-def paragraphs(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """(number, start, end, normalised) of the lines with enough words; offsets are code points."""
-    out = []
-    for n, m in enumerate(_LINES.finditer(text or "")):
-        if m.end() - m.start() < 2 * min_words - 1:
-            continue
-        words = m.group().encode("utf-8", "replace").lower().split()
-        if len(words) >= min_words:
-            out.append((n, m.start(), m.end(), b" ".join(words)))
-    return out
-
-
-def shingles(body: bytes, size: int = SHINGLE) -> list[bytes]:
-    """The different shingles of a normalised paragraph; fewer words than a shingle make one."""
-    words = body.split(b" ")
-    return list({b" ".join(g) for g in zip(*(words[i:] for i in range(size)))}) if len(words) > size else [body]
-
-
-def bands(bodies: list[bytes], n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """(paragraphs, bands) of hashed MinHash bands."""
-    grams = [shingles(b) for b in bodies]
-    starts = np.cumsum([0] + [len(g) for g in grams[:-1]])
-    digest = xxhash.xxh64_intdigest
-    return bands_of(np.fromiter((digest(s) for g in grams for s in g), np.uint64, sum(map(len, grams))), starts, n_bands, rows)
-
-
-def bands_of(h: np.ndarray, starts: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """``bands`` of shingle hashes; those of each body begin at its start."""
-    rng = np.random.default_rng(SEED)
-    mul = rng.integers(1, 1 << 31, n_bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, n_bands * rows, dtype=np.uint64)
-    low = np.empty((n_bands * rows, len(starts)), np.uint64)
-    for i in range(n_bands * rows):
-        x = h * mul[i] + add[i]
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        low[i] = np.minimum.reduceat(x, starts)
-    out = np.zeros((n_bands, len(starts)), np.uint64)
-    for i in range(n_bands):
-        x = np.full(len(starts), i + 1, np.uint64)
-        for r in low[i * rows : (i + 1) * rows]:
-            x = (x ^ r) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(32)
-        out[i] = x
-    return out.T.view(np.int64)
-
-
-def _cut(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                rows, index = [], []
-                for i, text in enumerate(b.column(1)):
-                    found = paragraphs(text.as_py(), min_words)
-                    rows += found
-                    index += [i] * len(found)
-                if not rows:
-                    continue
-                number, start, end, bodies = zip(*rows)
-                made = pa.FixedSizeListArray.from_arrays(pa.array(bands(list(bodies)).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-                keys = [xxhash.xxh3_128_digest(x) for x in bodies]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(index, pa.int32())), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(keys, pa.binary()), made, pa.array(bodies, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "number", "start", "end", "node", "bands", "body"],
-                )
-
-    return run
-
-
-def _similar(bodies: list[bytes], similar: float) -> list[tuple[int, int]]:
-    """Edges that span the components of the pairs with exact Jaccard similarity of at least ``similar``."""
-    grams = [shingles(b) for b in bodies]
-    ids: dict[bytes, int] = {}
-    cols = [np.fromiter((ids.setdefault(s, len(ids)) for s in g), np.int64, len(g)) for g in grams]
-    return spanning(cols, len(ids), similar)
-
-
-def spanning(cols: list[np.ndarray], kinds: int, similar: float) -> list[tuple[int, int]]:
-    """As above for sets of different numbers below ``kinds``."""
-    sizes = np.array([len(c) for c in cols])
-    flat, owner = np.concatenate(cols), np.repeat(np.arange(len(cols)), sizes)
-    order = np.argsort(flat, kind="stable")
-    posts, ends = owner[order], np.searchsorted(flat[order], np.arange(kinds + 1))
-    label, edges = np.arange(len(cols)), []
-    for i, c in enumerate(cols):
-        if (label == label[0]).all():
-            break  # all in one part: no pair can join two
-        # Members of i's own part cannot add an edge with it.
-        shared = np.bincount(np.concatenate([posts[ends[s] : ends[s + 1]] for s in c.tolist()]), minlength=len(cols))
-        near = np.flatnonzero((shared >= similar * (sizes + sizes[i] - shared) - 1e-9) & (label != label[i]))
-        for j in near.tolist():
-            if label[j] != label[i]:
-                edges.append((i, j))
-                label[label == label[j]] = label[i]
-    return edges
-
-
-def _verify(similar: float):
-    def edges(run: list[tuple[int, bytes]]) -> tuple[list[int], list[int]]:
-        found = _similar([b for _, b in run], similar) if len(run) > 1 else []
-        return [run[i][0] for i, _ in found], [run[j][0] for _, j in found]
+from quarry.llm.scratch import importable, release, stored
+
+MIN_WORDS, LONG, MARK = 30, 120, 3
+WINDOW, WINDOW_SHINGLE = 50, 25
+#: A window has this many shingles.
+_REACH = WINDOW - WINDOW_SHINGLE + 1
+
+
+def blocks(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, number of words) of the blocks of a text of word hashes with the line of each word."""
+    n = len(h)
+    if n < MIN_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    size = np.diff(np.append(first, n))
+    whole = (size >= MIN_WORDS) & (size <= LONG)
+    cut = np.zeros(n + 1, bool)
+    g = words.runs(h, MARK)
+    reach = 2 * MIN_WORDS + 1
+    if len(g) >= reach:
+        at = words.least(g, reach)
+        cut[at[at == np.arange(len(at)) + MIN_WORDS]] = True
+    cut[:-1] &= ~np.repeat(whole, size)
+    cut[first[whole]] = cut[(first + size)[whole]] = cut[0] = cut[n] = True
+    places = np.flatnonzero(cut)
+    sizes = np.diff(places)
+    enough = sizes >= MIN_WORDS
+    return places[:-1][enough], sizes[enough]
+
+
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the shingles that are the least of some window; none if the text is shorter than a window."""
+    if len(h) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    g = words.runs(h, WINDOW_SHINGLE)
+    at = np.unique(words.least(g, _REACH))
+    return at, g[at]
+
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _scan(n_bands: int):
+    """One row for each row that has a block or window: its blocks, their nodes, bands and words, and its anchors."""
+
+    def made(docs: pa.RecordBatch, keep: list[int], found: list[tuple]) -> pa.RecordBatch:
+        counts, at, size, nodes, bodies, grams, anchor_counts, anchor_at, anchor = zip(*found)
+        flat = [g for own in grams for g in own]
+        own = jaccard.bands_of(np.concatenate(flat), np.cumsum([0] + [len(g) for g in flat[:-1]]), n_bands) if flat else np.zeros((0, n_bands), np.int64)
+        join = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind))
+        index = pa.array(keep, pa.int32())
+        cols = [docs.column(0).take(index), docs.column(1).take(index)]
+        cols += [_lists(counts, join(at, np.int32)), _lists(counts, join(size, np.int32)), _lists(counts, pa.array([x for y in nodes for x in y], pa.binary()))]
+        cols += [_lists(counts, _lists([n_bands] * len(own), pa.array(own.reshape(-1)))), _lists(counts, pa.array([x for y in bodies for x in y], pa.binary()).cast(pa.string()))]
+        cols += [_lists(anchor_counts, join(anchor_at, np.int32)), _lists(anchor_counts, pa.array(np.concatenate(anchor).view(np.int64)))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc", "key", "at", "size", "nodes", "bands", "bodies", "anchor_at", "anchors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        us, vs = [], []
         for b in batches:
-            for *at, node, body in zip(*(c.to_pylist() for c in b.columns)):
-                if at != key:
-                    u, v = edges(held)
-                    us, vs = us + u, vs + v
-                    held, key = [], at
-                held.append((node, body.encode()))
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-                us, vs = [], []
-        u, v = edges(held)
-        yield pa.RecordBatch.from_arrays([pa.array(us + u, pa.int64()), pa.array(vs + v, pa.int64())], names=["u", "v"])
+            keep, found, held = [], [], 0
+            for i, text in enumerate(b.column(2)):
+                raw = words.encoded(text.as_py())
+                parts = raw.lower().split()
+                if len(parts) < MIN_WORDS:
+                    continue
+                h = words.hashes(parts)
+                line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), words.bounds(raw)[0])
+                at, size = blocks(h, line)
+                bodies = [b" ".join(parts[a : a + n]) for a, n in zip(at.tolist(), size.tolist())]
+                grams = words.runs(h, jaccard.SHINGLE)
+                marks, g = anchors(h)
+                found.append((len(at), at, size, [xxhash.xxh3_128_digest(x) for x in bodies], bodies, [grams[a : a + n - jaccard.SHINGLE + 1] for a, n in zip(at.tolist(), size.tolist())], len(marks), marks, g))
+                keep.append(i)
+                held += len(raw)
+                if held > 1 << 20:
+                    yield made(b, keep, found)
+                    keep, found, held = [], [], 0
+            if keep:
+                yield made(b, keep, found)
 
     return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
-    """One row per paragraph that has a duplicate: doc_id, number, start, end, component_id, keep_id, keep_number, class_size, removed.
-
-    ``number`` counts the lines with any text from 0, start and end are code points in the text. Of a class the
-    occurrence with the smallest (doc_id, number) stays; ``keep_id`` and ``keep_number`` name it. Paragraphs that
-    repeat within one document count as well. Null and empty texts have no paragraphs; rows with a null doc_id
-    come after all others, and rows that repeat an id are one document: what they repeat of each other at the
-    same place stays with the first. Other columns are not read. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    importable(spark)
-    schema = "doc_id long, number int, start int, end int, node binary, bands array<long>, body string"
-    cut = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_cut(min_words), schema)
-    found = stored(cut, "paragraphs")
-    # Bands are a function of the node, so copies are combined here, in the map tasks first.
-    # A decimal orders occurrences by (doc_id, number), null ids last, and fits the buffers of hash aggregation.
-    ident = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
-    order = (ident * F.lit(2**31).cast("decimal(10,0)")).cast("decimal(38,0)") + F.col("number")
-    counted = [F.count("*").alias("n"), F.min(order.cast("decimal(38,0)")).alias("first")]
-    grouped = found.groupBy("node", *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)]).agg(*counted)
-    nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "paragraph-nodes")
-    banded = nodes.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"), "id")
-    n = F.count("*").over(Window.partitionBy("band"))
-    met = stored(banded.withColumn("n", n).where("n > 1").select("band", "id", F.ceil(F.col("n") / CHUNK).cast("int").alias("m")), "paragraph-bands")
-    # Only nodes that share a band need their text, once each.
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(own, key, doc, s, x, y) of the windows around places; of equal windows of a row only the first has ``doc``."""
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            out, counts = [], []
+            for text, near in zip(part.column(2), part.column(3).to_pylist()):
+                h = words.hashes(words.encoded(text.as_py()).lower().split())
+                s = (np.array(near, np.int64)[:, None] - np.arange(_REACH)).ravel()
+                s = np.unique(s[(s >= 0) & (s <= len(h) - WINDOW)])
+                x, y = (words.runs(h, WINDOW, base)[s] for base in words.BASES)
+                order = np.lexsort((s, y >> np.uint64(32), x))
+                again = np.zeros(len(s), bool)
+                again[order[1:]] = (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] >> np.uint64(32) == y[order[:-1]] >> np.uint64(32))
+                out.append((again, s, x, y))
+                counts.append(len(s))
+            index = np.repeat(np.arange(part.num_rows), counts)
+            again, s, x, y = (np.concatenate(c) for c in zip(*out))
+            own = part.column(0).take(pa.array(index))
+            first = part.column(0).take(pa.array(index, mask=again))
+            cols = [own, part.column(1).take(pa.array(index)), first, pa.array(s.astype(np.int32)), pa.array(x.view(np.int64)), pa.array((y >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["own", "key", "doc", "s", "x", "y"])
+
+
+def key_of(text: Column) -> Column:
+    """With the id this names a row; rows that repeat both are alike in everything that is found."""
+    return F.xxhash64(text)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), key_of(text).alias("key"), text.alias("text")).where("doc is not null")
+
+
+def _scanned(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
+    importable(docs.sparkSession)
+    schema = "doc long, key long, at array<int>, size array<int>, nodes array<binary>, bands array<array<long>>, bodies array<string>, anchor_at array<int>, anchors array<long>"
+    return stored(_rows(docs, id_col, text_col).mapInArrow(_scan(jaccard.banding(similar)), schema), "substring-rows")
+
+
+def _order(at: str) -> Column:
+    """Occurrences by (doc, place) as a decimal, which fits the buffers of hash aggregation."""
+    return ((F.col("doc").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)")).cast("decimal(38,0)") + F.col(at)).cast("decimal(38,0)")
+
+
+def _block_classes(found: DataFrame, similar: float) -> DataFrame:
+    """(doc, key, at, size, component_id, keep_id, class_size, removed) of the blocks that have a duplicate."""
+    names = [f"b{i}" for i in range(jaccard.banding(similar))]
+    each = found.select("doc", F.explode(F.arrays_zip("at", "size", "nodes", "bands")).alias("b")).select("doc", "b.*")
+    # Bands and size are functions of the node, so copies are combined here, in the map tasks first.
+    grouped = each.groupBy(F.col("nodes").alias("node"), "size", *[F.col("bands")[i].alias(n) for i, n in enumerate(names)]).agg(F.count("*").alias("n"), F.min(_order("at")).alias("first"))
+    nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "substring-nodes")
+    banded = nodes.select(F.explode(F.array(*names)).alias("group"), "id", (8 * F.col("size")).alias("size"))
+    met = stored(banded.drop("size").join(jaccard.crowds(banded), "group"), "substring-bands")
+    # Only nodes that share a band need their words, once each.
     wanted = nodes.select("id", "node").join(met.select("id").distinct(), "id", "left_semi")
-    texts = stored(found.select("node", "body").join(wanted.hint("shuffle_hash"), "node").groupBy("id").agg(F.min("body").alias("body")), "paragraph-texts")
-    mine = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    dealt = met.join(texts, "id").select("band", F.explode(meets).alias("c"), "id", "body").select("band", "c.i", "c.j", "id", "body")
-    near = dealt.repartition(width(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-    part = connected_components(near.mapInArrow(_verify(similar), "u long, v long"))
+    bodies = found.select(F.explode(F.arrays_zip("nodes", "bodies")).alias("b")).select(F.col("b.nodes").alias("node"), F.col("b.bodies").alias("body"))
+    texts = stored(bodies.join(wanted.hint("shuffle_hash"), "node").groupBy("id").agg(F.min("body").alias("body")), "substring-bodies")
+    part = connected_components(jaccard.links(met, texts, similar))
     release(met, texts)
     # A class is known by its smallest node; nodes without edges are classes of their own.
     classed = nodes.select("id", "node", "n", "first").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
     heads = classed.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("first")).where("class_size > 1")
-    in_class = stored(classed.drop("first").join(heads, "class").select("node", "class", "class_size", "first"), "paragraph-classes")
-    release(nodes)
-    out = found.select("doc_id", "number", "start", "end", "node").join(in_class, "node")
-    place = F.pmod(F.col("first"), F.lit(2**31).cast("decimal(10,0)"))
-    out = out.withColumn("keep_number", place.cast("int")).withColumn("keep_id", F.when(F.col("first") < F.lit(str(2**94)).cast("decimal(38,0)"), F.expr(f"(first - keep_number) div {2**31}")))
-    out = out.select(
-        "doc_id", "number", "start", "end", F.col("class").alias("component_id"), "keep_id", "keep_number", "class_size",
-        (~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("number") == F.col("keep_number")))).alias("removed"),
-    )
-    out._reads = [found, in_class]
+    in_class = stored(classed.drop("first").join(heads, "class").select("node", "class", "class_size", "first"), "substring-classes")
+    release(nodes, *part._reads)
+    occurs = found.select("doc", "key", F.explode(F.arrays_zip("at", "size", "nodes")).alias("b")).select("doc", "key", "b.at", "b.size", F.col("b.nodes").alias("node"))
+    keep = F.expr(f"(first - pmod(first, {2**31})) div {2**31}")
+    out = occurs.join(in_class, "node").select("doc", "key", "at", "size", F.col("class").alias("component_id"), keep.alias("keep_id"), "class_size", (_order("at") != F.col("first")).alias("removed"))
+    out._reads = [in_class]
     return out
 
 
-def _without(text: str, spans: list[tuple[int, int]]) -> str:
-    out, at = [], 0
-    for start, end in sorted(set(spans)):
-        out.append(text[at:start])
-        at = end + 1 if text[end : end + 1].isspace() else end
-    return "".join([*out, text[at:]])
+def _window_classes(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, key, s, x, keep_id, removed) of all windows that occur more than once."""
+    each = found.select("doc", "key", F.explode(F.arrays_zip("anchor_at", "anchors")).alias("a")).select("doc", "key", F.col("a.anchor_at").alias("at"), F.col("a.anchors").alias("g"))
+    twice = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    near = each.join(twice, "g", "left_semi").groupBy("doc", "key").agg(F.collect_list("at").alias("near"))  # of one text
+    around = _rows(docs, id_col, text_col).join(near.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "near")
+    made = stored(around.mapInArrow(_windows, "own long, key long, doc long, s int, x long, y int"), "substring-windows")
+    counted = made.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("doc").alias("keep_id")).where("n > 1").drop("n")
+    least = stored(counted, "substring-least")
+    out = made.join(least, ["x", "y"]).select(F.col("own").alias("doc"), "key", "s", "x", "keep_id", (~F.col("doc").eqNullSafe(F.col("keep_id"))).alias("removed"))
+    out._reads = [made, least]
+    return out
 
 
-def _cleaned(joined: DataFrame, docs: DataFrame, text_col: str, size_col: str | None, spans_of) -> DataFrame:
-    """The columns of ``docs`` in ``joined``, whose last column ``_spans`` tells ``spans_of(text, _spans)`` what goes."""
-    names = docs.columns
-    place, size = names.index(text_col), names.index(size_col) if size_col in names else None
+def _joined(windows: list, removed: bool) -> list[tuple[int, int, int, int]]:
+    """(first word, words, class, keep_id) of the passages that windows of one kind make, each named by its first window."""
+    out: list[list[int]] = []
+    for w in sorted((w for w in windows if w["removed"] == removed), key=lambda w: w["s"]):
+        if out and w["s"] <= out[-1][0] + out[-1][1]:
+            out[-1][1] = w["s"] + WINDOW - out[-1][0]
+        else:
+            out.append([w["s"], WINDOW, w["x"], w["keep_id"]])
+    return [tuple(x) for x in out]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols, spans = list(b.columns[:-1]), b.column(b.num_columns - 1).to_pylist()
-            texts = cols[place].to_pylist()
-            new = [t if not s or t is None else _without(t, spans_of(t, s)) for t, s in zip(texts, spans)]
-            cols[place] = pa.array(new, cols[place].type)
-            if size is not None:
-                old = cols[size].to_pylist()
-                cols[size] = pa.array([o if not s else len(t or "") for o, t, s in zip(old, new, spans)], cols[size].type)
-            keep = pa.array([not s or bool(t and t.strip()) for t, s in zip(new, spans)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(keep)
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "_spans").mapInArrow(run, docs.schema)
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = jaccard.SIMILAR) -> DataFrame:
+    """One row per repeated paragraph: doc_id, kind, number, size, start, end, component_id, keep_id, removed.
 
+    ``kind`` is "block" (similar to others of its class) or "passage" (equal windows that follow each other, those that stay and those that go
+    apart). ``number`` and ``size`` count words, start and end are code points in the text. Of a class the
+    occurrence with the smallest (doc_id, number) stays; ``keep_id`` is its document. A passage has the class and keep_id of its first
+    window. Paragraphs that repeat within one document count as well.
 
-def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", min_words: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` without the paragraphs and passages that repeat one kept elsewhere; its columns, ``size_col`` counted anew.
+    Null, empty and short texts have no paragraphs. Rows with a null doc_id take no part. Rows that repeat an id and the text are one document, given
+    as often as it is there; rows that repeat an id with other texts are told apart, but what they share stays in both. Texts of any length are read whole.
+    Ties cannot occur within a text. Other columns are not read. An empty table gives no rows.
+    """
+    found = _scanned(docs, id_col, text_col, similar)
+    blocks_of = _block_classes(found, similar)
+    windows_of = _window_classes(found, docs, id_col, text_col)
+    per_block = blocks_of.groupBy("doc", "key").agg(F.collect_set(F.struct("at", "size", "component_id", "keep_id", "removed")).alias("blocks"))
+    per_window = windows_of.groupBy("doc", "key").agg(F.collect_set(F.struct("s", "x", "keep_id", "removed")).alias("windows"))
+    both = stored(per_block.join(per_window, ["doc", "key"], "full"), "substring-found")
+    release(found, *blocks_of._reads, *windows_of._reads)
 
-    First similar paragraphs go, with the line break after them; then, of what is left, all passages that
-    ``passages`` finds inside lines and over several lines, with the white space after them. Documents that lose nothing are as they
-    were; documents of which nothing but white space is left are left out. Rows with a null id are kept whole.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                out = []
+                for doc, text, own, shared in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
+                    rows = [("block", x["at"], x["size"], x["component_id"], x["keep_id"], x["removed"]) for x in own or ()]
+                    rows += [("passage", *x, gone) for gone in (False, True) for x in _joined(shared or (), gone)]
+                    raw = words.encoded(text)
+                    first, last = words.bounds(raw)
+                    number = np.array([r[1] for r in rows])
+                    spans = words.code_points(raw, first[number], last[number + np.array([r[2] for r in rows]) - 1])
+                    out += [(doc, *r[:3], *span, *r[3:]) for r, span in zip(rows, spans)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "kind", "number", "size", "start", "end", "component_id", "keep_id", "removed"])
+
+    joined = _rows(docs, id_col, text_col).join(both.hint("shuffle_hash"), ["doc", "key"]).select("doc", "text", "blocks", "windows")
+    return joined.mapInArrow(run, "doc_id long, kind string, number int, size int, start int, end int, component_id long, keep_id long, removed boolean")
+
+
+def _without(text: str, gone: list) -> str:
+    """The text without the words of ``gone`` (first word, number of words) and one white space after each run of them."""
+    raw = words.encoded(text)
+    first, last = words.bounds(raw)
+    edge = np.zeros(len(first) + 1, np.int64)
+    at, size = (np.array([x[k] for x in gone], np.int64) for k in ("at", "size"))
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + size, -1)
+    covered = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
+    opens, closes = np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
+    out, here = [], 0
+    for start, end in words.code_points(raw, first[opens], last[closes - 1]):
+        out.append(text[here:start])
+        here = end + 1 if text[end : end + 1].isspace() else end
+    return "".join([*out, text[here:]])
+
+
+def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", similar: float = jaccard.SIMILAR) -> DataFrame:
+    """``docs`` without the paragraphs that repeat one kept elsewhere; its columns, ``size_col`` counted anew.
+
+    What goes are the removed blocks and passages of ``classes``, with one white space after each. Rows are known by id and text, so a row
+    loses only what was found in its own text. Documents that lose nothing are as they
+    were; documents of which nothing but white space is left are left out. Rows with a null id are kept whole, as are those with null, empty
+    or short texts; rows that repeat id and text lose the same. An empty table gives no rows.
     """
-    found = classes(docs, id_col, text_col, min_words, similar)
-    removed = stored(found.where("removed and doc_id is not null").select("doc_id", "start", "end"), "paragraphs-removed")
-    release(*found._reads)
-    spans = removed.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # of one document
-    ident = F.col(f"`{id_col}`").cast("long")
-    joined = docs.join(spans.hint("shuffle_hash"), ident == F.col("_doc"), "left")
-    lines = stored(_cleaned(joined, docs, text_col, size_col, lambda t, s: [(x["start"], x["end"]) for x in s]), "paragraphs-cleaned")
-    release(removed)
-    at = passages.starts(lines, id_col, text_col).where(F.size("at") > 0).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("at").alias("_spans"))
-    same = (ident == F.col("_doc")) & (passages.key_of(F.col(f"`{text_col}`")) == F.col("_key"))
-    return _cleaned(lines.join(at.hint("shuffle_hash"), same, "left"), docs, text_col, size_col, passages.spans)
+    found = _scanned(docs, id_col, text_col, similar)
+    blocks_of = _block_classes(found, similar)
+    gone = stored(blocks_of.where("removed").select("doc", "key", "at", "size"), "substring-blocks-gone")
+    release(*blocks_of._reads)
+    windows_of = _window_classes(found, docs, id_col, text_col)
+    more = windows_of.where("removed").select("doc", "key", F.col("s").alias("at"), F.lit(WINDOW).alias("size"))
+    spans = stored(gone.unionByName(more).groupBy("doc", "key").agg(F.collect_list(F.struct("at", "size")).alias("_spans")), "substring-gone")  # of one text
+    release(found, gone, *windows_of._reads)
+    spans = spans.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "_spans")
+    same = (F.col(f"`{id_col}`").cast("long") == F.col("_doc")) & (key_of(F.col(f"`{text_col}`")) == F.col("_key"))
+    names = docs.columns
+    place, size = names.index(text_col), names.index(size_col) if size_col in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                cols, own = list(part.columns[:-1]), part.column(part.num_columns - 1).to_pylist()
+                new = [t if not s or t is None else _without(t, s) for t, s in zip(cols[place].to_pylist(), own)]
+                cols[place] = pa.array(new, cols[place].type)
+                if size is not None:
+                    cols[size] = pa.array([o if not s else len(t or "") for o, t, s in zip(cols[size].to_pylist(), new, own)], cols[size].type)
+                keep = pa.array([not s or bool(t and t.strip()) for t, s in zip(new, own)], pa.bool_())
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(keep)
+
+    joined = docs.join(spans.hint("shuffle_hash"), same, "left").select(*[F.col(f"`{c}`") for c in names], "_spans")
+    return joined.mapInArrow(run, docs.schema)

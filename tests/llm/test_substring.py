@@ -1,22 +1,48 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
+import pytest
+
+from quarry.llm import jaccard, words
 from quarry.llm import substring_dedup as S
 from quarry.llm.queries import op3_substring_dedup
 
+F = "/root/testdata/sf0.001"
+
+
+def words_of(text):
+    return (text or "").encode("utf-8", "replace").lower().split()
+
 
-def brute(rows, min_words=S.MIN_WORDS, similar=S.SIMILAR):
-    """Occurrences of duplicated paragraphs by comparing all pairs: (doc_id, number, removed, size)."""
+def slow_blocks(text):
+    """(first word, number of words): the rule of the module, word by word."""
+    own, lines = [], []
+    for i, line in enumerate((text or "").split("\n")):
+        own += words_of(line)
+        lines += [i] * len(words_of(line))
+    n = len(own)
+    g = [int(x) for x in words.runs(words.hashes(own), S.MARK)] if n >= S.MARK else []
+    whole = {i for i in set(lines) if S.MIN_WORDS <= lines.count(i) <= S.LONG}
+    cuts = {0, n}
+    for p in range(n):
+        if lines[p] in whole and (p == 0 or lines[p - 1] != lines[p]):
+            cuts |= {p, p + lines.count(lines[p])}
+        r = S.MIN_WORDS
+        if lines[p] not in whole and r <= p < len(g) - r and all(g[q] > g[p] for q in range(p - r, p)) and all(g[q] >= g[p] for q in range(p + 1, p + r + 1)):
+            cuts.add(p)
+    cuts = sorted(cuts)
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:]) if b - a >= S.MIN_WORDS]
+
+
+def brute_blocks(rows, similar=0.8):
+    """(doc_id, place, size, keep_id, removed) of repeated blocks, by comparing all pairs."""
     occ = []
     for d, t in rows:
-        n = -1
-        for line in (t or "").split("\n"):
-            n += bool(line)
-            words = line.encode().lower().split()
-            if len(words) >= min_words:
-                grams = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 5 else {tuple(words)}
-                occ.append((d, n, grams))
+        own = words_of(t)
+        if d is not None:
+            occ += [(d, a, n, {tuple(own[i : i + 5]) for i in range(a, a + n - 4)}) for a, n in slow_blocks(t)]
     parent = list(range(len(occ)))
 
     def root(x):
@@ -26,78 +52,117 @@ def brute(rows, min_words=S.MIN_WORDS, similar=S.SIMILAR):
 
     for i, a in enumerate(occ):
         for j in range(i):
-            shared = len(a[2] & occ[j][2])
-            if shared >= similar * (len(a[2]) + len(occ[j][2]) - shared) - 1e-9:
+            shared = len(a[3] & occ[j][3])
+            if shared >= similar * (len(a[3]) + len(occ[j][3]) - shared) - 1e-9:
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
-    groups = {}
+    groups = defaultdict(list)
     for i, o in enumerate(occ):
-        groups.setdefault(root(i), []).append(o)
-    for g in groups.values():
-        if len(g) > 1:
-            first = min((d is None, d or 0, n) for d, n, _ in g)
-            for d, n, _ in g:
-                yield d, n, (d is None, d or 0, n) != first, len(g)
+        groups[root(i)].append(o[:3])
+    return sorted((d, a, n, min(g)[0], (d, a) != min(g)[:2]) for g in groups.values() if len(g) > 1 for d, a, n in g)
+
+
+def brute_windows(rows):
+    """{(doc_id, word)}: words of windows that are not the first of their kind, and words of those that are."""
+    seen, gone, stay = defaultdict(list), set(), set()
+    for d, t in rows:
+        own = words_of(t)
+        if d is not None:
+            for i in range(len(own) - S.WINDOW + 1):
+                seen[tuple(own[i : i + S.WINDOW])].append((d, i))
+    for v in seen.values():
+        for k, (d, i) in enumerate(sorted(v) if len(v) > 1 else ()):
+            (gone if k else stay).update((d, j) for j in range(i, i + S.WINDOW))
+    return gone, stay
+
+
+def assert_equal(found, rows):
+    found, text = found.collect(), dict(rows)
+    blocks = [r for r in found if r.kind == "block"]
+    assert sorted((r.doc_id, r.number, r.size, r.keep_id, r.removed) for r in blocks) == brute_blocks(rows)
+    parts = defaultdict(set)
+    for r in blocks:
+        parts[r.component_id].add((r.keep_id))
+    assert all(len(k) == 1 for k in parts.values())
+    covered = [{(r.doc_id, r.number + i) for r in found if r.kind == "passage" and r.removed is gone for i in range(r.size)} for gone in (True, False)]
+    assert tuple(covered) == brute_windows(rows)
+    for r in found:
+        assert words_of(text[r.doc_id][r.start : r.end]) == words_of(text[r.doc_id])[r.number : r.number + r.size]
+        assert not text[r.doc_id][r.start].isspace() and not text[r.doc_id][r.end - 1].isspace()
 
 
 def table(seed):
+    """Lines of all lengths, copied whole, with changes, inside other lines and wrapped."""
     rng = random.Random(seed)
-    words = [f"w{i}" for i in range(2000)]
-    shared = [[rng.choice(words) for _ in range(rng.randrange(25, 120))] for _ in range(8)]
+    vocabulary = [f"wé{i}" for i in range(2000)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    shared = [say(rng.randrange(25, 140)) for _ in range(8)]
     rows = []
     for d in range(60):
         lines = []
         for _ in range(rng.randrange(1, 6)):
-            if rng.random() < 0.4:
+            kind, line = rng.random(), say(rng.randrange(1, 90))
+            if kind < 0.3:
                 line = list(rng.choice(shared))
                 for _ in range(rng.randrange(0, 5)):
-                    line[rng.randrange(len(line))] = rng.choice(words)
-            else:
-                line = [rng.choice(words) for _ in range(rng.randrange(1, 90))]
-            lines.append(" ".join(line))
+                    line[rng.randrange(len(line))] = rng.choice(vocabulary)
+            elif kind < 0.5:
+                line = say(rng.randrange(60)) + rng.choice(shared) + say(rng.randrange(150))
+            elif kind < 0.6:
+                part = rng.choice(shared)
+                lines += [" ".join(part[i : i + 9]) for i in range(0, len(part), 9)]
+            lines.append(rng.choice([" ", "  "]).join(line))
         rows.append((d, rng.choice(["\n", "\n\n"]).join(lines)))
     return rows
 
 
-def as_rows(df):
-    return sorted(((r.doc_id, r.number, r.removed, r.class_size) for r in df.collect()), key=str)
+@pytest.mark.parametrize("chunk", [jaccard.CHUNK, 3])
+def test_equals_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    line = " ".join(f"w{i}" for i in range(55))
+    rows = table(1) + [(100, None), (101, ""), (102, "\n\n"), (None, line), (103, line), (104, "the " * 300), (105, line + "\n" + line)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, nodes string")
+    assert_equal(S.classes(docs), rows)
+    assert S.classes(docs.limit(0)).count() == 0
 
 
-def test_equals_brute_force(spark):
-    rows = table(1) + [(100, None), (101, ""), (102, "\n\n"), (None, " ".join(f"w{i}" for i in range(50))), (103, " ".join(f"w{i}" for i in range(50)))]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
-    got = S.classes(docs)
-    assert as_rows(got) == sorted(brute(rows), key=str)
-    text = dict(rows)
-    for r in got.collect():
-        if r.doc_id is not None:
-            part = text[r.doc_id][r.start : r.end]
-            assert "\n" not in part and len(part.split()) >= S.MIN_WORDS
-    assert S.classes(docs.limit(0)).count() == 0
+def test_op3_by_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{F}/documents.parquet").collect()]
+    assert_equal(op3_substring_dedup(spark, F), rows)
 
 
-def test_crowded_bands_are_cut_exactly(spark, monkeypatch):
-    rng = random.Random(2)
-    base = [f"w{i}" for i in range(100)]
-    rows = []
-    for d in range(25):
-        line = list(base)
-        line[rng.randrange(100)] = f"n{d}"
-        rows.append((d, " ".join(line)))
-    monkeypatch.setattr(S, "CHUNK", 4)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert as_rows(S.classes(docs)) == sorted(brute(rows), key=str)
+def test_bands_follow_the_similarity():
+    for similar in (0.5, 0.7, 0.8, 0.95):
+        n = jaccard.banding(similar)
+        missed = (1 - similar**jaccard.ROWS) ** n
+        assert missed <= 1 - jaccard.RECALL < (1 - similar**jaccard.ROWS) ** (n - 1)
+
+
+def test_passages_inside_a_line_and_over_short_lines(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"wé{rng.randrange(9999)}" for _ in range(n))
+    one = say(50)
+    wrapped = "\n".join(" ".join(one.split()[i : i + 7]) for i in range(0, 50, 7))
+    a, b, c, d, e, f = (say(80) for _ in range(6))
+    short = " ".join(one.split()[:29])
+    rows = [(1, f"{a} {one} {b}", 0), (2, f"{c} {one.upper().replace('É', 'é')} {d}", 0), (3, f"{e}\n{wrapped}\n{f}", 0), (4, f"{say(9)} {short}", 7), (None, one, 8), (5, None, None)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in S.cleaned_rows(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    want = {1: (rows[0][1], 0), 2: (f"{c} {d}", len(c) + len(d) + 1), 3: (f"{e}\n{f}", len(e) + len(f) + 1), 4: rows[3][1:], None: (one, 8), 5: (None, None)}
+    assert got == want
 
 
 def test_cleaned_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, f"head\n{long}\ntail", 9), (2, f"{long}\nonly here", None), (3, long, 1), (4, None, None), (5, "", 0), (6, f"a\n\n{long}", 7), (None, long, 8)]
+    near = long.replace("w30", "other")
+    rows = [(1, f"head\n{long}\ntail", 9), (2, f"{long}\nonly here", None), (3, long, 1), (4, None, None), (5, "", 0), (6, f"a\n\n{near}", 7), (None, long, 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in S.cleaned_rows(docs).collect()}
     assert got == {1: (rows[0][1], 9), 2: ("only here", 9), 4: (None, None), 5: ("", 0), 6: ("a\n\n", 3), None: (long, 8)}
+    assert S.cleaned_rows(docs.limit(0)).count() == 0
 
 
-def test_op3_by_brute_force(spark):
-    d = "/root/testdata/sf0.001"
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
-    assert as_rows(op3_substring_dedup(spark, d)) == sorted(brute(rows), key=str)
+def test_rows_that_repeat_an_id(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(4))
+    docs = spark.createDataFrame([(1, a), (2, f"{b} {a} y"), (2, f"{c} {d}"), (2, f"{c} {d}")], "doc_id long, text string")
+    assert sorted(r.text for r in S.cleaned_rows(docs).collect()) == sorted([a, f"{b} y", f"{c} {d}", f"{c} {d}"])
