@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words
-from quarry.llm.scratch import importable, width
+from quarry.llm.graph import connected_components
+from quarry.llm.scratch import importable, release, stored, width
 
 SHINGLE, SIMILAR, RECALL, ROWS, SEED = 5, 0.8, 0.999, 3, 11
 #: Members and bytes of text of one group that are compared in one piece; a larger group is cut
@@ -24,8 +25,12 @@ def banding(similar: float, recall: float = RECALL, rows: int = ROWS) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similar**rows))) if similar < 1 else 1
 
 
-def bands_of(h: np.ndarray, starts: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
-    """(bodies, bands) of hashed MinHash bands; the shingle hashes of each body begin at its start."""
+def bands_of(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
+    """(bodies, bands) of hashed MinHash bands; the shingle hashes of each body are those from its start to its end."""
+    if not len(starts):
+        return np.zeros((0, n_bands), np.int64)
+    h = np.append(h, np.uint64(0))  # an end may be the end of all
+    places = np.stack([starts, ends], axis=1).ravel()
     rng = np.random.default_rng(SEED)
     mul = rng.integers(1, 1 << 31, n_bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 63, n_bands * rows, dtype=np.uint64)
@@ -37,7 +42,7 @@ def bands_of(h: np.ndarray, starts: np.ndarray, n_bands: int, rows: int = ROWS)
             x += add[j]
             x ^= x >> np.uint64(29)
             x *= np.uint64(0xBF58476D1CE4E5B9)
-            key = (key ^ np.minimum.reduceat(x, starts)) * np.uint64(0x94D049BB133111EB)
+            key = (key ^ np.minimum.reduceat(x, places)[::2]) * np.uint64(0x94D049BB133111EB)
             key ^= key >> np.uint64(32)
         out[i] = key
     return out.T.view(np.int64)
@@ -83,7 +88,7 @@ def _verify(similar: float):
                     u, v = edges(held)
                     us, vs = us + u, vs + v
                     held, key = [], at
-                held.append((node, words.shingles(words.hashes(body.as_py().encode().split(b" ")), SHINGLE)))
+                held.append((node, words.shingles(words.of(body.as_py().encode()), SHINGLE)))
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
         u, v = edges(held)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -91,22 +96,31 @@ def _verify(similar: float):
     return run
 
 
-def crowds(members: DataFrame) -> DataFrame:
-    """(group, m) of ``members(group, id, size)`` for groups of at least two; m is the number of pieces."""
-    pieces = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).cast("int")
-    return members.groupBy("group").agg(F.count("*").alias("n"), pieces.alias("m")).where("n > 1").drop("n")
-
+def _links(met: DataFrame, bodies: DataFrame, similar: float) -> DataFrame:
+    """Edges (u, v) that span all pairs of similar bodies in each group of ``met(group, id, m)``.
 
-def links(met: DataFrame, bodies: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Edges (u, v) that span all pairs of similar bodies in each group.
-
-    ``met(group, id, m)`` are members with the pieces of their group, ``bodies(id, body)`` normalised words. A group
-    of several pieces is dealt by a hash of the member, and every two pieces meet in a task of their own.
+    m is the number of pieces of the group; a member's piece is a hash of its id, and every two pieces meet in a task of their own.
     """
-    spark = met.sparkSession
-    importable(spark)
     mine = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     dealt = met.join(bodies, "id").select("group", F.explode(meets).alias("c"), "id", "body").select("group", "c.i", "c.j", "id", "body")
-    near = dealt.repartition(width(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j", "id")
+    near = dealt.repartition(width(met.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j", "id")
     return near.mapInArrow(_verify(similar), "u long, v long")
+
+
+def classes(nodes: DataFrame, candidates: DataFrame, bodies: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(node, component) of the ids of ``nodes(id, node, size)`` that have a similar one.
+
+    ``candidates(u, v)`` are edges between ids. Whatever is reached over them is one group; within a group all pairs are
+    counted exactly, and the pairs that reach ``similar`` make the components. ``bodies(node, body)`` are normalised words, any number of rows a
+    node; only those of nodes with a candidate are moved, once each.
+    """
+    importable(nodes.sparkSession)
+    close = connected_components(candidates)
+    members = close.select(F.col("component").alias("group"), F.col("node").alias("id")).join(nodes, "id")
+    pieces = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).cast("int")
+    met = stored(members.join(members.groupBy("group").agg(pieces.alias("m")), "group").select("group", "id", "node", "m"), "groups")
+    texts = stored(bodies.join(met.select("id", "node").hint("shuffle_hash"), "node").groupBy("id").agg(F.min("body").alias("body")), "group-bodies")
+    out = connected_components(_links(met.drop("node"), texts, similar))
+    release(met, texts, *close._reads)
+    return out

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -53,7 +54,7 @@ class Tokens:
     """Token ids of texts by a tokenizers file, as little-endian uint32 bytes.
 
     A byte-level tokenizer encodes each piece of its split on its own, so the library's model
-    is asked for a piece once. Tokenizers of other kinds encode whole texts.
+    is asked for a piece once. Tokenizers of other kinds, and texts in which an added token is written out, are left to the library whole.
     """
 
     def __init__(self, table: str, pattern: str):
@@ -61,11 +62,12 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_str(table)
-        self._tok.encode_special_tokens = True
         said = json.loads(table)
         pre = said.get("pre_tokenizer") or {}
         alone = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not said.get("normalizer")
         self._split = Splitter(pattern) if alone else None
+        added = [re.escape(x["content"]) for x in said.get("added_tokens") or []]
+        self._added = re.compile("|".join(added)).search if added else lambda text: None
         letters, model = _byte_letters(), self._tok.model
         self._memo = _Memo(lambda p: np.array([t.id for t in model.tokenize(p.encode("utf-8").decode("latin-1").translate(letters))], "<u4").tobytes())
 
@@ -75,8 +77,8 @@ class Tokens:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self._split is None:
             return self._ids(texts)
-        of, split = self._memo.__getitem__, self._split
-        return [b"".join(map(of, split(t))) for t in texts]
+        of, split, added = self._memo.__getitem__, self._split, self._added
+        return [self._ids([t])[0] if added(t) else b"".join(map(of, split(t))) for t in texts]
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -104,7 +106,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 1, longest: int
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids array<int>].
 
     Every document ends with ``end_id``, so an empty or null text gives one piece of one
-    token. ``longest`` must be a power of two. ``sequence_id`` is unique and sorts by bucket (its top
+    token; a document of any length is encoded whole. ``longest`` must be a power of two. ``sequence_id`` is unique and sorts by bucket (its top
     bits are log2 of the length), so a bucket is a range of ids; ``offset`` is always 0,
     and no padding is ever needed. Null and repeated doc_ids are documents like any
     other; other columns are not read. An empty table gives no rows. ``path`` is a tokenizers

@@ -50,7 +50,7 @@ _ALL = ~np.uint64(0)
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Signed fingerprint of one text of 64 bits; no words give zero, fewer than a shingle give one shingle."""
-    parts = words.encoded(text).lower().split()
+    parts = words.encoded(text).split()
     if not parts:
         return 0
     grams = [b" ".join(g) for g in zip(*(parts[i:] for i in range(shingle)))] if len(parts) > shingle else [b" ".join(parts)]
@@ -306,16 +306,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
-            bodies, prints = [], []
-            for text in part.column(2):
-                own = words.encoded(text.as_py()).lower().split()
-                bodies.append(b" ".join(own))
-                prints.append(wide(words.shingles(words.hashes(own or [b""]), jaccard.SHINGLE)))
+            bodies = [b" ".join(words.encoded(text.as_py()).split()) for text in part.column(2)]
+            prints = [wide(words.shingles(words.of(x), jaccard.SHINGLE)) for x in bodies]
             cols = [part.column(0), part.column(1), pa.array([xxhash.xxh3_128_digest(x) for x in bodies], pa.binary()), *(pa.array(c) for c in np.array(prints, np.int64).T)]
             cols += [pa.array([len(x) for x in bodies], pa.int64()), pa.array(bodies, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "node", *_FPS, "size", "body"])
 
 
+def _between(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """``near``, edges between the first ids of fingerprints, and edges from the other ids of a fingerprint to its first."""
+    first = nodes.groupBy(*_FPS).agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return near.unionByName(nodes.join(first, _FPS).where("id <> v").select(F.col("id").alias("u"), "v"))
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = jaccard.SIMILAR) -> DataFrame:
     """(doc_id, key, component_id) for every row of ``docs``; ``key`` is the XXH64 of the text.
 
@@ -331,17 +334,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stored(rows.mapInArrow(_texts, schema), "near-texts")
     grouped = found.groupBy("node", "size", *_FPS).agg(F.min("doc_id").alias("first"))
     nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
-    prints = nodes.select(*_FPS).distinct().select(F.xxhash64(*_FPS).alias("node"), *_FPS)
-    close = connected_components(links(prints, radius_of(similar), wide_masks(similar, nodes.count())))
-    own = nodes.select(F.xxhash64(*_FPS).alias("print"), "id", "size").join(close.withColumnRenamed("node", "print"), "print", "left")
-    members = own.select(F.coalesce("component", "print").alias("group"), "id", "size")
-    met = stored(members.drop("size").join(jaccard.crowds(members), "group"), "near-groups")
-    release(*close._reads)
-    # Only texts that have a candidate are moved, once each.
-    wanted = nodes.select("id", "node").join(met.select("id"), "id", "left_semi")
-    bodies = stored(found.select("node", "body").join(wanted.hint("shuffle_hash"), "node").groupBy("id").agg(F.min("body").alias("body")), "near-bodies")
-    part = connected_components(jaccard.links(met, bodies, similar))
-    release(met, bodies)
+    prints = nodes.groupBy(*_FPS).agg(F.min("id").alias("node")).select("node", *_FPS)
+    near = links(prints, radius_of(similar), wide_masks(similar, nodes.count()))
+    part = jaccard.classes(nodes.select("id", "node", "size"), _between(nodes, near), found.select("node", "body"), similar)
     named = nodes.select("id", "node", "first").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_node = stored(named.join(least, "component").select("node", "component_id"), "near-classes")

@@ -33,14 +33,23 @@ from quarry.llm.scratch import importable, release, stored
 
 MIN_WORDS, LONG, MARK = 30, 120, 3
 WINDOW, WINDOW_SHINGLE = 50, 25
+_CHUNK = 1 << 20
 #: A window has this many shingles.
 _REACH = WINDOW - WINDOW_SHINGLE + 1
 
 
-def blocks(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, number of words) of the blocks of a text of word hashes with the line of each word."""
+def _texts(bodies: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Several encoded texts as one, with the byte offsets at which its words begin and end, and the text of each word."""
+    whole = b"\n".join(bodies)
+    first, last = words.bounds(whole)
+    starts = np.cumsum([0] + [len(x) + 1 for x in bodies[:-1]])
+    return whole, first, last, np.searchsorted(starts, first, "right") - 1
+
+
+def blocks(h: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, number of words) of the blocks of texts whose words follow each other; no line is in two texts."""
     n = len(h)
-    if n < MIN_WORDS:
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     size = np.diff(np.append(first, n))
@@ -50,90 +59,104 @@ def blocks(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     reach = 2 * MIN_WORDS + 1
     if len(g) >= reach:
         at = words.least(g, reach)
-        cut[at[at == np.arange(len(at)) + MIN_WORDS]] = True
+        low = np.flatnonzero(at == np.arange(len(at)) + MIN_WORDS)
+        cut[low[doc[low] == doc[low + reach + MARK - 2]] + MIN_WORDS] = True
     cut[:-1] &= ~np.repeat(whole, size)
     cut[first[whole]] = cut[(first + size)[whole]] = cut[0] = cut[n] = True
+    cut[1:n] |= doc[1:] != doc[:-1]
     places = np.flatnonzero(cut)
     sizes = np.diff(places)
     enough = sizes >= MIN_WORDS
     return places[:-1][enough], sizes[enough]
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the shingles that are the least of some window; none if the text is shorter than a window."""
+def anchors(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the shingles that are the least of some window within a text."""
     if len(h) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     g = words.runs(h, WINDOW_SHINGLE)
-    at = np.unique(words.least(g, _REACH))
+    at = np.unique(words.least(g, _REACH)[doc[: len(h) - WINDOW + 1] == doc[WINDOW - 1 :]])
     return at, g[at]
 
 
-def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+def _offsets(doc: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
 
 
 def _scan(n_bands: int):
-    """One row for each row that has a block or window: its blocks, their nodes, bands and words, and its anchors."""
-
-    def made(docs: pa.RecordBatch, keep: list[int], found: list[tuple]) -> pa.RecordBatch:
-        counts, at, size, nodes, bodies, grams, anchor_counts, anchor_at, anchor = zip(*found)
-        flat = [g for own in grams for g in own]
-        own = jaccard.bands_of(np.concatenate(flat), np.cumsum([0] + [len(g) for g in flat[:-1]]), n_bands) if flat else np.zeros((0, n_bands), np.int64)
-        join = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind))
-        index = pa.array(keep, pa.int32())
-        cols = [docs.column(0).take(index), docs.column(1).take(index)]
-        cols += [_lists(counts, join(at, np.int32)), _lists(counts, join(size, np.int32)), _lists(counts, pa.array([x for y in nodes for x in y], pa.binary()))]
-        cols += [_lists(counts, _lists([n_bands] * len(own), pa.array(own.reshape(-1)))), _lists(counts, pa.array([x for y in bodies for x in y], pa.binary()).cast(pa.string()))]
-        cols += [_lists(anchor_counts, join(anchor_at, np.int32)), _lists(anchor_counts, pa.array(np.concatenate(anchor).view(np.int64)))]
+    """One row for each text that has a block or window: its blocks, their nodes, bands and words, and its anchors."""
+
+    def made(rows: pa.RecordBatch, keep: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+        whole, first, last, doc = _texts(bodies)
+        h, n, start = words.hashes(whole, first, last), len(bodies), _offsets(doc, len(bodies))
+        at, size = blocks(h, doc, np.searchsorted(np.flatnonzero(np.frombuffer(whole, np.uint8) == 10), first))
+        own = [b" ".join(whole[a:e].split()) for a, e in zip(first[at].tolist(), last[at + size - 1].tolist())]
+        found = jaccard.bands_of(words.runs(h, jaccard.SHINGLE), at, at + size - jaccard.SHINGLE + 1, n_bands)
+        marks, g = anchors(h, doc)
+        per_doc, per_mark = pa.array(_offsets(doc[at], n)), pa.array(_offsets(doc[marks], n))
+        lists = lambda offsets, values: pa.ListArray.from_arrays(offsets, values)
+        by_band = lists(pa.array((np.arange(len(at) + 1) * n_bands).astype(np.int32)), pa.array(found.reshape(-1)))
+        cols = [
+            rows.column(0).take(pa.array(keep, pa.int32())), rows.column(1).take(pa.array(keep, pa.int32())),
+            lists(per_doc, pa.array((at - start[doc[at]]).astype(np.int32))), lists(per_doc, pa.array(size.astype(np.int32))),
+            lists(per_doc, pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary())), lists(per_doc, by_band), lists(per_doc, pa.array(own, pa.binary()).cast(pa.string())),
+            lists(per_mark, pa.array((marks - start[doc[marks]]).astype(np.int32))), lists(per_mark, pa.array(g.view(np.int64))),
+        ]
         return pa.RecordBatch.from_arrays(cols, names=["doc", "key", "at", "size", "nodes", "bands", "bodies", "anchor_at", "anchors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, found, held = [], [], 0
+            keep, bodies, held = [], [], 0
             for i, text in enumerate(b.column(2)):
-                raw = words.encoded(text.as_py())
-                parts = raw.lower().split()
-                if len(parts) < MIN_WORDS:
+                body = words.encoded(text.as_py())
+                if len(body) < 2 * MIN_WORDS - 1:
                     continue
-                h = words.hashes(parts)
-                line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), words.bounds(raw)[0])
-                at, size = blocks(h, line)
-                bodies = [b" ".join(parts[a : a + n]) for a, n in zip(at.tolist(), size.tolist())]
-                grams = words.runs(h, jaccard.SHINGLE)
-                marks, g = anchors(h)
-                found.append((len(at), at, size, [xxhash.xxh3_128_digest(x) for x in bodies], bodies, [grams[a : a + n - jaccard.SHINGLE + 1] for a, n in zip(at.tolist(), size.tolist())], len(marks), marks, g))
                 keep.append(i)
-                held += len(raw)
-                if held > 1 << 20:
-                    yield made(b, keep, found)
-                    keep, found, held = [], [], 0
+                bodies.append(body)
+                held += len(body)
+                if held > _CHUNK:
+                    yield made(b, keep, bodies)
+                    keep, bodies, held = [], [], 0
             if keep:
-                yield made(b, keep, found)
+                yield made(b, keep, bodies)
 
     return run
 
 
+def _chunks(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``_CHUNK`` bytes of text, at least one row each."""
+    size = np.array([len(t) if t else 0 for t in b.column(text).to_pylist()], np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // _CHUNK, prepend=0)).tolist()
+    for start, end in zip([0, *cuts], [*cuts, b.num_rows]):
+        if end > start:
+            yield b.slice(start, end - start)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, row of each) of a list column."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), sizes)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(own, key, doc, s, x, y) of the windows around places; of equal windows of a row only the first has ``doc``."""
     for b in batches:
-        for at in range(0, b.num_rows, 64):
-            part = b.slice(at, 64)
-            out, counts = [], []
-            for text, near in zip(part.column(2), part.column(3).to_pylist()):
-                h = words.hashes(words.encoded(text.as_py()).lower().split())
-                s = (np.array(near, np.int64)[:, None] - np.arange(_REACH)).ravel()
-                s = np.unique(s[(s >= 0) & (s <= len(h) - WINDOW)])
-                x, y = (words.runs(h, WINDOW, base)[s] for base in words.BASES)
-                order = np.lexsort((s, y >> np.uint64(32), x))
-                again = np.zeros(len(s), bool)
-                again[order[1:]] = (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] >> np.uint64(32) == y[order[:-1]] >> np.uint64(32))
-                out.append((again, s, x, y))
-                counts.append(len(s))
-            index = np.repeat(np.arange(part.num_rows), counts)
-            again, s, x, y = (np.concatenate(c) for c in zip(*out))
-            own = part.column(0).take(pa.array(index))
-            first = part.column(0).take(pa.array(index, mask=again))
-            cols = [own, part.column(1).take(pa.array(index)), first, pa.array(s.astype(np.int32)), pa.array(x.view(np.int64)), pa.array((y >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+        for part in _chunks(b, 2):
+            whole, first, last, doc = _texts([words.encoded(t) for t in part.column(2).to_pylist()])
+            h = words.hashes(whole, first, last)
+            start = _offsets(doc, part.num_rows).astype(np.int64)
+            near, row = _flat(part.column(3))
+            s = ((near + start[row])[:, None] - np.arange(_REACH)).ravel()
+            row = np.repeat(row, _REACH)
+            s = np.unique(s[(s >= start[row]) & (s + WINDOW <= start[row + 1])])
+            row = doc[s]
+            x, y = (words.runs(h, WINDOW, base)[s] for base in words.BASES)
+            y >>= np.uint64(32)
+            order = np.lexsort((s, y, x, row))
+            again = np.zeros(len(s), bool)
+            again[order[1:]] = (row[order[1:]] == row[order[:-1]]) & (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] == y[order[:-1]])
+            cols = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), part.column(0).take(pa.array(row, mask=again))]
+            cols += [pa.array((s - start[row]).astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.astype(np.uint32).view(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["own", "key", "doc", "s", "x", "y"])
 
 
@@ -165,14 +188,8 @@ def _block_classes(found: DataFrame, similar: float) -> DataFrame:
     # Bands and size are functions of the node, so copies are combined here, in the map tasks first.
     grouped = each.groupBy(F.col("nodes").alias("node"), "size", *[F.col("bands")[i].alias(n) for i, n in enumerate(names)]).agg(F.count("*").alias("n"), F.min(_order("at")).alias("first"))
     nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "substring-nodes")
-    banded = nodes.select(F.explode(F.array(*names)).alias("group"), "id", (8 * F.col("size")).alias("size"))
-    met = stored(banded.drop("size").join(jaccard.crowds(banded), "group"), "substring-bands")
-    # Only nodes that share a band need their words, once each.
-    wanted = nodes.select("id", "node").join(met.select("id").distinct(), "id", "left_semi")
-    bodies = found.select(F.explode(F.arrays_zip("nodes", "bodies")).alias("b")).select(F.col("b.nodes").alias("node"), F.col("b.bodies").alias("body"))
-    texts = stored(bodies.join(wanted.hint("shuffle_hash"), "node").groupBy("id").agg(F.min("body").alias("body")), "substring-bodies")
-    part = connected_components(jaccard.links(met, texts, similar))
-    release(met, texts)
+    banded = nodes.select(F.explode(F.array(*names)).alias("band"), "id")
+    part = jaccard.classes(nodes.select("id", "node", (8 * F.col("size")).alias("size")), _starred(banded), found.select(F.explode(F.arrays_zip("nodes", "bodies")).alias("b")).select(F.col("b.nodes").alias("node"), F.col("b.bodies").alias("body")), similar)
     # A class is known by its smallest node; nodes without edges are classes of their own.
     classed = nodes.select("id", "node", "n", "first").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
     heads = classed.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("first")).where("class_size > 1")
@@ -185,6 +202,12 @@ def _block_classes(found: DataFrame, similar: float) -> DataFrame:
     return out
 
 
+def _starred(banded: DataFrame) -> DataFrame:
+    """Edges (u, v) from the members of each band to its first one."""
+    first = banded.groupBy("band").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return banded.join(first, "band").where("id <> v").select(F.col("id").alias("u"), "v")
+
+
 def _window_classes(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, key, s, x, keep_id, removed) of all windows that occur more than once."""
     each = found.select("doc", "key", F.explode(F.arrays_zip("anchor_at", "anchors")).alias("a")).select("doc", "key", F.col("a.anchor_at").alias("at"), F.col("a.anchors").alias("g"))
@@ -199,15 +222,15 @@ def _window_classes(found: DataFrame, docs: DataFrame, id_col: str, text_col: st
     return out
 
 
-def _joined(windows: list, removed: bool) -> list[tuple[int, int, int, int]]:
-    """(first word, words, class, keep_id) of the passages that windows of one kind make, each named by its first window."""
-    out: list[list[int]] = []
-    for w in sorted((w for w in windows if w["removed"] == removed), key=lambda w: w["s"]):
-        if out and w["s"] <= out[-1][0] + out[-1][1]:
-            out[-1][1] = w["s"] + WINDOW - out[-1][0]
-        else:
-            out.append([w["s"], WINDOW, w["x"], w["keep_id"]])
-    return [tuple(x) for x in out]
+def _joined(s: np.ndarray, x: np.ndarray, keep: np.ndarray, gone: np.ndarray) -> Iterator[tuple]:
+    """(kind, first word, words, class, keep_id, removed) of the passages that windows in order make, those that stay and those that go apart, each named by its first window."""
+    for removed in (False, True):
+        i = np.flatnonzero(gone == removed)
+        if len(i):
+            opens = np.flatnonzero(np.concatenate([[True], s[i[1:]] > s[i[:-1]] + WINDOW]))
+            ends = np.append(opens[1:], len(i)) - 1
+            for a, e in zip(i[opens], i[ends]):
+                yield "passage", int(s[a]), int(s[e] - s[a]) + WINDOW, int(x[a]), int(keep[a]), removed
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = jaccard.SIMILAR) -> DataFrame:
@@ -226,7 +249,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     blocks_of = _block_classes(found, similar)
     windows_of = _window_classes(found, docs, id_col, text_col)
     per_block = blocks_of.groupBy("doc", "key").agg(F.collect_set(F.struct("at", "size", "component_id", "keep_id", "removed")).alias("blocks"))
-    per_window = windows_of.groupBy("doc", "key").agg(F.collect_set(F.struct("s", "x", "keep_id", "removed")).alias("windows"))
+    per_window = windows_of.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("s", "x", "keep_id", "removed"))).alias("w")).select("doc", "key", *[F.col("w")[c].alias(c) for c in ("s", "x", "keep_id", "removed")])  # of one text
     both = stored(per_block.join(per_window, ["doc", "key"], "full"), "substring-found")
     release(found, *blocks_of._reads, *windows_of._reads)
 
@@ -234,10 +257,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                out = []
-                for doc, text, own, shared in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
-                    rows = [("block", x["at"], x["size"], x["component_id"], x["keep_id"], x["removed"]) for x in own or ()]
-                    rows += [("passage", *x, gone) for gone in (False, True) for x in _joined(shared or (), gone)]
+                part, out = b.slice(at, 256), []
+                ids, texts, own = (part.column(i).to_pylist() for i in range(3))
+                for i, (doc, text) in enumerate(zip(ids, texts)):
+                    rows = [("block", x["at"], x["size"], x["component_id"], x["keep_id"], x["removed"]) for x in own[i] or ()]
+                    if part.column(3)[i].is_valid:
+                        rows += _joined(*(part.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6)))
                     raw = words.encoded(text)
                     first, last = words.bounds(raw)
                     number = np.array([r[1] for r in rows])
@@ -245,16 +270,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                     out += [(doc, *r[:3], *span, *r[3:]) for r, span in zip(rows, spans)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "kind", "number", "size", "start", "end", "component_id", "keep_id", "removed"])
 
-    joined = _rows(docs, id_col, text_col).join(both.hint("shuffle_hash"), ["doc", "key"]).select("doc", "text", "blocks", "windows")
+    joined = _rows(docs, id_col, text_col).join(both.hint("shuffle_hash"), ["doc", "key"]).select("doc", "text", "blocks", "s", "x", "keep_id", "removed")
     return joined.mapInArrow(run, "doc_id long, kind string, number int, size int, start int, end int, component_id long, keep_id long, removed boolean")
 
 
-def _without(text: str, gone: list) -> str:
-    """The text without the words of ``gone`` (first word, number of words) and one white space after each run of them."""
+def _without(text: str, at: np.ndarray, size: np.ndarray) -> str:
+    """The text without runs of words (first word, number of words) and one white space after each that doesn't go on."""
     raw = words.encoded(text)
     first, last = words.bounds(raw)
     edge = np.zeros(len(first) + 1, np.int64)
-    at, size = (np.array([x[k] for x in gone], np.int64) for k in ("at", "size"))
     np.add.at(edge, at, 1)
     np.add.at(edge, at + size, -1)
     covered = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
@@ -280,9 +304,9 @@ def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(*blocks_of._reads)
     windows_of = _window_classes(found, docs, id_col, text_col)
     more = windows_of.where("removed").select("doc", "key", F.col("s").alias("at"), F.lit(WINDOW).alias("size"))
-    spans = stored(gone.unionByName(more).groupBy("doc", "key").agg(F.collect_list(F.struct("at", "size")).alias("_spans")), "substring-gone")  # of one text
+    spans = stored(gone.unionByName(more).groupBy("doc", "key").agg(F.collect_list(F.struct("at", "size")).alias("w")), "substring-gone")  # of one text
     release(found, gone, *windows_of._reads)
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "_spans")
+    spans = spans.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("w.at").alias("_at"), F.col("w.size").alias("_size"))
     same = (F.col(f"`{id_col}`").cast("long") == F.col("_doc")) & (key_of(F.col(f"`{text_col}`")) == F.col("_key"))
     names = docs.columns
     place, size = names.index(text_col), names.index(size_col) if size_col in names else None
@@ -291,13 +315,14 @@ def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                cols, own = list(part.columns[:-1]), part.column(part.num_columns - 1).to_pylist()
-                new = [t if not s or t is None else _without(t, s) for t, s in zip(cols[place].to_pylist(), own)]
+                cols, (starts, sizes) = list(part.columns[:-2]), part.columns[-2:]
+                texts = cols[place].to_pylist()
+                cut = [starts[i].is_valid and t is not None for i, t in enumerate(texts)]
+                new = [_without(t, starts[i].values.to_numpy(), sizes[i].values.to_numpy()) if c else t for i, (c, t) in enumerate(zip(cut, texts))]
                 cols[place] = pa.array(new, cols[place].type)
                 if size is not None:
-                    cols[size] = pa.array([o if not s else len(t or "") for o, t, s in zip(cols[size].to_pylist(), new, own)], cols[size].type)
-                keep = pa.array([not s or bool(t and t.strip()) for t, s in zip(new, own)], pa.bool_())
-                yield pa.RecordBatch.from_arrays(cols, names=names).filter(keep)
+                    cols[size] = pa.array([len(t) if c else o for o, t, c in zip(cols[size].to_pylist(), new, cut)], cols[size].type)
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([not c or bool(t.strip()) for t, c in zip(new, cut)], pa.bool_()))
 
-    joined = docs.join(spans.hint("shuffle_hash"), same, "left").select(*[F.col(f"`{c}`") for c in names], "_spans")
+    joined = docs.join(spans.hint("shuffle_hash"), same, "left").select(*[F.col(f"`{c}`") for c in names], "_at", "_size")
     return joined.mapInArrow(run, docs.schema)

@@ -9,29 +9,28 @@ those that a rule fits):
    rows is as small as its number of shapes.
 2. From the root down, the children of a node are looked at together. Where a node has more
    than ``MAX_CHILDREN``, those with less than ``MIN_SHARE`` of its urls are variable and
-   become the wildcard ``*``. Of the labelled children, those whose share of good labels a z-test can't
-   tell from that of all their siblings merge into one branch, ``{~}``; those significantly
-   worse merge into ``{-}``, those better into ``{+}``. Unlabelled children stay themselves.
-3. A template's purity is (good + PRIOR / 2) / (good + bad + PRIOR): without labels it is one half. Templates
-   below ``REJECT`` are blocked.
+   become the wildcard ``*``. Of the labelled children, neighbours in order of their share of good labels merge if a z-test of two proportions can't
+   tell them apart; a branch of several is named ``{0}``, ``{1}`` and so on, from the worst. Unlabelled children can't be told from
+   each other and are one branch, ``{?}``.
+3. A template's purity is (good + PRIOR * purity of its parent) / (good + bad + PRIOR), and one half above the root of a host. So a thin branch
+   mostly has the purity of the one it belongs to, and an unlabelled one has just that. Templates below ``REJECT`` are blocked.
 
-Every step is a grouped count or a join; a level's table is written to the shared folder.
+Every step is a grouped count or a join, the merge a window over the children that a node has left, at most a hundred or so; a level's table is written to the shared folder.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.scratch import stored
+from quarry.llm.scratch import release, stored
 
 MAX_CHILDREN, MIN_SHARE = 50, 0.02
 DEPTH = 5
 Z, PRIOR, REJECT = 1.96, 2.0, 0.35
-#: Rules are part of the plan; longer lists belong in a table of labels.
-MAX_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]
@@ -53,47 +52,67 @@ def shape_of(path: Column) -> Column:
 
 
 def ruled(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """Struct (length, rule, verdict) of the longest rule that fits, or null; the last of equal length in order of the rule's text."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    fits = [
-        F.when(((host == h) | host.endswith(f".{h}")) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("length"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")))
-        for v, h, p in rules
-    ]
-    none = F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
-    return reduce(lambda a, b: F.coalesce(F.greatest(a, b), a, b), fits, none) if fits else none
+    """Struct (length, rule, verdict) of the longest rule that fits, or null; the last of equal length in order of the rule's text.
 
-
-def _purity(good: Column, bad: Column) -> Column:
-    return (good + PRIOR / 2) / (good + bad + PRIOR)
+    Rules are a constant of the plan, found by each suffix of the host, so a url costs as much as its host has labels.
+    """
+    by_host = defaultdict(list)
+    for verdict, h, p in rules:
+        by_host[h].append({"path": p, "length": len(h + p), "rule": h + p, "verdict": verdict})
+    kind = "array<struct<path:string,length:int,rule:string,verdict:string>>"
+    table = F.from_json(F.lit(json.dumps(by_host)), f"map<string,{kind}>")
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    found = F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.element_at(table, s), F.array().cast(kind))))
+    fits = F.filter(found, lambda r: path.startswith(r["path"]))
+    return F.array_max(F.transform(fits, lambda r: F.struct(r["length"].alias("length"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
+
+
+def _purity(good: Column, bad: Column, parent: Column) -> Column:
+    return (good + PRIOR * parent) / (good + bad + PRIOR)
+
+
+def _merged(groups: DataFrame) -> DataFrame:
+    """(node, first, name) of ``groups(node, first, good, bad)``: the branch that each child belongs to."""
+    known = F.col("good") + F.col("bad")
+    order = Window.partitionBy("node").orderBy(F.col("good") / known, "first")
+    before = [F.lag(c).over(order) for c in ("good", "known")]
+    found = groups.where(known > 0).withColumn("known", known).withColumn("was", before[0]).withColumn("of", before[1])
+    both = (F.col("good") + F.col("was")) / (F.col("known") + F.col("of"))
+    error = F.sqrt(both * (1 - both) * (1 / F.col("known") + 1 / F.col("of")))
+    apart = F.coalesce((error > 0) & (F.col("good") / F.col("known") - F.col("was") / F.col("of") > Z * error), F.lit(False))
+    branch = F.sum(apart.cast("int")).over(order)
+    found = found.withColumn("branch", branch).withColumn("size", F.count("*").over(Window.partitionBy("node", "branch")))
+    named = found.select("node", "first", F.when(F.col("size") > 1, F.concat(F.lit("{"), F.col("branch").cast("string"), F.lit("}"))).otherwise(F.col("first")).alias("name"))
+    return named.unionByName(groups.where(known == 0).select("node", "first", F.lit("{?}").alias("name")))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """(host, shape, template, good, bad, purity) of ``shapes(host, shape, n, good, bad)``: the tree's leaf for each shape.
+    """(host, shape, template, purity) of ``shapes(host, shape, n, good, bad)``: the tree's leaf for each shape.
 
-    Segments beyond ``DEPTH`` are one tail. Counts are those of the whole template.
+    Segments beyond ``DEPTH`` are one tail.
     """
-    parts = F.split(F.col("shape"), "/", DEPTH + 2)
-    now = shapes.withColumn("parts", parts).withColumn("node", F.col("host"))
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
+    roots = shapes.groupBy("host").agg(*sums).select("host", _purity(F.col("good"), F.col("bad"), F.lit(0.5)).alias("purity"))
+    now = level = stored(shapes.join(roots, "host").withColumn("parts", F.split("shape", "/", DEPTH + 2)).withColumn("node", F.col("host")), "url-level")
     for d in range(1, DEPTH + 2):
         # Shapes that ended above stay at their node, as a child without a name.
-        part = F.get("parts", F.lit(d))
-        now = now.withColumn("child", part)
-        child = now.where("child is not null").groupBy("node", "child").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        whole = child.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-        seen = child.join(whole, "node")
-        labelled, labelled_all = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
-        rate = _purity(F.col("all_good"), F.col("all_bad"))
-        z = (F.col("good") - labelled * rate) / F.sqrt(labelled * rate * (1 - rate))
+        now = now.withColumn("child", F.get("parts", F.lit(d)))
+        kids = now.where("child is not null").groupBy("node", "child").agg(*sums, F.first("purity").alias("parent"))
+        whole = kids.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
         variable = (F.col("kinds") > MAX_CHILDREN) & (F.col("n") < MIN_SHARE * F.col("all"))
-        name = F.when(variable, F.lit("*")).when(labelled == 0, F.col("child")).when(labelled_all == labelled, F.col("child")).when(z < -Z, F.lit("{-}")).when(z > Z, F.lit("{+}")).otherwise(F.lit("{~}"))
-        named = seen.select(F.col("node").alias("of"), F.col("child").alias("is"), name.alias("name"))
-        joined = now.join(named, (F.col("node") == F.col("of")) & (F.col("child") == F.col("is")), "left")
+        seen = stored(kids.join(whole, "node").withColumn("first", F.when(variable, F.lit("*")).otherwise(F.col("child"))), "url-children")
+        groups = seen.groupBy("node", "first").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        named = seen.join(_merged(groups), ["node", "first"])
+        pure = named.groupBy("node", "name").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.first("parent").alias("parent"))
+        pure = pure.select("node", "name", _purity(F.col("good"), F.col("bad"), F.col("parent")).alias("own"))
+        moves = named.select("node", "child", "name").join(pure, ["node", "name"])
         step = F.when(F.col("name").isNull(), F.col("node")).otherwise(F.concat_ws("/", "node", "name"))
-        now = stored(joined.withColumn("node", step).drop("of", "is", "name", "child"), "url-level")
-    leaves = now.groupBy("node").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    out = now.select("host", "shape", "node").join(leaves, "node")
-    return out.select("host", "shape", F.col("node").alias("template"), "good", "bad", _purity(F.col("good"), F.col("bad")).alias("purity"))
+        joined = now.join(moves, ["node", "child"], "left")
+        later = stored(joined.select("host", "shape", "n", "good", "bad", "parts", step.alias("node"), F.coalesce("own", "purity").alias("purity")), "url-level")
+        release(level, seen)
+        now = level = later
+    return now.select("host", "shape", F.col("node").alias("template"), "purity")
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", label_col: str | None = None) -> DataFrame:
@@ -102,7 +121,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     ``rules`` are (verdict, host, path) with verdicts allow and block; a rule fits its host and all subdomains where the
     path starts with the rule's. ``label_col`` names a column of true, false or null that
     labels urls as good; without it the urls that a rule fits are labelled by it. A null url, or one without ``://``,
-    has an empty host and path, like any other host's. Repeated rows count each and are judged alike; null ids pass through,
+    has an empty host and path, like any other host's; urls of any length are read whole. Repeated rows count each and are judged alike; null ids pass through,
     other columns are not read. An empty table gives no rows.
     """
     url = F.col(f"`{url_col}`").cast("string")
@@ -112,7 +131,9 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     if not label_col:
         parsed = parsed.withColumn("good", F.col("fit.verdict") == "allow")
     shapes = parsed.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    tree = stored(templates(stored(shapes, "url-shapes")), "url-templates")
-    found = parsed.select("page_id", "host", "path", "shape", "fit").join(tree.select("host", "shape", "template", "purity"), ["host", "shape"])
+    counted = stored(shapes, "url-shapes")
+    tree = templates(counted)
+    release(counted)
+    found = parsed.select("page_id", "host", "path", "shape", "fit").join(tree, ["host", "shape"])
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("purity") < REJECT, F.lit("block")).otherwise(F.lit("allow")))
     return found.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")

@@ -7,18 +7,15 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 
+_SPAN = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def encoded(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "replace")
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    """XXH64 of each word."""
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    """UTF-8 with A-Z lower-cased."""
+    return (text or "").encode("utf-8", "replace").lower()
 
 
 @lru_cache(8)
@@ -41,10 +38,34 @@ def runs(h: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
     return mixed((total[size:] - total[:-size]) * down[: len(h) - size + 1])
 
 
+def hashes(body: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each word of an encoded text: a polynomial in its bytes and its length, mixed."""
+    b, out, at = np.frombuffer(body, np.uint8), np.empty(len(first), np.uint64), 0
+    up, down = _powers(BASES[1], _SPAN)
+    while at < len(first):
+        end = int(np.searchsorted(last, first[at] + _SPAN, "right"))
+        if end == at:  # a word longer than the span
+            out[at], at = xxhash.xxh64_intdigest(body[first[at] : last[at]]), at + 1
+            continue
+        start, lo = first[at:end] - first[at], first[at]
+        part = b[lo : last[end - 1]]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part + np.uint64(1)) * up[: len(part)])])
+        size = (last[at:end] - first[at:end]).astype(np.uint64)
+        out[at:end] = mixed((total[last[at:end] - lo] - total[start]) * down[start] + size * np.uint64(BASES[0]))
+        at = end
+    return out
+
+
+def of(body: bytes) -> np.ndarray:
+    """Hashes of the words of an encoded text."""
+    return hashes(body, *bounds(body))
+
+
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
     """The different shingles of a text of word hashes; fewer words than a shingle, also none, make one."""
     if len(h) >= size:
-        return np.unique(runs(h, size))
+        g = np.sort(runs(h, size))
+        return g[np.concatenate([[True], g[1:] != g[:-1]])]
     return runs(h, len(h)) if len(h) else np.zeros(1, np.uint64)
 
 

@@ -34,7 +34,7 @@ def held(i):
 
 
 def brute_ratios(texts):
-    """Log ratios of all seen six-grams by dictionaries; texts are (text, label)."""
+    """Log ratio of the last byte of any six bytes, by dictionaries over all orders; texts are (text, label)."""
     c = {0: Counter(), 1: Counter()}
     for t, y in texts:
         b = b"\0" * 5 + toxicity._bytes(t)
@@ -51,36 +51,58 @@ def brute_ratios(texts):
     for g, v in two.items():
         every[g[:1]] += v
         kinds[g[:1]] += 1
-    shared = {g: max(v - D, 0) / every[g[:1]] + D * kinds[g[:1]] / every[g[:1]] * (one[g[1:]] + 0.5) / (total + 128) for g, v in two.items()}
-    below = {0: shared, 1: shared}
+    cuts, sums, lefts = {}, {}, {}
     for n in (3, 4, 5, 6):
-        grams, now = {**levels[n][0], **levels[n][1]}, {}
         for y in (0, 1):
             n1, n2, n3, n4 = (sum(v == k for v in levels[n][y].values()) for k in (1, 2, 3, 4))
             cut = [D] * 3
             if n1 and n2 and n3:
                 u = n1 / (n1 + 2 * n2)
                 cut = [min(max(d, 0.1), k - 0.02) for k, d in ((1, 1 - 2 * u * n2 / n1), (2, 2 - 3 * u * n3 / n2), (3, 3 - 4 * u * n4 / n3))]
-            less = lambda v, cut=cut: cut[min(v, 3) - 1] if v else 0.0
-            every, left = Counter(), defaultdict(float)
+            cuts[n, y], sums[n, y], lefts[n, y] = cut, Counter(), defaultdict(float)
             for g, v in levels[n][y].items():
-                every[g[:-1]] += v
-                left[g[:-1]] += less(v)
-            c_of = levels[n][y]
-            now[y] = {g: (c_of[g] - less(c_of[g]) + left[g[:-1]] * below[y][g[1:]]) / every[g[:-1]] if every[g[:-1]] else below[y][g[1:]] for g in grams}
-        below = now
-    return {g: math.log(below[1][g]) - math.log(below[0][g]) for g in below[0]}
+                sums[n, y][g[:-1]] += v
+                lefts[n, y][g[:-1]] += cut[min(v, 3) - 1]
+
+    def p(y, g):
+        n = len(g)
+        if n == 2:
+            return max(two[g] - D, 0) / every[g[:1]] + D * kinds[g[:1]] / every[g[:1]] * (one[g[1:]] + 0.5) / (total + 128) if two[g] else 1.0
+        all_, v = sums[n, y][g[:-1]], levels[n][y][g]
+        if not all_:
+            return p(y, g[1:])
+        return ((v - cuts[n, y][min(v, 3) - 1] if v else 0) + lefts[n, y].get(g[:-1], 0.0) * p(y, g[1:])) / all_
+
+    return lambda g: math.log(p(1, g)) - math.log(p(0, g)), {g for y in (0, 1) for g in levels[6][y]}
+
+
+def model_of(spark, texts):
+    table, cut, _ = toxicity._level(toxicity.counts(spark.createDataFrame(texts, "text string, label int")), "counts")
+    return toxicity.Slices(toxicity.ratios(table, cut))
 
 
 def test_ratios_equal_dictionaries(spark):
+    """Of seen six-grams, and of unseen ones, which back off class by class."""
     docs, labels, _ = toxic_docs(60, 1)
     label = {i: y for i, y, _ in labels}
-    texts = [(t, label[i]) for i, t in docs if i in label] + [("", 0), ("é日", 1)]
-    table = toxicity.counts(spark.createDataFrame(texts, "text string, label int"))
-    got = {r.g.to_bytes(6, "big"): r.r for r in toxicity.ratios(table).collect()}
-    want = brute_ratios(texts)
-    assert got.keys() == want.keys()
-    assert all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    ratio, seen = brute_ratios([(t, label[i]) for i, t in docs if i in label] + [("", 0), ("é日", 1)])
+    table = model_of(spark, [(t, label[i]) for i, t in docs if i in label] + [("", 0), ("é日", 1)])._whole
+    rng = random.Random(1)
+    unseen = {bytes(rng.choice(list(seen))[:k] + rng.choice(list(seen))[k:]) for k in range(6) for _ in range(300)} | {b"zzzzzz", b"\0\0\0\0\0q"}
+    for grams in (sorted(seen), sorted(unseen - seen)):
+        got = table.ratios(np.array([int.from_bytes(g, "big") for g in grams], np.uint64))
+        assert np.abs(got - [ratio(g) for g in grams]).max() < 1e-5
+
+
+def test_slices_give_the_same_scores(spark, monkeypatch):
+    docs, labels, _ = toxic_docs(120, 5)
+    frame = spark.createDataFrame([*docs, (None, None), (900, "")], "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    whole = {r.doc_id: r.score for r in toxicity.classify(frame, marks).collect()}
+    monkeypatch.setattr(toxicity, "SLICE", 3000)
+    sliced = {r.doc_id: r.score for r in toxicity.classify(frame, marks).collect()}
+    assert whole.keys() == sliced.keys() and all(abs(whole[k] - sliced[k]) < 1e-4 for k in whole)
+    assert sorted(map(str, toxicity.clean_rows(frame, marks).collect())) == sorted(str(r) for r in frame.collect() if whole[r.doc_id] < 0.5)
 
 
 def test_toxicity_on_held_out_texts(spark):
@@ -119,11 +141,10 @@ def test_labels_of_fold_zero_teach_nothing(spark):
 
 
 def test_long_texts_are_read_to_the_end():
-    m = toxicity.Model(np.zeros(1 << toxicity.GRAM_BITS, np.float32), np.ones(toxicity.FEATURES), 0.0)
     g = toxicity.grams(b"snurk!")
-    m.by_gram[toxicity._slot(g[-1:], toxicity.GRAM_BITS)] = 5.0
+    table = toxicity.Grams(g[-1:] | np.uint64(6 << 48), np.array([5.0]))
     base = "ab " * 1_500_000
-    a, b = m.features([base, base + "snurk!"])
+    a, b = toxicity.features([base, base + "snurk!"], table, [None, None])
     assert b[0] > a[0] + 0.2
 
 
@@ -173,6 +194,70 @@ def test_chunks_cover_whole_texts():
         assert whole[:n].astype(np.uint8).tobytes() == b and (whole[n:] == 256).all() and codes.shape == again.shape
 
 
+def random_network(seed):
+    net = quality.Network(quality._start(np.random.default_rng(seed)))
+    rng = np.random.default_rng(seed + 1)
+    net.w = {k: (v + 0.1 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in net.w.items()}
+    return net
+
+
+def slow_score(net, text):
+    """The forward pass byte by byte, in double precision."""
+    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    b = list((text or "").encode())
+    again = quality.recurring(np.array(b, np.uint8))
+    vectors = []
+    at = 0
+    while not vectors or at + quality.CHUNK - quality.STEP < len(b):
+        best = np.zeros(quality.FILTERS)
+        for start in range(0, quality.CHUNK - quality.KERNEL + 1, quality.STRIDE):
+            x = []
+            for i in range(at + start, at + start + quality.KERNEL):
+                x += [*(w["embed"][b[i] if i < len(b) else 256]), float(again[i]) if i < len(b) else 0.0]
+            best = np.maximum(best, np.array(x) @ w["filters"] + w["shift"])
+        vectors.append(best)
+        at += quality.STEP
+    pooled = np.concatenate([np.max(vectors, axis=0), np.mean(vectors, axis=0)])
+    hidden = np.tanh(pooled @ w["dense"] + w["dense_shift"])
+    return 1 / (1 + math.exp(-(hidden @ w["out"] + w["out_shift"][0])))
+
+
+def test_forward_pass_equals_a_slow_one(monkeypatch):
+    rng = random.Random(3)
+    texts = [None, "", "é", "a" * 512, *("".join(rng.choice("abc é!") for _ in range(n)) for n in (5, 511, 900, 2500))]
+    for group in (quality.GROUP, 2):
+        monkeypatch.setattr(quality, "GROUP", group)
+        net = random_network(7)
+        assert np.abs(net.scores(texts) - [slow_score(net, t) for t in texts]).max() < 1e-5
+
+
+def test_gradient_equals_differences():
+    rng = random.Random(5)
+    made = [quality.chunks("".join(rng.choice("abcde ") for _ in range(n))) for n in (40, 700, 1300)]
+    codes, again = (np.concatenate(x) for x in zip(*made))
+    sizes, y, weight = np.array([len(c) for c, _ in made]), np.array([1, 0, 1], np.float32), np.array([1.0, 2.0, 0.5])
+    net = random_network(9)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+
+    def loss():
+        per_chunk, _ = net.convolve(codes, again)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        pooled = np.concatenate([np.maximum.reduceat(per_chunk, starts), np.add.reduceat(per_chunk, starts) / sizes[:, None]], axis=1).astype(np.float64)
+        p, _ = net.head(pooled)
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / len(y)
+
+    g = quality.gradient(net, y, weight, codes, again, sizes)
+    for name, v in net.w.items():
+        for place in random.Random(1).sample(range(v.size), min(v.size, 12)):
+            at = np.unravel_index(place, v.shape)
+            kept, ends = v[at], []
+            for e in (1e-6, -1e-6):
+                v[at] = kept + e
+                ends.append(loss())
+            v[at] = kept
+            assert abs((ends[0] - ends[1]) / 2e-6 - g[name][at]) < 1e-4 * max(1, abs(g[name][at])), (name, at)
+
+
 def test_recurrence_by_brute_force():
     rng = random.Random(2)
     b = np.array([rng.randrange(97, 100) for _ in range(400)], np.uint8)

@@ -1,30 +1,18 @@
 from __future__ import annotations
 
 import numpy as np
-from test_classifiers import brute_ratios, toxic_docs
 
 from quarry.llm import toxicity
 
 
-def test_no_two_grams_share_a_ratio():
+def test_no_two_keys_share_a_value():
     rng = np.random.default_rng(1)
-    g = np.unique(rng.integers(0, 1 << 48, 300_000, dtype=np.uint64))
+    g = np.unique(rng.integers(0, 1 << 52, 300_000, dtype=np.uint64))
     r = rng.normal(size=len(g)).astype(np.float32)
-    other = np.setdiff1d(rng.integers(0, 1 << 48, 300_000, dtype=np.uint64), g)
+    other = np.setdiff1d(rng.integers(0, 1 << 52, 300_000, dtype=np.uint64), g)
     for n in (len(g), 1, 0):
         table = toxicity.Grams(g[:n], r[:n])
-        assert (table.of(g[:n]) == r[:n]).all() and not table.of(other).any() and not table.of(g[n:]).any()
-
-
-def test_fitted_ratios_are_exact(spark, monkeypatch):
-    """As with far more six-grams than a table of fixed size has slots."""
-    monkeypatch.setattr(toxicity, "GRAM_BITS", 8)
-    docs, labels, _ = toxic_docs(80, 1)
-    label = {i: y for i, y, _ in labels}
-    rows = [(t, label[i], 1 + k % 4) for k, (i, t) in enumerate(docs) if i in label]
-    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int, fold int"))
-    want = brute_ratios([(t, y) for t, y, f in rows if f < 4])
-    for t, _, _ in rows[:20]:
-        b = b"\0" * 5 + toxicity._bytes(t)
-        mean = np.mean([want.get(b[i : i + 6], 0.0) for i in range(len(b) - 5)])
-        assert abs(model.features([t])[0, 7] - mean) < 1e-5
+        assert (table.of(g[:n])[0] == r[:n]).all() and not len(table.of(g[:n])[1])
+        for x in (other, g[n:]):
+            value, none = table.of(x)
+            assert not value.any() and len(none) == len(x)

@@ -23,7 +23,7 @@ def slow_blocks(text):
         own += words_of(line)
         lines += [i] * len(words_of(line))
     n = len(own)
-    g = [int(x) for x in words.runs(words.hashes(own), S.MARK)] if n >= S.MARK else []
+    g = [int(x) for x in words.runs(words.of(b" ".join(own)), S.MARK)] if n >= S.MARK else []
     whole = {i for i in set(lines) if S.MIN_WORDS <= lines.count(i) <= S.LONG}
     cuts = {0, n}
     for p in range(n):

@@ -99,7 +99,6 @@ def test_pieces_of_split_equal_whole_texts():
 
 def check_packed(rows, docs):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -121,10 +120,13 @@ def test_op10_by_brute_force(spark):
     check_packed(op10_packing(spark, d).collect(), [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()])
 
 
+TRAP = "a <|endoftext|>b <|endoftext|><|endoftext |> é"
+
+
 def test_pack_cases(spark):
-    docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "a b", 3), (3, "x " * 9000, 4)], "doc_id long, text string, start long")
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "a b", 3), (3, "x " * 9000, 4), (4, TRAP, 5)], "doc_id long, text string, start long")
     rows = packing.pack(docs, JSON, vocab.PATTERN).collect()
-    check_packed(rows, [(1, None), (2, ""), (None, "a b"), (3, "x " * 9000)])
+    check_packed(rows, [(1, None), (2, ""), (None, "a b"), (3, "x " * 9000), (4, TRAP)])
     assert all(len(r.ids) == r.length for r in rows)
     order = sorted(rows, key=lambda r: r.sequence_id)
     assert [r.length for r in order] == sorted(r.length for r in rows)

@@ -27,46 +27,56 @@ def rule_of(host, path, rules):
     return max(fit) if fit else None
 
 
+def apart(a, b):
+    """Whether two (good, bad) differ by a z-test of two proportions; a is the worse."""
+    n, m = sum(a), sum(b)
+    both = (a[0] + b[0]) / (n + m)
+    error = math.sqrt(both * (1 - both) * (1 / n + 1 / m))
+    return error > 0 and b[0] / m - a[0] / n > U.Z * error
+
+
 def brute(urls, rules, labels=None):
-    """Verdicts by a tree of dictionaries."""
+    """Verdicts by a recursive tree over lists of urls."""
     rows = [(*parse(u), i) for i, u in enumerate(urls)]
     fits = [rule_of(h, p, rules) for h, p, _ in rows]
     good = labels if labels is not None else [None if f is None else f[2] == "allow" for f in fits]
-    at = [h for h, _, _ in rows]
-    for d in range(1, U.DEPTH + 2):
-        child = []
-        for h, p, _ in rows:
-            parts = shape(p).split("/", U.DEPTH + 1)
-            child.append(parts[d] if d < len(parts) else None)
-        count = defaultdict(Counter)
-        for n, c, g in zip(at, child, good):
-            if c is not None:
-                count[n, c].update(n=1, good=g is True, bad=g is False)
-        whole = defaultdict(Counter)
-        for (n, _), c in count.items():
-            whole[n].update(c)
-            whole[n]["kinds"] += 1
-        new = []
-        for n, c in zip(at, child):
-            if c is None:
-                new.append(n)
-                continue
-            x, w = count[n, c], whole[n]
-            lab, all_lab = x["good"] + x["bad"], w["good"] + w["bad"]
-            rate = (w["good"] + U.PRIOR / 2) / (all_lab + U.PRIOR)
-            if w["kinds"] > U.MAX_CHILDREN and x["n"] < U.MIN_SHARE * w["n"]:
-                c = "*"
-            elif lab and lab != all_lab:
-                z = (x["good"] - lab * rate) / math.sqrt(lab * rate * (1 - rate))
-                c = "{-}" if z < -U.Z else "{+}" if z > U.Z else "{~}"
-            new.append(f"{n}/{c}")
-        at = new
-    leaf = defaultdict(Counter)
-    for n, g in zip(at, good):
-        leaf[n].update(good=g is True, bad=g is False)
-    for (h, p, i), f, n in zip(rows, fits, at):
-        purity = (leaf[n]["good"] + U.PRIOR / 2) / (leaf[n]["good"] + leaf[n]["bad"] + U.PRIOR)
-        yield i, h, p, f and f[1], f[2] if f else ("block" if purity < U.REJECT else "allow"), n, round(purity, 9)
+    leaf = {}
+    count = lambda ids: (sum(good[i] is True for i in ids), sum(good[i] is False for i in ids))
+    pure = lambda ids, parent: (count(ids)[0] + U.PRIOR * parent) / (sum(count(ids)) + U.PRIOR)
+
+    def grow(name, ids, purity, d):
+        kids = defaultdict(list)
+        for i in ids:
+            parts = shape(rows[i][1]).split("/", U.DEPTH + 1)
+            if d > U.DEPTH + 1 or d >= len(parts):
+                leaf[i] = (name, purity)
+            else:
+                kids[parts[d]].append(i)
+        first = defaultdict(list)
+        for k, own in kids.items():
+            many = len(kids) > U.MAX_CHILDREN and len(own) < U.MIN_SHARE * sum(map(len, kids.values()))
+            first["*" if many else k] += own
+        known = sorted((k for k in first if sum(count(first[k]))), key=lambda k: (count(first[k])[0] / sum(count(first[k])), k.encode()))
+        branches = []
+        for k in known:
+            if branches and not apart(count(first[branches[-1][-1]]), count(first[k])):
+                branches[-1].append(k)
+            else:
+                branches.append([k])
+        named = {"{%d}" % n if len(b) > 1 else b[0]: b for n, b in enumerate(branches)}
+        rest = [k for k in first if k not in known]
+        for branch, members in [*named.items(), *([("{?}", rest)] if rest else [])]:
+            own = [i for k in members for i in first[k]]
+            grow(f"{name}/{branch}", own, pure(own, purity), d + 1)
+
+    hosts = defaultdict(list)
+    for h, _, i in rows:
+        hosts[h].append(i)
+    for h, ids in hosts.items():
+        grow(h, ids, pure(ids, 0.5), 1)
+    for (h, p, i), f in zip(rows, fits):
+        name, purity = leaf[i]
+        yield i, h, p, f and f[1], f[2] if f else ("block" if purity < U.REJECT else "allow"), name, round(purity, 9)
 
 
 def as_rows(df):
@@ -99,6 +109,23 @@ def test_tree_blocks_bad_branches_and_keeps_good_ones(spark):
     assert any("*" in r[5] for r in got)
 
 
+def test_labelled_branches_bear_on_unlabelled_ones(spark):
+    urls = [f"http://bad.org/spam/{i}" for i in range(30)] + [f"http://bad.org/new{c}/1" for c in "abc"] + [f"http://good.org/a/{i}" for i in range(30)] + ["http://good.org/b/1", "http://new.org/b/1"]
+    labels = [False] * 30 + [None] * 3 + [True] * 30 + [None] * 2
+    pages = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(zip(urls, labels))], "page_id long, url string, good boolean")
+    got = {r.page_id: r for r in U.judge(pages, [], label_col="good").collect()}
+    assert [got[i].verdict for i in (30, 31, 32, 63, 64)] == ["block"] * 3 + ["allow"] * 2
+    assert got[64].purity == 0.5 and {got[i].template for i in (30, 31, 32)} == {"bad.org/{?}/{?}"}
+
+
+def test_a_thousand_rules(spark):
+    rng = random.Random(3)
+    rules = [(rng.choice(["allow", "block"]), f"h{i % 300}.org" if i % 3 else f"a{i}.h{i % 300}.org", f"/{'x' * (i % 5)}") for i in range(1000)]
+    urls = [f"http://{rng.choice(['', 'www.', 'a3.', 'b.a6.'])}h{rng.randrange(320)}.org/{'x' * rng.randrange(6)}" for _ in range(500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r[:5] for r in as_rows(U.judge(pages, rules))] == [r[:5] for r in sorted(brute(urls, rules))]
+
+
 def test_op2_by_brute_force(spark):
     d = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url").collect()
