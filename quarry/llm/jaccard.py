@@ -14,10 +14,12 @@ from quarry.llm import words
 from quarry.llm.graph import connected_components
 from quarry.llm.scratch import importable, release, stored, width
 
-SHINGLE, SIMILAR, RECALL, ROWS, SEED = 5, 0.8, 0.999, 3, 11
+SHINGLE, SIMILAR, RECALL, ROWS, SEED = 5, 0.8, 0.995, 3, 11
 #: Members and bytes of text of one group that are compared in one piece; a larger group is cut
 #: into pieces of about this size, and every two pieces meet, so the result does not depend on it.
 CHUNK, CHUNK_BYTES = 2048, 16 << 20
+#: Members up to which each pair is compared by itself.
+FEW = 32
 
 
 def banding(similar: float, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -48,50 +50,88 @@ def bands_of(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_bands: int,
     return out.T.view(np.int64)
 
 
-def spanning(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+def spanning(sets: list[set[int]], similar: float) -> list[tuple[int, int]]:
     """Edges that span the components of the pairs of sets with Jaccard similarity of at least ``similar``.
 
-    All pairs are counted by an inverted index over the sets' values; of those that reach
+    All pairs are counted, in larger groups by an inverted index over the sets' values; of those that reach
     ``similar`` the ones are returned that join two parts.
     """
+    n, label, edges = len(sets), list(range(len(sets))), []
+
+    def join(i: int, j: int) -> None:
+        edges.append((i, j))
+        old, new = label[j], label[i]
+        for k in range(n):
+            if label[k] == old:
+                label[k] = new
+
+    if n <= FEW:
+        for i in range(n):
+            for j in range(i + 1, n):
+                if label[i] != label[j]:
+                    shared = len(sets[i] & sets[j])
+                    if shared >= similar * (len(sets[i]) + len(sets[j]) - shared) - 1e-9:
+                        join(i, j)
+        return edges
     sizes = np.array([len(c) for c in sets])
-    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    cuts = np.cumsum(sizes)[:-1]
+    values, flat = np.unique(np.concatenate([np.fromiter(c, np.uint64, len(c)) for c in sets]), return_inverse=True)
     order = np.argsort(flat, kind="stable")
-    posts, ends = np.repeat(np.arange(len(sets)), sizes)[order], np.searchsorted(flat[order], np.arange(len(values) + 1))
-    label, edges = np.arange(len(sets)), []
-    for i, c in enumerate(np.split(flat, cuts)):
-        if (label == label[0]).all():
+    posts, ends = np.repeat(np.arange(n), sizes)[order], np.searchsorted(flat[order], np.arange(len(values) + 1))
+    marks = np.arange(n)
+    for i, c in enumerate(np.split(flat, np.cumsum(sizes)[:-1])):
+        if (marks == marks[0]).all():
             break  # all in one part: no pair can join two
-        shared = np.zeros(len(sets), np.int64)
+        shared = np.zeros(n, np.int64)
         for s in c.tolist():
             shared[posts[ends[s] : ends[s + 1]]] += 1  # a set has a value once
-        near = np.flatnonzero((shared >= similar * (sizes + sizes[i] - shared) - 1e-9) & (label != label[i]))
-        for j in near.tolist():
-            if label[j] != label[i]:
+        for j in np.flatnonzero((shared >= similar * (sizes + sizes[i] - shared) - 1e-9) & (marks != marks[i])).tolist():
+            if marks[j] != marks[i]:
                 edges.append((i, j))
-                label[label == label[j]] = label[i]
+                marks[marks == marks[j]] = marks[i]
     return edges
 
 
-def _verify(similar: float):
-    def edges(held: list[tuple[int, np.ndarray]]) -> tuple[list[int], list[int]]:
-        found = spanning([s for _, s in held], similar) if len(held) > 1 else []
-        return [held[i][0] for i, _ in found], [held[j][0] for _, j in found]
+def shingle_sets(bodies: list[bytes]) -> list[set[int]]:
+    """The shingles of each body of normalised words; fewer words than a shingle make one."""
+    whole = b"\n".join(bodies)
+    first, last = words.bounds(whole)
+    h = words.hashes(whole, first, last)
+    grams = words.runs(h, SHINGLE).tolist()
+    starts = np.searchsorted(first, np.cumsum([0] + [len(x) + 1 for x in bodies])).tolist()
+    short = lambda a, e: {int(words.shingles(h[a:e], SHINGLE)[0])}
+    return [set(grams[a : e - SHINGLE + 1]) if e - a >= SHINGLE else short(a, e) for a, e in zip(starts, starts[1:])]
+
 
+def _verify(similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for b in batches:
-            us, vs = [], []
-            for *at, node, body in zip(*(c.to_pylist() for c in b.columns[:-1]), b.columns[-1]):
-                if at != key:
-                    u, v = edges(held)
-                    us, vs = us + u, vs + v
-                    held, key = [], at
-                held.append((node, words.shingles(words.of(body.as_py().encode()), SHINGLE)))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-        u, v = edges(held)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        held: list[tuple[int, set[int]]] = []
+        key = None
+        us: list[int] = []
+        vs: list[int] = []
+
+        def settle() -> None:
+            for i, j in spanning([s for _, s in held], similar) if len(held) > 1 else ():
+                us.append(held[i][0])
+                vs.append(held[j][0])
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            us.clear()
+            vs.clear()
+            return out
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                sets = shingle_sets([x.as_py().encode() for x in b.columns[-1]])
+                for *place, node, own in zip(*(c.to_pylist() for c in b.columns[:-1]), sets):
+                    if place != key:
+                        settle()
+                        held, key = [], place
+                    held.append((node, own))
+            yield told()
+        settle()
+        yield told()
 
     return run
 

@@ -120,7 +120,9 @@ def gradient(net: Network, labels: np.ndarray, weights: np.ndarray, codes: np.nd
     g["dense"], g["dense_shift"] = pooled.T @ dh, dh.sum(axis=0)
     dp = dh @ w["dense"].T
     doc = np.repeat(np.arange(len(labels)), sizes)
-    dc = dp[doc, FILTERS:] / sizes[doc, None] + dp[doc, :FILTERS] * (per_chunk == most[doc])
+    # Chunks overlap, so the strongest place of a text may be in two of them, which then share its gradient.
+    best = (per_chunk == most[doc]).astype(most.dtype)
+    dc = dp[doc, FILTERS:] / sizes[doc, None] + dp[doc, :FILTERS] * best / np.add.reduceat(best, starts)[doc]
     dc = np.where(per_chunk > 0, dc, 0)
     g["shift"] = dc.sum(axis=0)
     # Of each filter in each chunk, only the strongest place has a gradient.

@@ -7,13 +7,15 @@ that neither lines nor what stands around a passage decide whether it is found:
   stretches of shorter and longer lines are cut, whatever their lines, where the hash of the next few words is the least of ``MIN_WORDS`` words on either
   side. Blocks have MinHash values of their five-word shingles, in as many bands of ``jaccard.ROWS`` as find a pair of the wanted
   similarity with probability ``jaccard.RECALL``; of the blocks that share a band, the exact Jaccard similarity decides, and components of the links are the classes.
-* **Windows** are all runs of ``WINDOW`` words, wherever they start. Their shingles have ``WINDOW_SHINGLE`` words and their
-  MinHash has one row: the least hash of a window's shingles. Neighbouring windows share it, so it is found once for about 7 % of the places,
-  and equal windows always collide. Of the windows that collide all are hashed (96 bits) and those that are equal are a class.
+* **Runs** of ``RUN`` words find passages of ``WINDOW`` words or more that are equal, wherever they start. Of each window of ``WINDOW`` words the MinHash of one row over its
+  shingles of ``WINDOW_SHINGLE`` words, the least hash, is an anchor; neighbouring windows share it, so about 7 % of the places are anchors.
+  Equal windows have an equal anchor, and the run of ``RUN`` words that begins with it or the one that ends with it lies within every passage of ``WINDOW`` words around it.
+  These runs are hashed (96 bits), and equal ones are a class.
 
-The first occurrence of a class by (doc_id, place) stays, the others are removed. Equal windows next to each other join to one passage.
+The first occurrence of a class by (doc_id, place) stays, the others are removed. Equal runs that touch join to one passage; of a longer passage at most
+``RUN - WINDOW_SHINGLE`` words stay at either end.
 
-No group is gathered: crowded bands are cut into pieces that meet in twos (``jaccard``), copies of blocks are one node, windows are counted by
+No group is gathered: crowded bands are cut into pieces that meet in twos (``jaccard``), copies of blocks are one node, runs are counted by
 partial aggregation, and occurrences only join their class.
 """
 
@@ -34,8 +36,9 @@ from quarry.llm.scratch import importable, release, stored
 MIN_WORDS, LONG, MARK = 30, 120, 3
 WINDOW, WINDOW_SHINGLE = 50, 25
 _CHUNK = 1 << 20
-#: A window has this many shingles.
+#: A window has this many shingles; with the words of its anchor counted twice, one of the runs on either side has half of it.
 _REACH = WINDOW - WINDOW_SHINGLE + 1
+RUN = -(-(WINDOW + WINDOW_SHINGLE) // 2)
 
 
 def _texts(bodies: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,13 +73,14 @@ def blocks(h: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray
     return places[:-1][enough], sizes[enough]
 
 
-def anchors(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the shingles that are the least of some window within a text."""
+def runs(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """First words of the runs that begin or end with the least shingle of some window within a text."""
     if len(h) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    g = words.runs(h, WINDOW_SHINGLE)
-    at = np.unique(words.least(g, _REACH)[doc[: len(h) - WINDOW + 1] == doc[WINDOW - 1 :]])
-    return at, g[at]
+        return np.zeros(0, np.int64)
+    at = np.unique(words.least(words.runs(h, WINDOW_SHINGLE), _REACH)[doc[: len(h) - WINDOW + 1] == doc[WINDOW - 1 :]])
+    at = np.unique(np.concatenate([at, at + WINDOW_SHINGLE - RUN]))
+    at = at[(at >= 0) & (at <= len(h) - RUN)]
+    return at[doc[at] == doc[at + RUN - 1]]
 
 
 def _offsets(doc: np.ndarray, n: int) -> np.ndarray:
@@ -84,7 +88,7 @@ def _offsets(doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def _scan(n_bands: int):
-    """One row for each text that has a block or window: its blocks, their nodes, bands and words, and its anchors."""
+    """One row for each text that has a block or window: its blocks, their nodes, bands and words, and its runs, of which an equal one within the text is marked."""
 
     def made(rows: pa.RecordBatch, keep: list[int], bodies: list[bytes]) -> pa.RecordBatch:
         whole, first, last, doc = _texts(bodies)
@@ -92,17 +96,24 @@ def _scan(n_bands: int):
         at, size = blocks(h, doc, np.searchsorted(np.flatnonzero(np.frombuffer(whole, np.uint8) == 10), first))
         own = [b" ".join(whole[a:e].split()) for a, e in zip(first[at].tolist(), last[at + size - 1].tolist())]
         found = jaccard.bands_of(words.runs(h, jaccard.SHINGLE), at, at + size - jaccard.SHINGLE + 1, n_bands)
-        marks, g = anchors(h, doc)
-        per_doc, per_mark = pa.array(_offsets(doc[at], n)), pa.array(_offsets(doc[marks], n))
+        starts = runs(h, doc)
+        x, y = (words.runs(h, RUN, base)[starts] if len(starts) else np.zeros(0, np.uint64) for base in words.BASES)
+        y, row = y >> np.uint64(33), doc[starts]
+        order = np.lexsort((starts, y, x, row))
+        same = (row[order[1:]] == row[order[:-1]]) & (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] == y[order[:-1]])
+        again = np.zeros(len(starts), bool)
+        again[order[1:]] = same
+        per_doc, per_run = pa.array(_offsets(doc[at], n)), pa.array(_offsets(row, n))
         lists = lambda offsets, values: pa.ListArray.from_arrays(offsets, values)
         by_band = lists(pa.array((np.arange(len(at) + 1) * n_bands).astype(np.int32)), pa.array(found.reshape(-1)))
         cols = [
             rows.column(0).take(pa.array(keep, pa.int32())), rows.column(1).take(pa.array(keep, pa.int32())),
             lists(per_doc, pa.array((at - start[doc[at]]).astype(np.int32))), lists(per_doc, pa.array(size.astype(np.int32))),
             lists(per_doc, pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary())), lists(per_doc, by_band), lists(per_doc, pa.array(own, pa.binary()).cast(pa.string())),
-            lists(per_mark, pa.array((marks - start[doc[marks]]).astype(np.int32))), lists(per_mark, pa.array(g.view(np.int64))),
+            lists(per_run, pa.array(np.where(again, -1 - (starts - start[row]), starts - start[row]).astype(np.int32))),
+            lists(per_run, pa.array(x.view(np.int64))), lists(per_run, pa.array(y.astype(np.int32))),
         ]
-        return pa.RecordBatch.from_arrays(cols, names=["doc", "key", "at", "size", "nodes", "bands", "bodies", "anchor_at", "anchors"])
+        return pa.RecordBatch.from_arrays(cols, names=["doc", "key", "at", "size", "nodes", "bands", "bodies", "run_at", "xs", "ys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,43 +134,6 @@ def _scan(n_bands: int):
     return run
 
 
-def _chunks(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``_CHUNK`` bytes of text, at least one row each."""
-    size = np.array([len(t) if t else 0 for t in b.column(text).to_pylist()], np.int64)
-    cuts = np.flatnonzero(np.diff(np.cumsum(size) // _CHUNK, prepend=0)).tolist()
-    for start, end in zip([0, *cuts], [*cuts, b.num_rows]):
-        if end > start:
-            yield b.slice(start, end - start)
-
-
-def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, row of each) of a list column."""
-    sizes = np.diff(lists.offsets.to_numpy())
-    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), sizes)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(own, key, doc, s, x, y) of the windows around places; of equal windows of a row only the first has ``doc``."""
-    for b in batches:
-        for part in _chunks(b, 2):
-            whole, first, last, doc = _texts([words.encoded(t) for t in part.column(2).to_pylist()])
-            h = words.hashes(whole, first, last)
-            start = _offsets(doc, part.num_rows).astype(np.int64)
-            near, row = _flat(part.column(3))
-            s = ((near + start[row])[:, None] - np.arange(_REACH)).ravel()
-            row = np.repeat(row, _REACH)
-            s = np.unique(s[(s >= start[row]) & (s + WINDOW <= start[row + 1])])
-            row = doc[s]
-            x, y = (words.runs(h, WINDOW, base)[s] for base in words.BASES)
-            y >>= np.uint64(32)
-            order = np.lexsort((s, y, x, row))
-            again = np.zeros(len(s), bool)
-            again[order[1:]] = (row[order[1:]] == row[order[:-1]]) & (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] == y[order[:-1]])
-            cols = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), part.column(0).take(pa.array(row, mask=again))]
-            cols += [pa.array((s - start[row]).astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.astype(np.uint32).view(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["own", "key", "doc", "s", "x", "y"])
-
-
 def key_of(text: Column) -> Column:
     """With the id this names a row; rows that repeat both are alike in everything that is found."""
     return F.xxhash64(text)
@@ -172,7 +146,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _scanned(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     importable(docs.sparkSession)
-    schema = "doc long, key long, at array<int>, size array<int>, nodes array<binary>, bands array<array<long>>, bodies array<string>, anchor_at array<int>, anchors array<long>"
+    schema = "doc long, key long, at array<int>, size array<int>, nodes array<binary>, bands array<array<long>>, bodies array<string>, run_at array<int>, xs array<long>, ys array<int>"
     return stored(_rows(docs, id_col, text_col).mapInArrow(_scan(jaccard.banding(similar)), schema), "substring-rows")
 
 
@@ -208,38 +182,36 @@ def _starred(banded: DataFrame) -> DataFrame:
     return banded.join(first, "band").where("id <> v").select(F.col("id").alias("u"), "v")
 
 
-def _window_classes(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, key, s, x, keep_id, removed) of all windows that occur more than once."""
-    each = found.select("doc", "key", F.explode(F.arrays_zip("anchor_at", "anchors")).alias("a")).select("doc", "key", F.col("a.anchor_at").alias("at"), F.col("a.anchors").alias("g"))
-    twice = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    near = each.join(twice, "g", "left_semi").groupBy("doc", "key").agg(F.collect_list("at").alias("near"))  # of one text
-    around = _rows(docs, id_col, text_col).join(near.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "near")
-    made = stored(around.mapInArrow(_windows, "own long, key long, doc long, s int, x long, y int"), "substring-windows")
-    counted = made.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("doc").alias("keep_id")).where("n > 1").drop("n")
+def _run_classes(found: DataFrame) -> DataFrame:
+    """(doc, key, s, x, keep_id, removed) of all runs that occur more than once."""
+    each = found.select("doc", "key", F.explode(F.arrays_zip("run_at", "xs", "ys")).alias("r")).select("doc", "key", F.col("r.run_at").alias("at"), F.col("r.xs").alias("x"), F.col("r.ys").alias("y"))
+    counted = each.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("doc").alias("keep_id")).where("n > 1").drop("n")
     least = stored(counted, "substring-least")
-    out = made.join(least, ["x", "y"]).select(F.col("own").alias("doc"), "key", "s", "x", "keep_id", (~F.col("doc").eqNullSafe(F.col("keep_id"))).alias("removed"))
-    out._reads = [made, least]
+    # A negative place marks a run that its own text has before.
+    at = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))
+    out = each.join(least.hint("shuffle_hash"), ["x", "y"]).select("doc", "key", at.alias("s"), "x", "keep_id", ((F.col("at") < 0) | (F.col("doc") != F.col("keep_id"))).alias("removed"))
+    out._reads = [least]
     return out
 
 
 def _joined(s: np.ndarray, x: np.ndarray, keep: np.ndarray, gone: np.ndarray) -> Iterator[tuple]:
-    """(kind, first word, words, class, keep_id, removed) of the passages that windows in order make, those that stay and those that go apart, each named by its first window."""
+    """(kind, first word, words, class, keep_id, removed) of the passages that runs in order make, those that stay and those that go apart, each named by its first run."""
     for removed in (False, True):
         i = np.flatnonzero(gone == removed)
         if len(i):
-            opens = np.flatnonzero(np.concatenate([[True], s[i[1:]] > s[i[:-1]] + WINDOW]))
+            opens = np.flatnonzero(np.concatenate([[True], s[i[1:]] > s[i[:-1]] + RUN]))
             ends = np.append(opens[1:], len(i)) - 1
             for a, e in zip(i[opens], i[ends]):
-                yield "passage", int(s[a]), int(s[e] - s[a]) + WINDOW, int(x[a]), int(keep[a]), removed
+                yield "passage", int(s[a]), int(s[e] - s[a]) + RUN, int(x[a]), int(keep[a]), removed
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = jaccard.SIMILAR) -> DataFrame:
     """One row per repeated paragraph: doc_id, kind, number, size, start, end, component_id, keep_id, removed.
 
-    ``kind`` is "block" (similar to others of its class) or "passage" (equal windows that follow each other, those that stay and those that go
+    ``kind`` is "block" (similar to others of its class) or "passage" (equal runs that touch, those that stay and those that go
     apart). ``number`` and ``size`` count words, start and end are code points in the text. Of a class the
     occurrence with the smallest (doc_id, number) stays; ``keep_id`` is its document. A passage has the class and keep_id of its first
-    window. Paragraphs that repeat within one document count as well.
+    run. Paragraphs that repeat within one document count as well.
 
     Null, empty and short texts have no paragraphs. Rows with a null doc_id take no part. Rows that repeat an id and the text are one document, given
     as often as it is there; rows that repeat an id with other texts are told apart, but what they share stays in both. Texts of any length are read whole.
@@ -247,11 +219,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """
     found = _scanned(docs, id_col, text_col, similar)
     blocks_of = _block_classes(found, similar)
-    windows_of = _window_classes(found, docs, id_col, text_col)
+    runs_of = _run_classes(found)
     per_block = blocks_of.groupBy("doc", "key").agg(F.collect_set(F.struct("at", "size", "component_id", "keep_id", "removed")).alias("blocks"))
-    per_window = windows_of.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("s", "x", "keep_id", "removed"))).alias("w")).select("doc", "key", *[F.col("w")[c].alias(c) for c in ("s", "x", "keep_id", "removed")])  # of one text
-    both = stored(per_block.join(per_window, ["doc", "key"], "full"), "substring-found")
-    release(found, *blocks_of._reads, *windows_of._reads)
+    per_run = runs_of.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("s", "x", "keep_id", "removed"))).alias("w")).select("doc", "key", *[F.col("w")[c].alias(c) for c in ("s", "x", "keep_id", "removed")])  # of one text
+    both = stored(per_block.join(per_run, ["doc", "key"], "full"), "substring-found")
+    release(found, *blocks_of._reads, *runs_of._reads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
@@ -302,10 +274,10 @@ def cleaned_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks_of = _block_classes(found, similar)
     gone = stored(blocks_of.where("removed").select("doc", "key", "at", "size"), "substring-blocks-gone")
     release(*blocks_of._reads)
-    windows_of = _window_classes(found, docs, id_col, text_col)
-    more = windows_of.where("removed").select("doc", "key", F.col("s").alias("at"), F.lit(WINDOW).alias("size"))
+    runs_of = _run_classes(found)
+    more = runs_of.where("removed").select("doc", "key", F.col("s").alias("at"), F.lit(RUN).alias("size"))
     spans = stored(gone.unionByName(more).groupBy("doc", "key").agg(F.collect_list(F.struct("at", "size")).alias("w")), "substring-gone")  # of one text
-    release(found, gone, *windows_of._reads)
+    release(found, gone, *runs_of._reads)
     spans = spans.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("w.at").alias("_at"), F.col("w.size").alias("_size"))
     same = (F.col(f"`{id_col}`").cast("long") == F.col("_doc")) & (key_of(F.col(f"`{text_col}`")) == F.col("_key"))
     names = docs.columns

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from quarry.llm import jaccard, words
@@ -62,18 +63,15 @@ def brute_blocks(rows, similar=0.8):
     return sorted((d, a, n, min(g)[0], (d, a) != min(g)[:2]) for g in groups.values() if len(g) > 1 for d, a, n in g)
 
 
-def brute_windows(rows):
-    """{(doc_id, word)}: words of windows that are not the first of their kind, and words of those that are."""
-    seen, gone, stay = defaultdict(list), set(), set()
+def brute_runs(rows, size, places):
+    """[(doc_id, place, not the first)] of the runs of ``size`` words at ``places(words)`` that occur more than once."""
+    seen = defaultdict(list)
     for d, t in rows:
-        own = words_of(t)
         if d is not None:
-            for i in range(len(own) - S.WINDOW + 1):
-                seen[tuple(own[i : i + S.WINDOW])].append((d, i))
-    for v in seen.values():
-        for k, (d, i) in enumerate(sorted(v) if len(v) > 1 else ()):
-            (gone if k else stay).update((d, j) for j in range(i, i + S.WINDOW))
-    return gone, stay
+            own = words_of(t)
+            for i in places(own):
+                seen[tuple(own[i : i + size])].append((d, i))
+    return [(d, i, k > 0) for v in seen.values() if len(v) > 1 for k, (d, i) in enumerate(sorted(v))]
 
 
 def assert_equal(found, rows):
@@ -85,7 +83,15 @@ def assert_equal(found, rows):
         parts[r.component_id].add((r.keep_id))
     assert all(len(k) == 1 for k in parts.values())
     covered = [{(r.doc_id, r.number + i) for r in found if r.kind == "passage" and r.removed is gone for i in range(r.size)} for gone in (True, False)]
-    assert tuple(covered) == brute_windows(rows)
+    h = lambda own: words.of(b" ".join(own))
+    runs = brute_runs(rows, S.RUN, lambda own: S.runs(h(own), np.zeros(len(own), int)).tolist())
+    assert covered == [{(d, i + k) for d, i, later in runs if later is gone for k in range(S.RUN)} for gone in (True, False)]
+    # Every window of WINDOW words that repeats has such a run within it.
+    starts = defaultdict(set)
+    for d, i, _ in runs:
+        starts[d].add(i)
+    for d, i, _ in brute_runs(rows, S.WINDOW, lambda own: range(len(own) - S.WINDOW + 1)):
+        assert starts[d] & set(range(i, i + S.WINDOW - S.RUN + 1))
     for r in found:
         assert words_of(text[r.doc_id][r.start : r.end]) == words_of(text[r.doc_id])[r.number : r.number + r.size]
         assert not text[r.doc_id][r.start].isspace() and not text[r.doc_id][r.end - 1].isspace()
@@ -138,8 +144,10 @@ def test_bands_follow_the_similarity():
         assert missed <= 1 - jaccard.RECALL < (1 - similar**jaccard.ROWS) ** (n - 1)
 
 
-def test_passages_inside_a_line_and_over_short_lines(spark):
-    rng = random.Random(4)
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_inside_a_line_and_over_short_lines(spark, seed):
+    """A passage of 50 words loses its copies but for a few words at their ends; a run of 29 words is none."""
+    rng = random.Random(seed)
     say = lambda n: " ".join(f"wé{rng.randrange(9999)}" for _ in range(n))
     one = say(50)
     wrapped = "\n".join(" ".join(one.split()[i : i + 7]) for i in range(0, 50, 7))
@@ -147,8 +155,12 @@ def test_passages_inside_a_line_and_over_short_lines(spark):
     short = " ".join(one.split()[:29])
     rows = [(1, f"{a} {one} {b}", 0), (2, f"{c} {one.upper().replace('É', 'é')} {d}", 0), (3, f"{e}\n{wrapped}\n{f}", 0), (4, f"{say(9)} {short}", 7), (None, one, 8), (5, None, None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in S.cleaned_rows(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
-    want = {1: (rows[0][1], 0), 2: (f"{c} {d}", len(c) + len(d) + 1), 3: (f"{e}\n{f}", len(e) + len(f) + 1), 4: rows[3][1:], None: (one, 8), 5: (None, None)}
-    assert got == want
+    assert {k: got[k] for k in (1, 4, None, 5)} == {1: (rows[0][1], 0), 4: rows[3][1:], None: (one, 8), 5: (None, None)}
+    for k, before, after in ((2, c, d), (3, e, f)):
+        text, n = got[k]
+        left = words_of(text)
+        assert n == len(text) and left[:80] == words_of(before) and left[-80:] == words_of(after)
+        assert len(left) - 160 <= 2 * (S.RUN - S.WINDOW_SHINGLE) and not text.startswith(" ")
 
 
 def test_cleaned_rows(spark):
@@ -164,5 +176,5 @@ def test_cleaned_rows(spark):
 def test_rows_that_repeat_an_id(spark):
     rng = random.Random(5)
     a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(4))
-    docs = spark.createDataFrame([(1, a), (2, f"{b} {a} y"), (2, f"{c} {d}"), (2, f"{c} {d}")], "doc_id long, text string")
-    assert sorted(r.text for r in S.cleaned_rows(docs).collect()) == sorted([a, f"{b} y", f"{c} {d}", f"{c} {d}"])
+    docs = spark.createDataFrame([(1, a), (2, f"{b}\n{a}\ny"), (2, f"{c} {d}"), (2, f"{c} {d}")], "doc_id long, text string")
+    assert sorted(r.text for r in S.cleaned_rows(docs).collect()) == sorted([a, f"{b}\ny", f"{c} {d}", f"{c} {d}"])
