@@ -88,7 +88,7 @@ def _offsets(doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def _scan(n_bands: int):
-    """One row for each text that has a block or window: its blocks, their nodes, bands and words, and its runs, of which an equal one within the text is marked."""
+    """A row for each block, with its node, bands and words, and one for the runs of each text, of which one that an equal one goes before in the text is marked."""
 
     def made(rows: pa.RecordBatch, keep: list[int], bodies: list[bytes]) -> pa.RecordBatch:
         whole, first, last, doc = _texts(bodies)
@@ -103,17 +103,20 @@ def _scan(n_bands: int):
         same = (row[order[1:]] == row[order[:-1]]) & (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] == y[order[:-1]])
         again = np.zeros(len(starts), bool)
         again[order[1:]] = same
-        per_doc, per_run = pa.array(_offsets(doc[at], n)), pa.array(_offsets(row, n))
-        lists = lambda offsets, values: pa.ListArray.from_arrays(offsets, values)
-        by_band = lists(pa.array((np.arange(len(at) + 1) * n_bands).astype(np.int32)), pa.array(found.reshape(-1)))
+        texts = np.flatnonzero(np.bincount(row, minlength=n))
+        per_run = np.concatenate([np.zeros(len(at) + 1, np.int32), np.cumsum(np.bincount(row, minlength=n)[texts])]).astype(np.int32)
+        empty, owner = len(texts), pa.array(np.asarray(keep, np.int32)[np.concatenate([doc[at], texts])])
+        padded = lambda values, kind: pa.chunked_array([pa.array(values, kind), pa.nulls(empty, kind)]).combine_chunks()
+        nothing = pa.array(np.concatenate([np.ones(len(at), bool), np.zeros(empty, bool)]))
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(per_run), pa.array(values), mask=nothing)
+        by_band = pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * n_bands).astype(np.int32)), pa.array(found.reshape(-1)))
+        here = starts - start[row]
         cols = [
-            rows.column(0).take(pa.array(keep, pa.int32())), rows.column(1).take(pa.array(keep, pa.int32())),
-            lists(per_doc, pa.array((at - start[doc[at]]).astype(np.int32))), lists(per_doc, pa.array(size.astype(np.int32))),
-            lists(per_doc, pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary())), lists(per_doc, by_band), lists(per_doc, pa.array(own, pa.binary()).cast(pa.string())),
-            lists(per_run, pa.array(np.where(again, -1 - (starts - start[row]), starts - start[row]).astype(np.int32))),
-            lists(per_run, pa.array(x.view(np.int64))), lists(per_run, pa.array(y.astype(np.int32))),
+            rows.column(0).take(owner), rows.column(1).take(owner), padded(at - start[doc[at]], pa.int32()), padded(size, pa.int32()),
+            padded([xxhash.xxh3_128_digest(x) for x in own], pa.binary()), pa.concat_arrays([by_band, pa.nulls(empty, by_band.type)]), padded([x.decode() for x in own], pa.string()),
+            listed(np.where(again, -1 - here, here).astype(np.int32)), listed(x.view(np.int64)), listed(y.astype(np.int32)),
         ]
-        return pa.RecordBatch.from_arrays(cols, names=["doc", "key", "at", "size", "nodes", "bands", "bodies", "run_at", "xs", "ys"])
+        return pa.RecordBatch.from_arrays(cols, names=["doc", "key", "at", "size", "node", "bands", "body", "run_at", "xs", "ys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,7 +149,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _scanned(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     importable(docs.sparkSession)
-    schema = "doc long, key long, at array<int>, size array<int>, nodes array<binary>, bands array<array<long>>, bodies array<string>, run_at array<int>, xs array<long>, ys array<int>"
+    schema = "doc long, key long, at int, size int, node binary, bands array<long>, body string, run_at array<int>, xs array<long>, ys array<int>"
     return stored(_rows(docs, id_col, text_col).mapInArrow(_scan(jaccard.banding(similar)), schema), "substring-rows")
 
 
@@ -158,20 +161,19 @@ def _order(at: str) -> Column:
 def _block_classes(found: DataFrame, similar: float) -> DataFrame:
     """(doc, key, at, size, component_id, keep_id, class_size, removed) of the blocks that have a duplicate."""
     names = [f"b{i}" for i in range(jaccard.banding(similar))]
-    each = found.select("doc", F.explode(F.arrays_zip("at", "size", "nodes", "bands")).alias("b")).select("doc", "b.*")
+    each = found.where("node is not null")
     # Bands and size are functions of the node, so copies are combined here, in the map tasks first.
-    grouped = each.groupBy(F.col("nodes").alias("node"), "size", *[F.col("bands")[i].alias(n) for i, n in enumerate(names)]).agg(F.count("*").alias("n"), F.min(_order("at")).alias("first"))
+    grouped = each.groupBy("node", "size", *[F.col("bands")[i].alias(n) for i, n in enumerate(names)]).agg(F.count("*").alias("n"), F.min(_order("at")).alias("first"))
     nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "substring-nodes")
     banded = nodes.select(F.explode(F.array(*names)).alias("band"), "id")
-    part = jaccard.classes(nodes.select("id", "node", (8 * F.col("size")).alias("size")), _starred(banded), found.select(F.explode(F.arrays_zip("nodes", "bodies")).alias("b")).select(F.col("b.nodes").alias("node"), F.col("b.bodies").alias("body")), similar)
+    part = jaccard.classes(nodes.select("id", "node", (8 * F.col("size")).alias("size")), _starred(banded), each.select("node", "body"), similar)
     # A class is known by its smallest node; nodes without edges are classes of their own.
     classed = nodes.select("id", "node", "n", "first").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
     heads = classed.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("first")).where("class_size > 1")
     in_class = stored(classed.drop("first").join(heads, "class").select("node", "class", "class_size", "first"), "substring-classes")
     release(nodes, *part._reads)
-    occurs = found.select("doc", "key", F.explode(F.arrays_zip("at", "size", "nodes")).alias("b")).select("doc", "key", "b.at", "b.size", F.col("b.nodes").alias("node"))
     keep = F.expr(f"(first - pmod(first, {2**31})) div {2**31}")
-    out = occurs.join(in_class, "node").select("doc", "key", "at", "size", F.col("class").alias("component_id"), keep.alias("keep_id"), "class_size", (_order("at") != F.col("first")).alias("removed"))
+    out = each.select("doc", "key", "at", "size", "node").join(in_class, "node").select("doc", "key", "at", "size", F.col("class").alias("component_id"), keep.alias("keep_id"), "class_size", (_order("at") != F.col("first")).alias("removed"))
     out._reads = [in_class]
     return out
 
@@ -184,7 +186,7 @@ def _starred(banded: DataFrame) -> DataFrame:
 
 def _run_classes(found: DataFrame) -> DataFrame:
     """(doc, key, s, x, keep_id, removed) of all runs that occur more than once."""
-    each = found.select("doc", "key", F.explode(F.arrays_zip("run_at", "xs", "ys")).alias("r")).select("doc", "key", F.col("r.run_at").alias("at"), F.col("r.xs").alias("x"), F.col("r.ys").alias("y"))
+    each = found.where("run_at is not null").select("doc", "key", F.explode(F.arrays_zip("run_at", "xs", "ys")).alias("r")).select("doc", "key", F.col("r.run_at").alias("at"), F.col("r.xs").alias("x"), F.col("r.ys").alias("y"))
     counted = each.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("doc").alias("keep_id")).where("n > 1").drop("n")
     least = stored(counted, "substring-least")
     # A negative place marks a run that its own text has before.
