@@ -136,31 +136,35 @@ def _verify(similar: float):
     return run
 
 
-def _links(met: DataFrame, bodies: DataFrame, similar: float) -> DataFrame:
-    """Edges (u, v) that span all pairs of similar bodies in each group of ``met(group, id, m)``.
+def _links(met: DataFrame, similar: float) -> DataFrame:
+    """Edges (u, v) that span all pairs of similar bodies in each group of ``met(group, id, m, body)``.
 
     m is the number of pieces of the group; a member's piece is a hash of its id, and every two pieces meet in a task of their own.
     """
     mine = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    dealt = met.join(bodies, "id").select("group", F.explode(meets).alias("c"), "id", "body").select("group", "c.i", "c.j", "id", "body")
+    dealt = met.select("group", F.explode(meets).alias("c"), "id", "body").select("group", "c.i", "c.j", "id", "body")
     near = dealt.repartition(width(met.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j", "id")
     return near.mapInArrow(_verify(similar), "u long, v long")
 
 
-def classes(nodes: DataFrame, candidates: DataFrame, bodies: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(node, component) of the ids of ``nodes(id, node, size)`` that have a similar one.
+def classes(rows: DataFrame, candidates: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(id, component) of those of ``rows(id, node, size, body)`` that have a candidate; a row without a similar one is its own component.
 
     ``candidates(u, v)`` are edges between ids. Whatever is reached over them is one group; within a group all pairs are
-    counted exactly, and the pairs that reach ``similar`` make the components. ``bodies(node, body)`` are normalised words, any number of rows a
-    node; only those of nodes with a candidate are moved, once each.
+    counted exactly, and the pairs that reach ``similar`` make the components. ``node`` names the body, normalised words: equal ones of a group are compared, and moved, once.
     """
-    importable(nodes.sparkSession)
+    importable(rows.sparkSession)
     close = connected_components(candidates)
-    members = close.select(F.col("component").alias("group"), F.col("node").alias("id")).join(nodes, "id")
+    members = stored(close.select(F.col("component").alias("group"), F.col("node").alias("id")).join(rows.select("id", "node", "size"), "id"), "groups")
+    release(*close._reads)
+    firsts = stored(members.groupBy("group", "node", "size").agg(F.min("id").alias("first")), "group-firsts")
     pieces = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).cast("int")
-    met = stored(members.join(members.groupBy("group").agg(pieces.alias("m")), "group").select("group", "id", "node", "m"), "groups")
-    texts = stored(bodies.join(met.select("id", "node").hint("shuffle_hash"), "node").groupBy("id").agg(F.min("body").alias("body")), "group-bodies")
-    out = connected_components(_links(met.drop("node"), texts, similar))
-    release(met, texts, *close._reads)
+    several = firsts.groupBy("group").agg(F.count("*").alias("n"), pieces.alias("m")).where("n > 1")
+    met = firsts.join(several, "group").select("group", F.col("first").alias("id"), "m")
+    part = connected_components(_links(rows.select("id", "body").join(met.hint("shuffle_hash"), "id"), similar))
+    own = members.join(firsts, ["group", "node"]).join(part.withColumnRenamed("node", "first"), "first", "left")
+    out = stored(own.select("id", F.coalesce("component", "first").alias("component")), "classes")
+    release(members, firsts, *part._reads)
+    out._reads = [out]
     return out

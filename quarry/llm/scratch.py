@@ -1,13 +1,14 @@
 """Intermediate tables in the folder that all machines of the cluster share.
 
 The folder is the one named by ``spark.checkpoint.dir``; only where a session
-names none (tests, a laptop) one is made and set. Tables are ordinary Parquet,
+names none and runs in one process (tests, a laptop) one is made and set. Tables are ordinary Parquet,
 so a lost executor costs no recomputation beyond its running tasks.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="quarry-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)

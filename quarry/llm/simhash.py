@@ -313,10 +313,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "node", *_FPS, "size", "body"])
 
 
-def _between(nodes: DataFrame, near: DataFrame) -> DataFrame:
+def _between(rows: DataFrame, near: DataFrame) -> DataFrame:
     """``near``, edges between the first ids of fingerprints, and edges from the other ids of a fingerprint to its first."""
-    first = nodes.groupBy(*_FPS).agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return near.unionByName(nodes.join(first, _FPS).where("id <> v").select(F.col("id").alias("u"), "v"))
+    first = rows.groupBy(*_FPS).agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return near.unionByName(rows.select("id", *_FPS).join(first, _FPS).where("id <> v").select(F.col("id").alias("u"), "v"))
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = jaccard.SIMILAR) -> DataFrame:
@@ -331,18 +331,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     schema = ", ".join(["doc_id long, key long, node binary", *(f"{n} long" for n in _FPS), "size long, body string"])
-    found = stored(rows.mapInArrow(_texts, schema), "near-texts")
-    grouped = found.groupBy("node", "size", *_FPS).agg(F.min("doc_id").alias("first"))
-    nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
-    prints = nodes.groupBy(*_FPS).agg(F.min("id").alias("node")).select("node", *_FPS)
-    near = links(prints, radius_of(similar), wide_masks(similar, nodes.count()))
-    part = jaccard.classes(nodes.select("id", "node", "size"), _between(nodes, near), found.select("node", "body"), similar)
-    named = nodes.select("id", "node", "first").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_node = stored(named.join(least, "component").select("node", "component_id"), "near-classes")
-    release(nodes, *part._reads)
-    out = found.select("doc_id", "key", "node").join(by_node, "node").select("doc_id", "key", "component_id")
-    out._reads = [found, by_node]
+    found = stored(rows.mapInArrow(_texts, schema).withColumn("id", F.monotonically_increasing_id()), "near-texts")
+    prints = stored(found.groupBy(*_FPS).agg(F.min("id").alias("node")), "near-prints")
+    near = links(prints, radius_of(similar), wide_masks(similar, prints.count()))
+    part = jaccard.classes(found.select("id", "node", "size", "body"), _between(found, near), similar)
+    release(prints)
+    named = found.select("id", "doc_id", "key").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(least, "component").select("doc_id", "key", "component_id")
+    out._reads = [found, *part._reads]
     return out
 
 

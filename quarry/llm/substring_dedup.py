@@ -8,12 +8,11 @@ that neither lines nor what stands around a passage decide whether it is found:
   side. Blocks have MinHash values of their five-word shingles, in as many bands of ``jaccard.ROWS`` as find a pair of the wanted
   similarity with probability ``jaccard.RECALL``; of the blocks that share a band, the exact Jaccard similarity decides, and components of the links are the classes.
 * **Runs** of ``RUN`` words find passages of ``WINDOW`` words or more that are equal, wherever they start. Of each window of ``WINDOW`` words the MinHash of one row over its
-  shingles of ``WINDOW_SHINGLE`` words, the least hash, is an anchor; neighbouring windows share it, so about 7 % of the places are anchors.
-  Equal windows have an equal anchor, and the run of ``RUN`` words that begins with it or the one that ends with it lies within every passage of ``WINDOW`` words around it.
-  These runs are hashed (96 bits), and equal ones are a class.
+  runs of ``RUN`` words, the least hash, says which run stands for it; neighbouring windows share it, so it is about 9 % of all runs.
+  Equal windows have an equal run. Runs are known by 95 bits, and equal ones are a class.
 
 The first occurrence of a class by (doc_id, place) stays, the others are removed. Equal runs that touch join to one passage; of a longer passage at most
-``RUN - WINDOW_SHINGLE`` words stay at either end.
+``WINDOW - RUN`` words stay at either end, six on average.
 
 No group is gathered: crowded bands are cut into pieces that meet in twos (``jaccard``), copies of blocks are one node, runs are counted by
 partial aggregation, and occurrences only join their class.
@@ -22,6 +21,7 @@ partial aggregation, and occurrences only join their class.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import jaccard, words
-from quarry.llm.graph import connected_components
 from quarry.llm.scratch import importable, release, stored
 
 MIN_WORDS, LONG, MARK = 30, 120, 3
-WINDOW, WINDOW_SHINGLE = 50, 25
+WINDOW, RUN = 50, 30
 _CHUNK = 1 << 20
-#: A window has this many shingles; with the words of its anchor counted twice, one of the runs on either side has half of it.
-_REACH = WINDOW - WINDOW_SHINGLE + 1
-RUN = -(-(WINDOW + WINDOW_SHINGLE) // 2)
 
 
 def _texts(bodies: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,13 +70,10 @@ def blocks(h: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray
 
 
 def runs(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """First words of the runs that begin or end with the least shingle of some window within a text."""
+    """First words of the runs that are the least of some window within a text."""
     if len(h) < WINDOW:
         return np.zeros(0, np.int64)
-    at = np.unique(words.least(words.runs(h, WINDOW_SHINGLE), _REACH)[doc[: len(h) - WINDOW + 1] == doc[WINDOW - 1 :]])
-    at = np.unique(np.concatenate([at, at + WINDOW_SHINGLE - RUN]))
-    at = at[(at >= 0) & (at <= len(h) - RUN)]
-    return at[doc[at] == doc[at + RUN - 1]]
+    return np.unique(words.least(words.runs(h, RUN), WINDOW - RUN + 1)[doc[: len(h) - WINDOW + 1] == doc[WINDOW - 1 :]])
 
 
 def _offsets(doc: np.ndarray, n: int) -> np.ndarray:
@@ -150,7 +143,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _scanned(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     importable(docs.sparkSession)
     schema = "doc long, key long, at int, size int, node binary, bands array<long>, body string, run_at array<int>, xs array<long>, ys array<int>"
-    return stored(_rows(docs, id_col, text_col).mapInArrow(_scan(jaccard.banding(similar)), schema), "substring-rows")
+    found = _rows(docs, id_col, text_col).mapInArrow(_scan(jaccard.banding(similar)), schema)
+    return stored(found.withColumn("id", F.monotonically_increasing_id()), "substring-rows")
 
 
 def _order(at: str) -> Column:
@@ -159,22 +153,16 @@ def _order(at: str) -> Column:
 
 
 def _block_classes(found: DataFrame, similar: float) -> DataFrame:
-    """(doc, key, at, size, component_id, keep_id, class_size, removed) of the blocks that have a duplicate."""
-    names = [f"b{i}" for i in range(jaccard.banding(similar))]
+    """(doc, key, at, size, component_id, keep_id, class_size, removed) of the blocks that have a duplicate. A class is known by its smallest block."""
     each = found.where("node is not null")
-    # Bands and size are functions of the node, so copies are combined here, in the map tasks first.
-    grouped = each.groupBy("node", "size", *[F.col("bands")[i].alias(n) for i, n in enumerate(names)]).agg(F.count("*").alias("n"), F.min(_order("at")).alias("first"))
-    nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "substring-nodes")
-    banded = nodes.select(F.explode(F.array(*names)).alias("band"), "id")
-    part = jaccard.classes(nodes.select("id", "node", (8 * F.col("size")).alias("size")), _starred(banded), each.select("node", "body"), similar)
-    # A class is known by its smallest node; nodes without edges are classes of their own.
-    classed = nodes.select("id", "node", "n", "first").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
-    heads = classed.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("first")).where("class_size > 1")
-    in_class = stored(classed.drop("first").join(heads, "class").select("node", "class", "class_size", "first"), "substring-classes")
-    release(nodes, *part._reads)
+    banded = each.select(F.explode("bands").alias("band"), "id")
+    part = jaccard.classes(each.select("id", "node", (8 * F.col("size")).alias("size"), "body"), _starred(banded), similar)
+    members = stored(each.select("id", "doc", "key", "at", "size").join(part, "id"), "substring-members")
+    heads = members.groupBy("component").agg(F.count("*").alias("class_size"), F.min(_order("at")).alias("first")).where("class_size > 1")
     keep = F.expr(f"(first - pmod(first, {2**31})) div {2**31}")
-    out = each.select("doc", "key", "at", "size", "node").join(in_class, "node").select("doc", "key", "at", "size", F.col("class").alias("component_id"), keep.alias("keep_id"), "class_size", (_order("at") != F.col("first")).alias("removed"))
-    out._reads = [in_class]
+    out = members.join(heads, "component").select("doc", "key", "at", "size", F.col("component").alias("component_id"), keep.alias("keep_id"), "class_size", (_order("at") != F.col("first")).alias("removed"))
+    release(*part._reads)
+    out._reads = [members]
     return out
 
 
@@ -222,8 +210,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     found = _scanned(docs, id_col, text_col, similar)
     blocks_of = _block_classes(found, similar)
     runs_of = _run_classes(found)
-    per_block = blocks_of.groupBy("doc", "key").agg(F.collect_set(F.struct("at", "size", "component_id", "keep_id", "removed")).alias("blocks"))
-    per_run = runs_of.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("s", "x", "keep_id", "removed"))).alias("w")).select("doc", "key", *[F.col("w")[c].alias(c) for c in ("s", "x", "keep_id", "removed")])  # of one text
+    fields = ("at", "size", "component_id", "keep_id", "removed")
+    gathered = lambda rows, prefix: rows.groupBy("doc", "key").agg(F.array_sort(F.collect_set(F.struct(*fields))).alias("w")).select("doc", "key", *[F.col("w")[c].alias(prefix + c) for c in fields])  # noqa: E731  # of one text
+    same = runs_of.select("doc", "key", F.col("s").alias("at"), F.lit(RUN).alias("size"), F.col("x").alias("component_id"), "keep_id", "removed")
+    per_block, per_run = gathered(blocks_of, ""), gathered(same, "run_")
     both = stored(per_block.join(per_run, ["doc", "key"], "full"), "substring-found")
     release(found, *blocks_of._reads, *runs_of._reads)
 
@@ -232,11 +222,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, out = b.slice(at, 256), []
-                ids, texts, own = (part.column(i).to_pylist() for i in range(3))
-                for i, (doc, text) in enumerate(zip(ids, texts)):
-                    rows = [("block", x["at"], x["size"], x["component_id"], x["keep_id"], x["removed"]) for x in own[i] or ()]
-                    if part.column(3)[i].is_valid:
-                        rows += _joined(*(part.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6)))
+                array = lambda c, i, part=part: part.column(c)[i].values.to_numpy(zero_copy_only=False)
+                for i, (doc, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                    rows = []
+                    if part.column(2)[i].is_valid:
+                        rows += zip(repeat("block"), *(array(c, i).tolist() for c in range(2, 7)))
+                    if part.column(7)[i].is_valid:
+                        rows += _joined(*(array(c, i) for c in (7, 9, 10, 11)))
                     raw = words.encoded(text)
                     first, last = words.bounds(raw)
                     number = np.array([r[1] for r in rows])
@@ -244,7 +236,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                     out += [(doc, *r[:3], *span, *r[3:]) for r, span in zip(rows, spans)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "kind", "number", "size", "start", "end", "component_id", "keep_id", "removed"])
 
-    joined = _rows(docs, id_col, text_col).join(both.hint("shuffle_hash"), ["doc", "key"]).select("doc", "text", "blocks", "s", "x", "keep_id", "removed")
+    joined = _rows(docs, id_col, text_col).join(both.hint("shuffle_hash"), ["doc", "key"]).select("doc", "text", *fields, *[f"run_{c}" for c in fields])
     return joined.mapInArrow(run, "doc_id long, kind string, number int, size int, start int, end int, component_id long, keep_id long, removed boolean")
 
 

@@ -160,7 +160,7 @@ def test_passages_inside_a_line_and_over_short_lines(spark, seed):
         text, n = got[k]
         left = words_of(text)
         assert n == len(text) and left[:80] == words_of(before) and left[-80:] == words_of(after)
-        assert len(left) - 160 <= 2 * (S.RUN - S.WINDOW_SHINGLE) and not text.startswith(" ")
+        assert len(left) - 160 <= 2 * (S.WINDOW - S.RUN) and not text.startswith(" ")
 
 
 def test_cleaned_rows(spark):
