@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 MAX_LITERALS = 100_000
 
 
-def number_bounded(text: Column, literal: Column) -> Column:
-    """The literal is in the text; a number only where no digit, comma or point touches it."""
+def number_bounded(text: Column, literal: Column, lower_text: Column | None = None, lower_literal: Column | None = None) -> Column:
+    """The literal is in the text; a number only where no digit, comma or point touches it. Texts in lower case may be given where they are at hand."""
     quoted = F.regexp_replace(literal, r"([\\.^$|()\[\]{}+*?])", r"\\$1")
     number = literal.rlike(r"^[0-9][0-9,.]*%?$")
-    return F.when(number, F.regexp_like(text, F.concat(F.lit(r"(?<![0-9.,])"), quoted, F.lit(r"(?![0-9])")))).otherwise(F.contains(F.lower(text), F.lower(literal)))
+    held = F.contains(F.lower(text) if lower_text is None else lower_text, F.lower(literal) if lower_literal is None else lower_literal)
+    return F.when(number, F.regexp_like(text, F.concat(F.lit(r"(?<![0-9.,])"), quoted, F.lit(r"(?![0-9])")))).otherwise(held)
 
 
 def locate(literals: DataFrame, chunks: DataFrame, entity: str | None = None) -> DataFrame:
@@ -24,11 +25,12 @@ def locate(literals: DataFrame, chunks: DataFrame, entity: str | None = None) ->
     few = literals.limit(MAX_LITERALS + 1).cache()
     if few.count() > MAX_LITERALS:
         raise ValueError(f"more than {MAX_LITERALS} literals")
-    on = number_bounded(F.col("text"), F.col("literal"))
+    few = few.withColumn("_literal", F.lower("literal"))
+    on = number_bounded(F.col("text"), F.col("literal"), F.col("_text"), F.col("_literal"))
     if entity:
         on = (F.col(entity) == F.col(f"_{entity}")) & on
         few = few.withColumnRenamed(entity, f"_{entity}")
-    return chunks.join(F.broadcast(few), on).select("literal_id", "doc_id")
+    return chunks.withColumn("_text", F.lower("text")).join(F.broadcast(few), on).select("literal_id", "doc_id")
 
 
 def grounded_periods(claims: DataFrame, chunks: DataFrame, key: str = "answer_id") -> DataFrame:

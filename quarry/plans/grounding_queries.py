@@ -21,9 +21,9 @@ def query(sql: str):
     return add
 
 
-@query("""WITH l AS (SELECT item_id AS literal_id, substr(text, 1, 40) AS literal FROM benchmark) SELECT literal_id, doc_id FROM l JOIN documents ON contains(lower(text), lower(literal))""")
+@query("""WITH l AS (SELECT item_id AS literal_id, text AS literal FROM benchmark) SELECT literal_id, doc_id FROM l JOIN documents ON contains(lower(text), lower(literal))""")
 def literal_sources(spark, d):
-    literals = table(spark, d, "benchmark").select(F.col("item_id").alias("literal_id"), F.substring("text", 1, 40).alias("literal"))
+    literals = table(spark, d, "benchmark").select(F.col("item_id").alias("literal_id"), F.col("text").alias("literal"))
     return grounding.locate(literals, table(spark, d, "documents").select("doc_id", "text"))
 
 

@@ -178,15 +178,12 @@ def overlap_anti(spark, d):
 
 # --- entities, plans ----------------------------------------------------------------------
 
-_NAMES = {"the": "T1", "with": "T2", "und": "T3", "de": "T4", "que": "T4"}
 
-
-@query("""WITH m AS (SELECT doc_id, lang, list_distinct(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])the([^a-z0-9_]|$)') THEN 'T1' END, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])with([^a-z0-9_]|$)') THEN 'T2' END], lambda x: x IS NOT NULL)) AS t FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))
-    SELECT doc_id, array_to_string(list_sort(t), '|') AS mentioned, CASE WHEN len(t) = 1 THEN t[1] END AS sole FROM m""")
+@query(r"""WITH m AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}\p{Pc}])the([^\p{L}\p{M}\p{N}\p{Pc}]|$)') THEN 'T1' END, CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}\p{Pc}])with([^\p{L}\p{M}\p{N}\p{Pc}]|$)') THEN 'T2' END], lambda x: x IS NOT NULL) AS t FROM documents)
+    SELECT doc_id, array_to_string(t, '|') AS mentioned, CASE WHEN len(t) = 1 THEN t[1] END AS sole FROM m""")
 def alias_tags(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
     found = text.mentioned(F.col("text"), {"the": "T1", "with": "T2"})
-    return docs.select("doc_id", F.array_join(F.array_sort(found), "|").alias("mentioned"), text.sole(found).alias("sole"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(found), "|").alias("mentioned"), text.sole(found).alias("sole"))
 
 
 @query("SELECT p.pattern, d.source, count(*) AS n FROM documents d, (VALUES ('src1*'), ('src?'), ('src10')) AS p(pattern) WHERE d.source GLOB p.pattern GROUP BY ALL")
