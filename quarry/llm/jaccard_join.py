@@ -42,8 +42,8 @@ from quarry.llm.scratch import importable, release, stored, width
 
 #: Members and shingles of a region that one task compares; a larger one is cut further, so the result does not depend on them.
 LEAF, LEAF_SIZE = 256, 1 << 20
-#: Pivots of a region that is cut, at most; a cell above this share of its region counts as not cut.
-PIVOTS, CUT = 64, 0.7
+#: Pivots of a region that is cut, at most; the share of its pairs that its cells may have for the cut to be worth while.
+PIVOTS, CUT = 64, 0.5
 #: A key is salted if a sample of one document in ``SAMPLE`` has it ``HOT`` times. It decides where rows go, not what is found.
 SAMPLE, HOT, SALTS = 256, 32, 64
 #: Bits of the map that tells which documents are read a second time; a full map only makes more of them be read.
@@ -243,8 +243,11 @@ class _Space:
         measured = self.measured(members.select("p", "node").distinct())
         return self.kept(self.outside(members.join(measured, ["p", "node"])), "join-left")
 
-    def cells(self, regions: DataFrame, level: int) -> DataFrame:
-        """Large ``regions(key, node, n, m, total)`` cut by Voronoi cells with windows of two radii; ``cut`` tells if a cell is small enough to go on."""
+    def cells(self, regions: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Large ``regions(key, node, n, m, total)`` as Voronoi cells with windows of two radii, and those that are better left whole.
+
+        A region is cut if its cells together have at most ``CUT`` of its pairs, so each level has fewer.
+        """
         share = F.least(F.lit(float(PIVOTS)), F.greatest(F.lit(2.0), 2 * F.col("m") / LEAF)) / F.col("m")
         drawn = (F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < share
         least = regions.groupBy("key").agg(F.min("node").alias("least"))
@@ -254,11 +257,11 @@ class _Space:
         own = met.where("node = p").select("key", "node", "n", "m", "p", F.lit(0.0).alias("d"), F.lit(True).alias("near"))
         far = met.where("node <> p").join(found, ["p", "node"]).select(own.columns).unionByName(own)
         nearest = far.groupBy("key", "node").agg(F.min("d").alias("own"))
-        held = far.join(nearest, ["key", "node"]).where(F.col("d") <= F.col("own") + 2 * self.radius + _FINE)
-        cells = held.where("node <> p").select(F.xxhash64("key", "p").alias("key"), "node", "n", "d", "near", F.col("m").alias("was"))
-        sizes = cells.groupBy("key").agg(F.max("was").alias("was"))
-        left = self.kept(self.outside(cells).join(sizes, "key"), "join-cells")
-        return left.select("key", "node", "n", "m", "total", (F.col("m") <= CUT * F.col("was")).alias("cut"))
+        held = self.kept(far.join(nearest, ["key", "node"]).where(F.col("d") <= F.col("own") + 2 * self.radius + _FINE), "join-held")
+        sizes = held.groupBy("key", "p", "m").agg(F.count("*").cast("double").alias("c"))
+        useful = self.kept(sizes.groupBy("key", "m").agg(F.sum(F.col("c") * F.col("c")).alias("pairs")).where(F.col("pairs") <= CUT * F.col("m") * F.col("m")).select("key"), "join-useful")
+        cells = held.join(useful, "key", "left_semi").where("node <> p").select(F.xxhash64("key", "p").alias("key"), "node", "n", "d", "near")
+        return self.kept(self.outside(cells), "join-cells"), regions.join(useful, "key", "left_anti")
 
     def compared(self, regions: DataFrame) -> None:
         """Links within ``regions(key, node, n, m, total)``; large ones as blocks that meet in twos."""
@@ -275,13 +278,13 @@ class _Space:
         """All links that are needed for the components of ``regions(key, node, n)``."""
         left, level = self.star(regions), 0
         while not left.isEmpty():
-            small = left.where(_small() | ~F.col("cut")) if level else left.where(_small())
-            self.compared(small)
-            large = left.where(~_small() & F.col("cut")) if level else left.where(~_small())
+            self.compared(left.where(_small()))
+            large = left.where(~_small()).select("key", "node", "n", "m", "total")
             if large.isEmpty():
                 break
             level += 1
-            left = self.cells(large.select("key", "node", "n", "m", "total"), level)
+            left, whole = self.cells(large, level)
+            self.compared(whole)
         out = self.links[0]
         for x in self.links[1:]:
             out = out.unionByName(x)
