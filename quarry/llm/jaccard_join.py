@@ -16,7 +16,8 @@ from any pivot, so pivots alone can't cut the space of all texts. The regions co
    stay only in the window of the triangle inequality. What is left of a large region is cut again: members are
    measured to several pivots, belong to the cell of the nearest, and are copied to each other cell
    whose pivot is at most two radii farther. Regions that hold the same members are one.
-3. *Leaves.* Regions of bounded size are compared in one task through an index of their shingles. A region that
+3. *Leaves.* Regions of bounded size are compared in one task through an index of their shingles. Before sets are moved, sketches are: the
+   parities of the numbers of shingles in classes differ in no more places than the sets, so pairs that they put beyond the radius are no links. A region that
    pivots don't cut (its members are all equally far from each other) is dealt to blocks that meet in twos.
 
 Equal sets are one node, whatever their number. Links are verified exactly on 64-bit hashes of whole shingles, and
@@ -42,6 +43,8 @@ from quarry.llm.scratch import importable, release, stored, width
 
 #: Members and shingles of a region that one task compares; a larger one is cut further, so the result does not depend on them.
 LEAF, LEAF_SIZE = 256, 1 << 20
+#: Pivots that each region is measured to, one after the other, before what is left is cut or compared.
+STARS = 3
 #: Pivots of a region that is cut, at most; the share of its pairs that its cells may have for the cut to be worth while.
 PIVOTS, CUT = 64, 0.5
 #: A key is salted if a sample of one document in ``SAMPLE`` has it ``HOT`` times. It decides where rows go, not what is found.
@@ -49,6 +52,7 @@ SAMPLE, HOT, SALTS = 256, 32, 64
 #: Bits of the map that tells which documents are read a second time; a full map only makes more of them be read.
 MAP_BITS = 23
 MEMO = 1 << 18
+PARITIES = 1024
 _FINE = 1e-9
 _ALL = (1 << 64) - 1
 _K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -98,6 +102,12 @@ def signature(g: np.ndarray) -> tuple[int, int]:
     return tuple(int(words.mixed(g * k).sum(dtype=np.uint64).view(np.int64)) for k in _K[:2])
 
 
+def sketch(g: np.ndarray) -> np.ndarray:
+    """The parities of a set's numbers of shingles in ``PARITIES`` classes: two sets differ in at least as many shingles as in bits."""
+    n = np.bincount((g & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(n.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def keys_of(g: np.ndarray, percent: int) -> np.ndarray:
     """The regions of a set: sets that link share one at least, unless they are equal."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mixed(g * _K[2]))])
@@ -171,7 +181,40 @@ def _chosen(bitmap: np.ndarray, shingle: int):
                 sets = [set_of(whole.column(1)[int(i)].as_py(), shingle) for i in rows[at : at + 512]]
                 ids = list(zip(*map(signature, sets)))
                 shaped = [pa.array([len(g) for g in sets], pa.int64()), *(pa.array(i, pa.int64()) for i in ids), pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(shaped, names=["n", "s1", "s2", "items"])
+                shaped.append(pa.array([sketch(g) for g in sets], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(shaped, names=["n", "s1", "s2", "items", "bits"])
+
+    return run
+
+
+def _possible(percent: int):
+    """Of rows (region.., node, part, n, bits), a region after the other, those that by their sketches may link with one of another part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = []
+        now, fields = None, None
+
+        def told() -> pa.RecordBatch:
+            n, part = (np.array([r[k] for r in rows], np.int64) for k in (-2, -3))
+            x = np.array([r[-1] for r in rows], np.int64).view(np.uint64).reshape(len(rows), PARITIES // 64)
+            keep = np.zeros(len(rows), bool)
+            for i in range(len(rows)):
+                apart, both = np.bitwise_count(x ^ x[i]).sum(axis=1, dtype=np.int64), n + n[i]
+                near = 100 * (both - apart) >= percent * (both + apart)
+                keep[i] = (near & (part != part[i])).any()
+            kept = [rows[i][:-3] for i in np.flatnonzero(keep)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], f.type) for i, f in enumerate(fields)], names=[f.name for f in fields])
+
+        for b in batches:
+            fields = list(b.schema)[:-3]
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:-4] != now:
+                    if len(rows) > 1:
+                        yield told()
+                    rows, now = [], row[:-4]
+                rows.append(row)
+        if len(rows) > 1:
+            yield told()
 
     return run
 
@@ -219,6 +262,15 @@ class _Space:
         self.tables.append(stored(df, name))
         return self.tables[-1]
 
+    def sketched(self, pairs: DataFrame) -> DataFrame:
+        """(p, node, low, possible) of ``pairs(p, node)``: their distance is ``low`` at least, and whether they may link."""
+        here = self.sets.select("node", F.col("n").alias("a"), F.col("bits").alias("x"))
+        there = self.sets.select(F.col("node").alias("p"), F.col("n").alias("b"), F.col("bits").alias("y"))
+        apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(PARITIES // 64)), F.lit(0)).cast("long")
+        met = pairs.join(here, "node").join(there, "p").select("p", "node", (F.col("a") + F.col("b")).alias("both"), apart.alias("apart"))
+        possible = 100 * (F.col("both") - F.col("apart")) >= self.percent * (F.col("both") + F.col("apart"))
+        return self.kept(met.select("p", "node", (2 * F.col("apart") / (F.col("both") + F.col("apart"))).alias("low"), possible.alias("possible")), "join-sketched")
+
     def measured(self, pairs: DataFrame) -> DataFrame:
         """(p, node, d, near) of different ``pairs(p, node)``; near ones become links."""
         here = self.sets.select("node", F.col("n").alias("a"), F.col("items").alias("x"))
@@ -234,17 +286,19 @@ class _Space:
         """What a pivot leaves of ``measured(key, node, n, d, near)``: members beyond the radius, and those within that the window lets meet them."""
         least = measured.where("not near").groupBy("key").agg(F.min("d").alias("least"))
         left = measured.join(least, "key").where(~F.col("near") | (F.col("d") >= F.col("least") - self.radius - _FINE))
-        return _different(left.select("key", "node", "n"))
+        return _different(left.drop("d", "p", "least"))
 
     def star(self, regions: DataFrame) -> DataFrame:
-        """Members of ``regions(key, node, n)`` against the least of each; what is left."""
-        pivots = regions.groupBy("key").agg(F.min("node").alias("p"))
+        """Members of ``regions(key, node, n, near)`` against the least of each that isn't within the radius of the pivot before; what is left. Of pairs that sketches tell apart a lower bound of the distance is enough."""
+        pivots = regions.where("not near").groupBy("key").agg(F.min("node").alias("p"))
         members = self.kept(regions.join(pivots, "key").where("node <> p").select("key", "node", "n", "p"), "join-members")
-        measured = self.measured(members.select("p", "node").distinct())
-        return self.kept(self.outside(members.join(measured, ["p", "node"])), "join-left")
+        pairs = self.sketched(members.select("p", "node").distinct())
+        near = self.measured(pairs.where("possible").select("p", "node"))
+        apart = pairs.where("not possible").select("p", "node", F.col("low").alias("d"), F.lit(False).alias("near"))
+        return self.kept(self.outside(members.join(near.unionByName(apart), ["p", "node"])), "join-left")
 
     def cells(self, regions: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        """Large ``regions(key, node, n, m, total)`` as Voronoi cells with windows of two radii, and those that are better left whole.
+        """Large ``regions(key, node, n, part, m, total)`` as Voronoi cells with windows of two radii, and those that are better left whole.
 
         A region is cut if its cells together have at most ``CUT`` of its pairs, so each level has fewer.
         """
@@ -254,41 +308,61 @@ class _Space:
         pivots = regions.join(least, "key").where(drawn | (F.col("node") == F.col("least"))).select("key", F.col("node").alias("p"))
         met = self.kept(regions.join(pivots, "key"), "join-met")
         found = self.measured(met.where("node <> p").select("p", "node").distinct())
-        own = met.where("node = p").select("key", "node", "n", "m", "p", F.lit(0.0).alias("d"), F.lit(True).alias("near"))
+        own = met.where("node = p").select("key", "node", "n", "part", "m", "p", F.lit(0.0).alias("d"), F.lit(True).alias("near"))
         far = met.where("node <> p").join(found, ["p", "node"]).select(own.columns).unionByName(own)
         nearest = far.groupBy("key", "node").agg(F.min("d").alias("own"))
         held = self.kept(far.join(nearest, ["key", "node"]).where(F.col("d") <= F.col("own") + 2 * self.radius + _FINE), "join-held")
         sizes = held.groupBy("key", "p", "m").agg(F.count("*").cast("double").alias("c"))
         useful = self.kept(sizes.groupBy("key", "m").agg(F.sum(F.col("c") * F.col("c")).alias("pairs")).where(F.col("pairs") <= CUT * F.col("m") * F.col("m")).select("key"), "join-useful")
-        cells = held.join(useful, "key", "left_semi").where("node <> p").select(F.xxhash64("key", "p").alias("key"), "node", "n", "d", "near")
-        return self.kept(self.outside(cells), "join-cells"), regions.join(useful, "key", "left_anti")
+        cells = held.join(useful, "key", "left_semi").where("node <> p").select(F.xxhash64("key", "p").alias("key"), "node", "n", "part", "d", "near")
+        return self.kept(self.outside(cells).drop("near"), "join-cells"), regions.join(useful, "key", "left_anti")
 
     def compared(self, regions: DataFrame) -> None:
-        """Links within ``regions(key, node, n, m, total)``; large ones as blocks that meet in twos."""
+        """Links within ``regions(key, node, part, m, total)``; large ones as blocks that meet in twos."""
         blocks = F.greatest(F.ceil(2 * F.col("m") / LEAF), F.ceil(2 * F.col("total") / LEAF_SIZE)).cast("int")
         blocks = F.when(_small(), 1).otherwise(blocks)
         mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
         meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-        dealt = regions.select("key", "node", blocks.alias("k")).select("key", "node", F.explode(meets).alias("c")).select("key", "c.i", "c.j", "node")
-        near = dealt.join(self.sets.select("node", "items"), "node").select("key", "i", "j", "node", "items")
+        dealt = regions.select("key", "node", "part", blocks.alias("k")).select("key", "node", "part", F.explode(meets).alias("c")).select("key", "c.i", "c.j", "node", "part")
+        told = dealt.join(self.sets.select("node", "n", "bits"), "node").select("key", "i", "j", "node", "part", "n", "bits")
+        told = told.repartition(width(told.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        left = self.kept(told.mapInArrow(_possible(self.percent), "key long, i int, j int, node long"), "join-possible")
+        near = left.join(self.sets.select("node", "items"), "node").select("key", "i", "j", "node", "items")
         near = near.repartition(width(near.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         self.links.append(self.kept(near.mapInArrow(_leaf(self.percent / 100), "u long, v long"), "join-links"))
 
+    def found(self) -> DataFrame:
+        out = self.links[0]
+        for x in self.links[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def parted(self, regions: DataFrame) -> DataFrame:
+        """``regions`` with the component of each member by the links so far as ``part``; regions of one component are done."""
+        part = connected_components(self.found())
+        named = regions.drop("near", "m", "total").join(part.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        several = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+        out = self.kept(_different(named.join(several, "key")), "join-parted")
+        release(*part._reads)
+        return out
+
     def joined(self, regions: DataFrame) -> DataFrame:
         """All links that are needed for the components of ``regions(key, node, n)``."""
-        left, level = self.star(regions), 0
+        left, level = regions.withColumn("near", F.lit(False)), 0
+        for _ in range(STARS):
+            left = self.star(left)
+            if left.isEmpty():
+                return self.found()
+        left = self.parted(left)
         while not left.isEmpty():
             self.compared(left.where(_small()))
-            large = left.where(~_small()).select("key", "node", "n", "m", "total")
+            large = left.where(~_small())
             if large.isEmpty():
                 break
             level += 1
             left, whole = self.cells(large, level)
             self.compared(whole)
-        out = self.links[0]
-        for x in self.links[1:]:
-            out = out.unionByName(x)
-        return out
+        return self.found()
 
 
 def _small():
@@ -315,8 +389,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     found = cells.toArrow()
     bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     bitmap[found["w"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    read = docs.select(bit("doc_id").alias("b"), "text").mapInArrow(_chosen(bitmap, shingle), "n long, s1 long, s2 long, items array<long>")
-    return read.join(wanted.select("node", "n", "s1", "s2"), ["n", "s1", "s2"]).groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+    read = docs.select(bit("doc_id").alias("b"), "text").mapInArrow(_chosen(bitmap, shingle), "n long, s1 long, s2 long, items array<long>, bits array<long>")
+    return read.join(wanted.select("node", "n", "s1", "s2"), ["n", "s1", "s2"]).groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.first("bits").alias("bits"))
 
 
 def classes(docs: DataFrame, percent: int = 85, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
