@@ -43,8 +43,8 @@ from quarry.llm.scratch import importable, release, stored, width
 
 #: Members and shingles of a region that one task compares; a larger one is cut further, so the result does not depend on them.
 LEAF, LEAF_SIZE = 256, 1 << 20
-#: Pivots that each region is measured to, one after the other, before what is left is cut or compared.
-STARS = 3
+#: Pivots that each region is measured to, one after the other, between two looks at what is connected; and looks before what is left is cut or compared.
+STARS, TURNS = 3, 3
 #: Pivots of a region that is cut, at most; the share of its pairs that its cells may have for the cut to be worth while.
 PIVOTS, CUT = 64, 0.5
 #: A key is salted if a sample of one document in ``SAMPLE`` has it ``HOT`` times. It decides where rows go, not what is found.
@@ -317,17 +317,20 @@ class _Space:
         cells = held.join(useful, "key", "left_semi").where("node <> p").select(F.xxhash64("key", "p").alias("key"), "node", "n", "part", "d", "near")
         return self.kept(self.outside(cells).drop("near"), "join-cells"), regions.join(useful, "key", "left_anti")
 
-    def compared(self, regions: DataFrame) -> None:
-        """Links within ``regions(key, node, part, m, total)``; large ones as blocks that meet in twos."""
+    def dealt(self, regions: DataFrame) -> DataFrame:
+        """(key, i, j, node) of ``regions(key, node, part, m, total)``: members that may link with one of another part, large regions as blocks that meet in twos."""
         blocks = F.greatest(F.ceil(2 * F.col("m") / LEAF), F.ceil(2 * F.col("total") / LEAF_SIZE)).cast("int")
         blocks = F.when(_small(), 1).otherwise(blocks)
         mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
         meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-        dealt = regions.select("key", "node", "part", blocks.alias("k")).select("key", "node", "part", F.explode(meets).alias("c")).select("key", "c.i", "c.j", "node", "part")
-        told = dealt.join(self.sets.select("node", "n", "bits"), "node").select("key", "i", "j", "node", "part", "n", "bits")
+        each = regions.select("key", "node", "part", blocks.alias("k")).select("key", "node", "part", F.explode(meets).alias("c")).select("key", "c.i", "c.j", "node", "part")
+        told = each.join(self.sets.select("node", "n", "bits"), "node").select("key", "i", "j", "node", "part", "n", "bits")
         told = told.repartition(width(told.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-        left = self.kept(told.mapInArrow(_possible(self.percent), "key long, i int, j int, node long"), "join-possible")
-        near = left.join(self.sets.select("node", "items"), "node").select("key", "i", "j", "node", "items")
+        return self.kept(told.mapInArrow(_possible(self.percent), "key long, i int, j int, node long"), "join-possible")
+
+    def compared(self, regions: DataFrame) -> None:
+        """Links within ``regions(key, node, part, m, total)``."""
+        near = self.dealt(regions).join(self.sets.select("node", "items"), "node").select("key", "i", "j", "node", "items")
         near = near.repartition(width(near.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         self.links.append(self.kept(near.mapInArrow(_leaf(self.percent / 100), "u long, v long"), "join-links"))
 
@@ -348,12 +351,17 @@ class _Space:
 
     def joined(self, regions: DataFrame) -> DataFrame:
         """All links that are needed for the components of ``regions(key, node, n)``."""
-        left, level = regions.withColumn("near", F.lit(False)), 0
-        for _ in range(STARS):
-            left = self.star(left)
-            if left.isEmpty():
-                return self.found()
-        left = self.parted(left)
+        left, level = regions, 0
+        for turn in range(TURNS):
+            left = left.select("key", "node", "n", F.lit(False).alias("near"))
+            for _ in range(STARS):
+                left = self.star(left)
+                if left.isEmpty():
+                    return self.found()
+            left = self.parted(left)
+            if turn < TURNS - 1:  # of small regions, those go on that may still have a link between their parts
+                few = self.dealt(left.where(_small())).select("key", "node").join(self.sets.select("node", "n"), "node")
+                left = few.select("key", "node", "n").unionByName(left.where(~_small()).select("key", "node", "n"))
         while not left.isEmpty():
             self.compared(left.where(_small()))
             large = left.where(~_small())
