@@ -44,7 +44,7 @@ from quarry.llm.scratch import importable, release, stored, width
 #: Members and shingles of a region that one task compares; a larger one is cut further, so the result does not depend on them.
 LEAF, LEAF_SIZE = 256, 1 << 20
 #: Pivots that each region is measured to, one after the other, between two looks at what is connected; and looks before what is left is cut or compared.
-STARS, TURNS = 3, 3
+STARS, TURNS = 2, 2
 #: Pivots of a region that is cut, at most; the share of its pairs that its cells may have for the cut to be worth while.
 PIVOTS, CUT = 64, 0.5
 #: A key is salted if a sample of one document in ``SAMPLE`` has it ``HOT`` times. It decides where rows go, not what is found.
@@ -341,13 +341,14 @@ class _Space:
         return out
 
     def parted(self, regions: DataFrame) -> DataFrame:
-        """``regions`` with the component of each member by the links so far as ``part``; regions of one component are done."""
-        part = connected_components(self.found())
-        named = regions.drop("near", "m", "total").join(part.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        """``regions`` with ``part``, a node that each member is known to be connected with: the least within two steps. Regions of one part are done."""
+        links = self.found()
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        once = self.kept(both.groupBy("u").agg(F.least("u", F.min("v")).alias("part")), "join-near")
+        twice = once.join(once.select(F.col("u").alias("part"), F.col("part").alias("next")), "part").select(F.col("u").alias("node"), F.col("next").alias("part"))
+        named = regions.drop("near", "m", "total").join(twice, "node", "left").withColumn("part", F.coalesce("part", "node"))
         several = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-        out = self.kept(_different(named.join(several, "key")), "join-parted")
-        release(*part._reads)
-        return out
+        return self.kept(_different(named.join(several, "key")), "join-parted")
 
     def joined(self, regions: DataFrame) -> DataFrame:
         """All links that are needed for the components of ``regions(key, node, n)``."""
