@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import answers
+from quarry.operators import answers, comparisons
 from quarry.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -84,3 +84,33 @@ def unsupported_numbers(spark, d):
     share = F.col("o_orderkey") % 2 == 0
     sources = o.select("answer_id", F.when(share, (F.col("percent") / 100).cast("decimal(18,7)")).otherwise(F.col("percent")).alias("value"), share.alias("share"), F.lit(1000).alias("size"))
     return answers.unsupported_numbers(wanted, sources, 12_000)
+
+
+#: Words that name a benchmark item in the query below: its first three.
+_NAMED = r"^(\S+ \S+ \S+)"
+
+
+@query(r"""WITH n AS (SELECT regexp_extract(lower(text), '^(\S+ \S+ \S+)', 1) AS name, min(item_id) AS item FROM benchmark GROUP BY name HAVING name <> ''),
+    h AS (SELECT doc_id, item, regexp_extract(lower(text), '(?s)^(.*?(?:^|[^\p{L}\p{N}_]))' || regexp_escape(name) || '(?:$|[^\p{L}\p{N}_])', 1) AS before, strpos(lower(text), name) AS p FROM documents, n WHERE contains(lower(text), name)
+        AND regexp_matches(lower(text), '(?:^|[^\p{L}\p{N}_])' || regexp_escape(name) || '(?:$|[^\p{L}\p{N}_])'))
+    SELECT doc_id, CAST(item AS VARCHAR) AS entity, CAST(min(length(before)) AS INTEGER) AS first FROM h GROUP BY doc_id, item""")
+def first_mentions(spark, d):
+    named = table(spark, d, "benchmark").select(F.regexp_extract(F.lower("text"), _NAMED, 1).alias("name"), "item_id").where("name <> ''")
+    names = {r["name"]: str(r["item"]) for r in named.groupBy("name").agg(F.min("item_id").alias("item")).limit(comparisons.MAX_NAMES + 1).collect()}
+    hits = comparisons.mentions(table(spark, d, "documents"), "doc_id", "text", names).select("doc_id", F.explode("hits").alias("h"))
+    return hits.groupBy("doc_id", F.col("h.entity").alias("entity")).agg(F.min("h.start").alias("first"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS answer_id, l_linenumber AS n, CAST(max(l_extendedprice) AS DECIMAL(18,2)) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber),
+    w AS (SELECT answer_id, max(v) FILTER (n = 1) AS a, max(v) FILTER (n = 2) AS b, max(v) FILTER (n = 3) AS c FROM l GROUP BY answer_id),
+    t AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AS whole, CASE WHEN a >= greatest(b, c) THEN 'NVDA' WHEN b >= c THEN 'META' ELSE 'GOOGL' END AS high, CASE answer_id % 4 WHEN 0 THEN 'NVDA' WHEN 1 THEN 'META' WHEN 2 THEN 'GOOGL' END AS claimed FROM w)
+    SELECT answer_id, CASE WHEN claimed IS NULL OR NOT whole THEN 'N/A' WHEN claimed = high THEN 'PASS' ELSE 'FAIL' END AS verdict, CASE WHEN claimed IS NULL THEN 'no_claim' WHEN NOT whole THEN 'unfounded' ELSE '' END AS reason, claimed,
+        CASE WHEN claimed IS NOT NULL AND whole THEN high END AS truth, concat_ws('|', CASE WHEN a IS NULL THEN 'NVDA' END, CASE WHEN b IS NULL THEN 'META' END, CASE WHEN c IS NULL THEN 'GOOGL' END) AS missing FROM t""")
+def comparison_claims(spark, d):
+    i = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("place")).agg(F.max("l_extendedprice").cast("decimal(18,2)").alias("v"))
+    ticker = F.when(F.col("place") == 1, "NVDA").when(F.col("place") == 2, "META").otherwise("GOOGL")
+    contexts = i.select("answer_id", "place", F.concat(F.lit("["), ticker, F.lit("] Size (now): $"), (F.col("v") / 1000).cast("decimal(18,5)").cast("string"), F.lit("B Other: 9")).alias("text"))
+    lists, turn = "在輝達、Meta 與 Alphabet（GOOGL）中，", F.col("answer_id") % 4
+    said = F.when(turn == 0, "以 NVIDIA 的規模最大").when(turn == 1, "很明顯 Meta 這一年領先於其他的 Alphabet").when(turn == 2, "規模最大的，據資料顯示，正是谷歌").otherwise("沒有資料")
+    answers_ = i.select("answer_id").distinct().select("answer_id", F.concat(F.lit(lists), said, F.lit("。📚 NVIDIA 最高")).alias("answer"), F.array(*map(F.lit, ("NVDA", "META", "GOOGL"))).alias("companies"), F.lit("Size (now)").alias("field"), F.lit(True).alias("largest"))
+    return comparisons.judged(answers_, contexts).withColumn("missing", F.array_join("missing", "|"))
