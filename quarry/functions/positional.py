@@ -1,85 +1,65 @@
-"""What depends on where in a text something stands: Arrow UDFs, as Spark has no positions of matches."""
+"""What depends on where in a text something stands."""
 
 from __future__ import annotations
 
-import datetime
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_PERCENT = re.compile(r"(-?\d[\d,]*(?:\.\d+)?)\s*%")
-#: Words after which a date says when a page was published, and month names.
-_MARKER = re.compile(r"(?i)\b(?:published|updated|posted|at close|as of|last updated)\b\s*:?")
-_MONTHS = {m: i for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)}
-_NAMED = re.compile(r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s+(20\d{2}))?\b")
-_SLASHED = re.compile(r"\b(\d{1,2})/(\d{1,2})/(\d{2}|20\d{2})\b")
-_ISO = re.compile(r"\b(20\d{2})-(\d{2})-(\d{2})\b")
-_STOP = re.compile(r"[|\[\]#]")
-
-
-def percents_near(text: str | None, anchor: str | None, window: int = 60) -> list[float]:
-    """Percentages that begin within ``window`` characters of a mention of the anchor."""
-    if not text or not anchor:
-        return []
-    spots = [m.start() for m in re.finditer(re.escape(anchor), text, re.IGNORECASE)]
-    return [float(m[1].replace(",", "")) for m in _PERCENT.finditer(text) if any(abs(m.start() - s) <= window for s in spots)]
 
+from quarry.functions import spans
 
-def content_date(text: str | None, as_of: datetime.date, window: int = 48) -> datetime.date | None:
-    """The latest date not after ``as_of`` that stands just behind a marker; without a year, the last time it was that day."""
-    found = []
-    for m in _MARKER.finditer(text or ""):
-        part = text[m.end() : m.end() + window]
-        stop = _STOP.search(part)
-        part = part[: stop.start()] if stop else part
-        day = _named(part, as_of) or _numbered(part)
-        if day and day <= as_of:
-            found.append(day)
-    return max(found, default=None)
+PERCENT = r"(-?\d[\d,]*(?:\.\d+)?)\s*%"
+#: Words after which a date says when a page was published, how far behind them it may stand, and what ends their reach.
+MARKER = r"(?i)\b(?:at\s+close|after\s+hours|pre[- ]?market|real\s?time|as\s+of|published(?:\s+on)?|last\s+updated|updated(?:\s+on)?|posted(?:\s+on)?)\b"
+REACH, END = 48, r"[|\[\]#]"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+#: Kinds of dates by preference: pattern, and the groups of year, month and day.
+DATES = (
+    (rf"(?i)\b({'|'.join(MONTHS)})[a-z]*\.?\s+(\d{{1,2}})(?:\s*,?\s*(20\d{{2}}))?\b", "g3", "g1", "g2"),
+    (r"\b(\d{1,2})/(\d{1,2})/(\d{2}|20\d{2})\b", "g3", "g1", "g2"),
+    (r"\b(20\d{2})-(\d{2})-(\d{2})\b", "g1", "g2", "g3"),
+)
 
 
-def _day(y: int, m: int, d: int) -> datetime.date | None:
-    try:
-        return datetime.date(y, m, d)
-    except ValueError:
-        return None
+def anchored_percents(text: Column, anchor: Column, window: int = 60) -> Column:
+    """Percentages that begin within ``window`` characters of a mention of the anchor, in order. Without an anchor none."""
+    spots = spans.placed(text, F.concat(F.lit(r"(?i)\Q"), F.nullif(anchor, F.lit("")), F.lit(r"\E")))
+    near = F.filter(spans.placed(text, PERCENT, 1), lambda p: F.exists(spots, lambda s: F.abs(s["start"] - p["start"]) <= window))
+    return F.when(F.coalesce(anchor, F.lit("")) == "", F.array().cast("array<double>")).otherwise(F.transform(near, lambda p: F.replace(p["g1"], F.lit(","), F.lit("")).cast("double")))
 
 
-def _named(part: str, as_of: datetime.date) -> datetime.date | None:
-    hit = _NAMED.search(part)
-    month = _MONTHS.get(hit[1][:3].lower()) if hit else None
-    if month is None:
-        return None
-    if hit[3]:
-        return _day(int(hit[3]), month, int(hit[2]))
-    day = _day(as_of.year, month, int(hit[2]))
-    return _day(as_of.year - 1, month, int(hit[2])) if day and day > as_of else day
+def _date(x: Column, kind: int, as_of: Column) -> Column:
+    """struct<kind, start, stop, day> of a match; a date without a year is the last such day not after ``as_of``."""
+    _, y, m, d = DATES[kind]
+    months = F.create_map(*[v for i, name in enumerate(MONTHS) for v in (F.lit(name), F.lit(i + 1))])
+    month = x[m].try_cast("int") if kind else F.try_element_at(months, F.lower(F.substring(x[m], 1, 3)))
+    year = F.when(F.length(x[y]) == 2, F.concat(F.lit("20"), x[y])).otherwise(x[y]).try_cast("int")
+    on = lambda of: F.try_to_timestamp(F.format_string("%04d-%02d-%02d", of, month, x[d].try_cast("int")), F.lit("yyyy-MM-dd")).cast("date")
+    this = on(F.year(as_of))
+    day = F.when(year.isNotNull(), on(year)).otherwise(F.when(this > as_of, on(F.year(as_of) - 1)).otherwise(this))
+    return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), day.alias("day"))
 
 
-def _numbered(part: str) -> datetime.date | None:
-    hit = _SLASHED.search(part)
-    if hit:
-        return _day(int(hit[3]) % 100 + 2000, int(hit[1]), int(hit[2]))
-    hit = _ISO.search(part)
-    return _day(int(hit[1]), int(hit[2]), int(hit[3])) if hit else None
+def _dates(text: Column, as_of: Column) -> Column:
+    """All dates in the text."""
+    kinds = [F.transform(spans.placed(text, DATES[k][0], 3), _reader(k, as_of)) for k in range(len(DATES))]
+    return F.filter(F.concat(*kinds), lambda x: x["day"].isNotNull())
 
 
-def anchored_percents(text: Column, anchor: Column) -> Column:
-    """Column form of ``percents_near``."""
-
-    def run(text: pd.Series, anchor: pd.Series) -> pd.Series:
-        return pd.Series([percents_near(t, a) for t, a in zip(text, anchor)])
-
-    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(text, anchor)
+def _reader(kind: int, as_of: Column):
+    return lambda x: _date(x, kind, as_of)
 
 
 def published_in(text: Column, as_of: Column) -> Column:
-    """Column form of ``content_date``."""
+    """The latest date not after ``as_of`` that a marker points to, or null.
+
+    All dates of the text are candidates. A marker points to the one of the most preferred kind, then the first, that lies whole behind it, within its
+    reach and before a table cell, bracket or heading begins; one that is in the future points nowhere.
+    """
+    dates = _dates(text, as_of)
 
-    def run(text: pd.Series, as_of: pd.Series) -> pd.Series:
-        return pd.Series([content_date(t, a) for t, a in zip(text, as_of)])
+    def pointed(m: Column) -> Column:
+        reach = F.length(F.split(F.substring(text, m["stop"] + 1, F.lit(REACH)), END, 2)[0])
+        return F.array_min(F.filter(dates, lambda x: (x["start"] >= m["stop"]) & (x["stop"] <= m["stop"] + reach)))["day"]
 
-    return F.pandas_udf(run, T.DateType())(text, as_of)
+    found = F.transform(spans.placed(text, MARKER), pointed)
+    return F.array_max(F.filter(found, lambda day: day <= as_of))

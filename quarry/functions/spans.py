@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def matches(text: Column, pattern: str, groups: int = 0) -> Column:
+def matches(text: Column, pattern: str | Column, groups: int = 0) -> Column:
     """array<struct<at, before, g0, g1, ..>>: each match with its number, the text between it and the match before, and its groups.
 
     A group that takes no part is empty. ``tail`` is what follows the last match. A null text has no matches.
     """
     body = F.coalesce(text, F.lit(""))
     before = F.split(body, pattern, -1)
-    found = [F.regexp_extract_all(body, F.lit(pattern), k) for k in range(groups + 1)]
+    found = [F.regexp_extract_all(body, F.lit(pattern), F.lit(k)) for k in range(groups + 1)]
     parts = lambda x, i: F.struct(i.alias("at"), F.get(before, i).alias("before"), *[F.get(f, i).alias(f"g{k}") for k, f in enumerate(found)])
     return F.transform(found[0], parts)
 
@@ -23,7 +23,7 @@ def tail(text: Column, pattern: str) -> Column:
     return F.element_at(F.split(F.coalesce(text, F.lit("")), pattern, -1), -1)
 
 
-def placed(text: Column, pattern: str, groups: int = 0) -> Column:
+def placed(text: Column, pattern: str | Column, groups: int = 0) -> Column:
     """``matches`` with ``start`` and ``stop``, in characters from 0."""
     found = matches(text, pattern, groups)
     gone = lambda a: F.aggregate(a, F.lit(0), lambda s, m: s + F.length(m["before"]) + F.length(m["g0"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.positional import published_in
+
 #: Host prefixes that stand for the same site, taken off once each in this order.
 PREFIXES = ("www.", "new.", "m.", "amp.")
 #: Fixed pattern: an option symbol in a path.
@@ -47,32 +49,28 @@ def is_option_page(url: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    return F.try_to_date(F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
 
 def url_date(url: Column) -> Column:
     """The date that a url carries, by the first of four forms that gives a valid one."""
-    u = F.coalesce(url, F.lit(""))
-    # Fixed patterns: year/month/day, month-day-year, yyyymmdd, year/month.
-    forms = (
-        (r"[/-](20\d{2})[/-](\d{1,2})[/-](\d{1,2})(?:[/-]|$)", (1, 2, 3)),
-        (r"[/-](\d{1,2})-(\d{1,2})-(20\d{2})(?:[/-]|$)", (3, 1, 2)),
-        (r"[/-](20\d{2})(\d{2})(\d{2})(?:[/-]|$)", (1, 2, 3)),
-        (r"/(20\d{2})[/-](\d{1,2})(?:[/-]|$)", (1, 2, 0)),
-    )
-    dates = []
-    for p, at in forms:
-        y, m, d = (F.regexp_extract(u, p, i) if i else F.lit("1") for i in at)
-        dates.append(F.when(y != "", _date(y, m, d)))
-    return F.coalesce(*dates)
-
-
-def result_date(published: Column, url: Column) -> Column:
-    """The date a result was published: as it says in one of four formats or with an ISO date inside, else its url's."""
+    part = lambda pattern, group: F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), pattern, group), F.lit(""))
+    # Fixed patterns.
+    slashed, month_first = r"[/-](20\d{2})[/-](\d{1,2})[/-](\d{1,2})(?:[/-]|$)", r"[/-](\d{1,2})-(\d{1,2})-(20\d{2})(?:[/-]|$)"
+    together, month_only = r"[/-](20\d{2})(\d{2})(\d{2})(?:[/-]|$)", r"/(20\d{2})[/-](\d{1,2})(?:[/-]|$)"
+    return F.coalesce(
+        _date(part(slashed, 1), part(slashed, 2), part(slashed, 3)), _date(part(month_first, 3), part(month_first, 1), part(month_first, 2)),
+        _date(part(together, 1), part(together, 2), part(together, 3)), _date(part(month_only, 1), part(month_only, 2), F.lit("1")),
+    )
+
+
+def result_date(published: Column, url: Column, content: Column | None = None, as_of: Column | None = None) -> Column:
+    """The date a result was published: as it says in one of four formats or with an ISO date inside, else its url's, else, where the content is given, the one its markers point to."""
     raw = F.trim(F.coalesce(published, F.lit("")))
     rfc = F.regexp_extract(raw, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4}) \d{2}:\d{2}:\d{2}( [A-Z]{3})?$", 1)
     iso = F.regexp_extract(raw, r"(20\d{2}-\d{2}-\d{2})", 1)
-    return F.coalesce(F.try_to_date(F.nullif(rfc, F.lit("")), "dd MMM yyyy"), F.try_to_date(F.nullif(iso, F.lit("")), "yyyy-MM-dd"), url_date(url))
+    known = [F.try_to_date(F.nullif(rfc, F.lit("")), "dd MMM yyyy"), F.try_to_date(F.nullif(iso, F.lit("")), "yyyy-MM-dd"), url_date(url)]
+    return F.coalesce(*known, *([] if content is None else [published_in(content, as_of)]))
 
 
 def news_key(url: Column, title: Column, published: Column) -> Column:

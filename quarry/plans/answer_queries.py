@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import amounts
 from quarry.operators import answers, comparisons
 from quarry.sources.tables import table
 
@@ -114,3 +115,29 @@ def comparison_claims(spark, d):
     said = F.when(turn == 0, "以 NVIDIA 的規模最大").when(turn == 1, "很明顯 Meta 這一年領先於其他的 Alphabet").when(turn == 2, "規模最大的，據資料顯示，正是谷歌").otherwise("沒有資料")
     answers_ = i.select("answer_id").distinct().select("answer_id", F.concat(F.lit(lists), said, F.lit("。📚 NVIDIA 最高")).alias("answer"), F.array(*map(F.lit, ("NVDA", "META", "GOOGL"))).alias("companies"), F.lit("Size (now)").alias("field"), F.lit(True).alias("largest"))
     return comparisons.judged(answers_, contexts).withColumn("missing", F.array_join("missing", "|"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS answer_id, o_orderkey % 5 AS turn, (o_orderkey % 900 + 100) || '.' || (o_orderkey % 9 + 1) AS n, format('{:,}', (o_orderkey % 900 + 100) * 10 + o_orderkey % 9 + 1) AS ten FROM orders)
+    SELECT answer_id, 'It is ' || CASE WHEN turn IN (0, 1, 3) THEN ten || ' 億美元（$' || n || ' billion）' ELSE n || ' 億美元' END || ' in all.' AS text, CASE WHEN turn = 3 THEN 1 ELSE 0 END AS removed, CASE WHEN turn = 1 THEN 1 ELSE 0 END AS repaired FROM o""")
+def unit_conversion(spark, d):
+    n = F.concat((F.col("o_orderkey") % 900 + 100).cast("string"), F.lit("."), (F.col("o_orderkey") % 9 + 1).cast("string"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), (F.col("o_orderkey") % 5).alias("turn"), n.alias("n"))
+    said = F.when(F.col("turn") == 0, F.concat(F.lit("$"), "n", F.lit("B"))).when(F.col("turn") == 3, F.concat(F.lit("$"), "n", F.lit(" billion（約 "), "n", F.lit(" 億美元）"))).otherwise(F.concat("n", F.lit(" 億美元")))
+    tenth = (F.col("n").cast("decimal(10,1)") / 10).cast("decimal(10,2)").cast("string")
+    source = F.when(F.col("turn") == 1, F.concat(F.lit("sales of $"), "n", F.lit(" billion"))).when(F.col("turn") == 2, F.concat(F.lit("sales of $"), tenth, F.lit(" billion, not $"), "n", F.lit(" billion"))).otherwise("none")
+    return amounts.finalised(o.select("answer_id", F.concat(F.lit("It is "), said, F.lit(" in all.")).alias("text")), o.select("answer_id", source.alias("text")))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS answer_id, o_orderkey % 4 AS turn, CAST(o_orderkey % 900 + 100 AS BIGINT) AS n FROM orders), s AS (SELECT *, 'Sales were ' || n * 10 || ' 億美元（$' || n || ' billion），' AS a FROM o)
+    SELECT answer_id, CASE turn WHEN 0 THEN '' WHEN 1 THEN n * 10 || ' 億美元（$' || n * 10 || ' billion' ELSE '' END AS wrong,
+        CASE turn WHEN 0 THEN '11:' || n * 1000 WHEN 1 THEN '11:' || n * 1000 || '|' || (11 + length(n * 10 || ' 億美元（')) || ':' || n * 10000
+            WHEN 2 THEN '11:' || n * 1000 || '|' || (length(a) + 60) || ':' || n * 1000 ELSE '11:' || n * 1000 || '|' || (length(a) + 5) || ':' || n * 1100 END AS amounts FROM s""")
+def stated_amounts(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), (F.col("o_orderkey") % 4).alias("turn"), (F.col("o_orderkey") % 900 + 100).alias("n"))
+    first = F.concat(F.lit("Sales were "), (F.col("n") * 10).cast("string"), F.lit(" 億美元（$"), F.when(F.col("turn") == 1, F.col("n") * 10).otherwise(F.col("n")).cast("string"), F.lit(" billion），"))
+    far = F.concat(F.lit("x" * 59 + " "), (F.col("n") * 10).cast("string"), F.lit(" 億美元"))
+    more = F.when(F.col("turn") == 2, far).when(F.col("turn") == 3, F.concat(F.lit("then "), (F.col("n") * 11).cast("string"), F.lit(" 億美元"))).otherwise("")
+    text = F.concat(first, more)
+    wrong = F.array_join(F.transform(amounts.wrong_twice(text), lambda x: x["said"]), "|")
+    places = F.array_join(F.transform(amounts.stated(text), lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["millions"].cast("long").cast("string"))), "|")
+    return o.select("answer_id", wrong.alias("wrong"), places.alias("amounts"))

@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarry.plans import catalog
+from quarry.plans import catalog, grounding_queries, text_queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,3 +50,13 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(k for p in (text_queries, grounding_queries) for k, f in p.QUERIES.items() if catalog.QUERIES[k] is not f))
+def test_cases(spark, duck, name):
+    """Tables of cases whose query runs on a driver table in the catalog."""
+    part = text_queries if name in text_queries.QUERIES else grounding_queries
+    df = part.QUERIES[name](spark, FOLDER)
+    cur = duck.execute(part.ORACLES[name])
+    names = [c[0] for c in cur.description]
+    assert rows_of(df.columns, df.collect()) == rows_of(names, cur.fetchall())

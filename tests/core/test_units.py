@@ -1,18 +1,59 @@
 from __future__ import annotations
 
-from quarry.functions import units
+import datetime
+from decimal import Decimal
 
+from pyspark.sql import functions as F
 
-def test_amounts():
-    assert units.written(1234567.5) == "1,234,567.5" and units.written(12.0) == "12" and units.written(0.12345) == "0.1235" or units.written(0.12345) == "0.1234"
-    assert units.double_write("$5 million dollars") == "0.05 億美元（$5 million）"
-    assert units.double_write("5 millionaires") == "5 millionaires" and units.double_write(None) == ""
-    assert units.money_values("15 億美元, $3億, 10 億使用者, 2億元") == {15.0, 3.0}
-    assert units.spellings(1234.5) == {"1234.5", "1,234.5"} and units.spellings(3.0) == {"3"}
-    assert units.in_source("sales of 1,234.5 billion", 1234.5, "billion") and not units.in_source("11,234.5 billion", 1234.5, "billion")
+from quarry.functions import amounts, positional
 
 
-def test_only_pairs_are_removed():
-    assert units.without_own("約 15 億美元") == ("約 15 億美元", [])
-    text, taken = units.without_own("$1.5 billion（約 15 億美元）及 2 億美元")
-    assert text == "$1.5 billion及 2 億美元" and len(taken) == 1
+def one(spark, column, text, **more):
+    return spark.createDataFrame([(text,)], "t string").select(column.alias("x")).first().x
+
+
+def test_written_double(spark):
+    cases = {
+        "$5 million dollars": "0.05 億美元（$5 million）", "5 millionaires": "5 millionaires", None: "", "$3.2B and $45M, $2T": "32 億美元（$3.2 billion） and 0.45 億美元（$45 million）, 20,000 億美元（$2 trillion）",
+        "$119,796 百萬元": "1,197.96 億美元（$119,796 百萬）", "300 million users": "3 億（300 million） users", "15 億美元": "15 億美元", "1.5 billion 歐元": "15 億（1.5 billion） 歐元", "US$ 2 bn": "20 億美元（US$2 bn）",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "answer_id int, text string")
+    got = {r.answer_id: r.text for r in amounts.double_written(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_own_conversions(spark):
+    cases = {
+        "約 15 億美元": ("約 15 億美元", 0), "$1.5 billion（約 15 億美元）及 2 億美元": ("$1.5 billion及 2 億美元", 1), "15 億美元（$1.5 billion） rose": ("$1.5 billion rose", 1), "$54.5 億（$54.5 billion）": ("$54.5 billion", 1),
+        "716,924 百萬美元（即 716.924 億美元）又 3 billion (30 億) 。": ("716,924 百萬美元又 3 billion 。", 2), "20 億（$2 billion（20 億））": ("$2 billion", 2), "20 億（其中 3 billion）": ("20 億（其中 3 billion）", 0), None: ("", 0),
+    }
+    got = {r.answer_id: (r.text, r.removed) for r in amounts.without_own(spark.createDataFrame(list(enumerate(cases)), "answer_id int, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_repair_needs_evidence(spark):
+    cases = [
+        ("84.75 億美元", "at $84.75 billion", "847.5 億美元（$84.75 billion）", 1), ("84.75 億", "$84.75 billion", "84.75 億", 0), ("84.75 億美元", "$8.475 billion and $84.75 billion", "84.75 億美元", 0), ("84.75 億美元", "$8,475 million; $84.75B", "84.75 億美元", 0),
+        ("10 億使用者", "$10 billion", "10 億使用者", 0), ("$3 億（其中）", "$3B", "30 億美元（$3 billion）（其中）", 1), ("84.75 億美元 or $84.75 billion", "none", "847.5 億美元 or 847.5 億美元（$84.75 billion）", 1), ("5 億元", "$5 billion", "5 億元", 0), (None, None, "", 0),
+    ]
+    answers = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "answer_id int, text string")
+    contexts = spark.createDataFrame([(i, c[1]) for i, c in enumerate(cases)], "answer_id int, text string")
+    got = {r.answer_id: (r.text, r.repaired) for r in amounts.finalised(answers, contexts).collect()}
+    assert [got[i] for i in range(len(cases))] == [(c[2], c[3]) for c in cases]
+
+
+def test_values(spark):
+    assert set(one(spark, amounts.money_values(F.col("t")), "15 億美元, $3億, 10 億使用者, 2億元")) == {Decimal(15), Decimal(3)}
+    assert one(spark, amounts.spelt(F.lit(1234.5)), "") == ["1234.5", "1,234.5"] and one(spark, amounts.spelt(F.lit(3)), "") == ["3"]
+    assert [tuple(x) for x in one(spark, amounts.stated(F.col("t")), "1,602.1 億美元（$160.21 billion）, then $5 million")] == [(0, 160210.0), (35, 5.0)]
+    assert one(spark, amounts.wrong_twice(F.col("t")), "1,602.1 億美元（$160.21 billion） 847.5 億美元（$847.5 billion）")[0].said.startswith("847.5")
+
+
+def test_dates_that_markers_point_to(spark):
+    cases = {
+        "At close: August 31 at 4:00": (2025, 8, 31), "AT CLOSE 4:00 PM EDT 07/28/26": (2026, 7, 28), "Pre-Market: 9:06 AM [...] | Jul 8, 2026 |": None, "Updated on 2026-07-02. Published Jun 3, 2026": (2026, 6, 3),
+        "Next earnings Nov 17, 2026": None, "as of Nov 17, 2026": None, "Real Time quote Jul 1, 2026": (2026, 7, 1), "posted " + "x" * 60 + " 2026-01-01": None, "as of 2026-02-30": None, None: None,
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "id int, t string").select("id", positional.published_in(F.col("t"), F.lit("2026-08-01").cast("date")).alias("day"))
+    got = {r.id: r.day for r in rows.collect()}
+    assert [got[i] for i in range(len(cases))] == [d and datetime.date(*d) for d in cases.values()]
