@@ -30,7 +30,8 @@ from quarry.llm.scratch import release, stored
 
 MAX_CHILDREN, MIN_SHARE = 50, 0.02
 DEPTH = 5
-Z, PRIOR, REJECT = 1.96, 2.0, 0.35
+#: With this prior one bad url does not reject its host or template; two without a good one do.
+Z, PRIOR, REJECT = 1.96, 4.0, 0.35
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]
@@ -130,6 +131,8 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     parsed = parsed.withColumn("fit", ruled(F.col("host"), F.col("path"), rules)).withColumn("shape", shape_of(F.col("path")))
     if not label_col:
         parsed = parsed.withColumn("good", F.col("fit.verdict") == "allow")
+    # Read twice; and a filter on the result must not reach into the expressions of rules and shapes.
+    parsed = stored(parsed, "url-parsed")
     shapes = parsed.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     counted = stored(shapes, "url-shapes")
     tree = templates(counted)

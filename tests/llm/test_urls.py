@@ -5,6 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
+
 from quarry.llm import url_filter as U
 from quarry.llm.queries import RULES, op2_url_filter
 
@@ -131,3 +135,13 @@ def test_op2_by_brute_force(spark):
     rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url").collect()
     want = sorted((rows[i].page_id, *rest) for i, *rest in brute([r.url for r in rows], RULES))
     assert as_rows(op2_url_filter(spark, d)) == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_result_can_be_filtered(spark, sf):
+    found = op2_url_filter(spark, f"/root/testdata/{sf}")
+    rows = found.collect()
+    for c in found.columns:
+        one = next((r[c] for r in rows if r[c] is not None), None)
+        assert found.where(F.col(c) == F.lit(one)).count() == sum(r[c] == one for r in rows)
+        assert found.where(F.col(c).isNull()).count() == sum(r[c] is None for r in rows)
