@@ -47,6 +47,8 @@ LEAF, LEAF_SIZE = 256, 1 << 20
 STARS, TURNS = 2, 2
 #: Pivots of a region that is cut, at most; the share of its pairs that its cells may have for the cut to be worth while.
 PIVOTS, CUT = 64, 0.5
+#: Rows that are broadcast at most, some ids each; leaves of members that regions with common members may have together.
+FEW_ROWS, MERGED = 1 << 18, 16
 #: A key is salted if a sample of one document in ``SAMPLE`` has it ``HOT`` times. It decides where rows go, not what is found.
 SAMPLE, HOT, SALTS = 256, 32, 64
 #: Bits of the map that tells which documents are read a second time; a full map only makes more of them be read.
@@ -262,6 +264,11 @@ class _Space:
         self.tables.append(stored(df, name))
         return self.tables[-1]
 
+    def beside(self, rows: DataFrame, column: str) -> DataFrame:
+        """The sets, ``column`` being their node, joined to ``rows``; few rows are broadcast, so that sets which nobody asks for aren't moved."""
+        here = self.sets.withColumnRenamed("node", column)
+        return here.join(F.broadcast(rows) if rows.count() <= FEW_ROWS else rows, column)
+
     def sketched(self, pairs: DataFrame) -> DataFrame:
         """(p, node, low, possible) of ``pairs(p, node)``: their distance is ``low`` at least, and whether they may link."""
         here = self.sets.select("node", F.col("n").alias("a"), F.col("bits").alias("x"))
@@ -273,9 +280,9 @@ class _Space:
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """(p, node, d, near) of different ``pairs(p, node)``; near ones become links."""
-        here = self.sets.select("node", F.col("n").alias("a"), F.col("items").alias("x"))
-        there = self.sets.select(F.col("node").alias("p"), F.col("n").alias("b"), F.col("items").alias("y"))
-        met = pairs.join(here, "node").join(there, "p").select("p", "node", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (F.col("a") + F.col("b")).alias("both"))
+        here = self.beside(pairs, "node").select("p", "node", F.col("n").alias("a"), F.col("items").alias("x"))
+        there = self.beside(pairs.select("p").distinct(), "p").select("p", F.col("n").alias("b"), F.col("items").alias("y"))
+        met = here.join(there, "p").select("p", "node", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (F.col("a") + F.col("b")).alias("both"))
         d = 1 - F.col("shared") / (F.col("both") - F.col("shared"))
         near = 100 * F.col("shared") >= self.percent * (F.col("both") - F.col("shared"))
         out = self.kept(met.select("p", "node", d.alias("d"), near.alias("near")), "join-measured")
@@ -317,20 +324,31 @@ class _Space:
         cells = held.join(useful, "key", "left_semi").where("node <> p").select(F.xxhash64("key", "p").alias("key"), "node", "n", "part", "d", "near")
         return self.kept(self.outside(cells).drop("near"), "join-cells"), regions.join(useful, "key", "left_anti")
 
-    def dealt(self, regions: DataFrame) -> DataFrame:
-        """(key, i, j, node) of ``regions(key, node, part, m, total)``: members that may link with one of another part, large regions as blocks that meet in twos."""
-        blocks = F.greatest(F.ceil(2 * F.col("m") / LEAF), F.ceil(2 * F.col("total") / LEAF_SIZE)).cast("int")
-        blocks = F.when(_small(), 1).otherwise(blocks)
+    def blocks(self, regions: DataFrame, *columns: str) -> DataFrame:
+        """``columns`` of ``regions(key, node, m, total, ..)`` with i and j: a small region is one block, members of a large one meet in twos of blocks."""
+        count = F.when(_small(), 1).otherwise(F.greatest(F.ceil(2 * F.col("m") / LEAF), F.ceil(2 * F.col("total") / LEAF_SIZE)).cast("int"))
         mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
         meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-        each = regions.select("key", "node", "part", blocks.alias("k")).select("key", "node", "part", F.explode(meets).alias("c")).select("key", "c.i", "c.j", "node", "part")
-        told = each.join(self.sets.select("node", "n", "bits"), "node").select("key", "i", "j", "node", "part", "n", "bits")
+        return regions.withColumn("k", count).select(*columns, F.explode(meets).alias("c")).select(*columns, "c.i", "c.j")
+
+    def dealt(self, regions: DataFrame) -> DataFrame:
+        """(key, i, j, node) of ``regions(key, node, part, m, total)``: members that by their sketches may link with one of another part of their block."""
+        told = self.blocks(regions, "key", "node", "part").join(self.sets.select("node", "n", "bits"), "node").select("key", "i", "j", "node", "part", "n", "bits")
         told = told.repartition(width(told.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         return self.kept(told.mapInArrow(_possible(self.percent), "key long, i int, j int, node long"), "join-possible")
 
     def compared(self, regions: DataFrame) -> None:
-        """Links within ``regions(key, node, part, m, total)``."""
-        near = self.dealt(regions).join(self.sets.select("node", "items"), "node").select("key", "i", "j", "node", "items")
+        """Links within ``regions(key, node, part, m, total)``. Regions that share members are one, so that a set is moved once, unless they grow too large together."""
+        left = self.dealt(regions).join(self.sets.select("node", "n"), "node")
+        firsts = left.groupBy("key", "i", "j").agg(F.min("node").alias("first"))
+        group = connected_components(left.join(firsts, ["key", "i", "j"]).select(F.col("node").alias("u"), F.col("first").alias("v")))
+        one = left.select("node", "n").distinct().join(group, "node").select(F.col("component").alias("key"), "node", "n")
+        sizes = one.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+        few = one.join(sizes.where(F.col("m") <= MERGED * LEAF), "key")
+        apart = left.join(few.select("node"), "node", "left_anti").select("key", "i", "j", "node")
+        rows = self.kept(self.blocks(few, "key", "node").unionByName(apart), "join-leaves")
+        release(*group._reads)
+        near = self.beside(rows, "node").select("key", "i", "j", "node", "items")
         near = near.repartition(width(near.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         self.links.append(self.kept(near.mapInArrow(_leaf(self.percent / 100), "u long, v long"), "join-links"))
 
