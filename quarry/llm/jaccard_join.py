@@ -339,7 +339,10 @@ class _Space:
 
     def compared(self, regions: DataFrame) -> None:
         """Links within ``regions(key, node, part, m, total)``. Regions that share members are one, so that a set is moved once, unless they grow too large together."""
-        left = self.dealt(regions).join(self.sets.select("node", "n"), "node")
+        possible = self.dealt(regions)
+        if possible.isEmpty():
+            return
+        left = possible.join(self.sets.select("node", "n"), "node")
         firsts = left.groupBy("key", "i", "j").agg(F.min("node").alias("first"))
         group = connected_components(left.join(firsts, ["key", "i", "j"]).select(F.col("node").alias("u"), F.col("first").alias("v")))
         one = left.select("node", "n").distinct().join(group, "node").select(F.col("component").alias("key"), "node", "n")
