@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +69,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf)."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(doc_id, term, tf); ``words`` makes the terms, as ``segment.segmenter`` does for texts without spaces."""
+    every = docs.select(F.col(id_col).alias("doc_id"), F.explode(words(F.col(text_col))).alias("term"))
+    return every.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -81,19 +81,19 @@ def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top(pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("cw")).alias("score")), k)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """Okapi BM25 of ``queries(query_id, text)`` on ``docs(doc_id, text)``; only scores above 0.
 
     Scores are rounded, so that ties do not hang on the order of summation. A term in more than half of the documents has a negative idf; it gets ``floor`` times the mean idf instead.
     """
-    tf = postings(docs)
+    tf = postings(docs, words=words)
     size = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     stats = F.broadcast(docs.agg(F.count("*").alias("n")).crossJoin(size.agg(F.sum("dl").alias("all_dl"))))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats)
     idf = df.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = F.broadcast(idf.agg(F.avg("raw").alias("mean")))  # one row
     idf = idf.crossJoin(mean).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = postings(queries, "query_id").select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qf"))
+    asked = postings(queries, "query_id", words=words).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qf"))
     weighted = asked.join(idf, "term")
     hit = weighted.join(tf, "term").join(size, "doc_id").crossJoin(stats)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("all_dl") / F.col("n")))
