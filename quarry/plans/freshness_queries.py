@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import freshness
+from quarry.operators import freshness, overlay
 from quarry.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -60,3 +60,30 @@ def field_cover(spark, d):
     wanted = o.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, "123"))).alias("ticker"), fields.alias("fields"))
     out = freshness.cover_fields(o.where("o_orderkey % 5 IN (1, 2)"), o.where("o_orderkey % 5 = 0"), wanted, o)
     return out.select("query_id", "ticker", "source", "level")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS query_id, o_orderkey % 6 AS t, o_orderkey % 5 AS m, year(o_orderdate)::VARCHAR AS y FROM orders),
+    g AS (SELECT *, m IN (0, 1, 3) AS gated, t IN (1, 2, 4) AS good FROM o),
+    f AS (SELECT query_id, 'fiscal_year' AS field, y AS vals, t <> 2 AS include FROM g WHERE gated AND good
+        UNION ALL SELECT query_id, 'ticker', 'MSFT', true FROM g WHERE gated AND t = 4
+        UNION ALL SELECT query_id, 'ticker', CASE WHEN query_id % 2 = 0 THEN 'AAPL' ELSE 'NVDA' END, true FROM g WHERE m IN (0, 2) AND NOT (gated AND t = 4)
+        UNION ALL SELECT query_id, 'report_period_code', y || '03', true FROM g WHERE m = 4 AND y >= '2000'
+        UNION ALL SELECT query_id, 'period_basis', 'TTM', true FROM g WHERE m = 1)
+    SELECT query_id, field, vals AS "values", include FROM f""")
+def filter_overlay(spark, d):
+    k, y = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
+    company = F.when(k % 2 == 0, "Apple").otherwise("NVIDIA")
+    m, t = k % 5, k % 6
+    asked = (
+        F.when(m == 0, F.concat(F.lit("What did "), company, F.lit(" sell in fiscal "), y)).when(m == 1, F.concat(F.lit("TTM margin of the annual report "), y))
+        .when(m == 2, F.concat(F.lit("How is "), company, F.lit(" doing"))).when(m == 3, F.lit("全年的成長")).otherwise(F.concat(F.lit("Sales of "), y, F.lit("03")))
+    )
+    one = lambda field, value, more="": F.concat(F.lit(f'{{"field": "{field}", "value": "'), value, F.lit(f'"{more}}}'))
+    whole = lambda *parts: F.concat(F.lit('{"filters": ['), F.concat_ws(", ", *parts), F.lit("]}"))
+    said = (
+        F.when(t == 0, F.lit("no idea")).when(t == 1, F.concat(F.lit("```json\n"), whole(one("fiscal_year", y)), F.lit("\n```"))).when(t == 2, whole(one("fiscal_year", y, ', "polarity": "exclude"')))
+        .when(t == 3, whole(one("color", F.lit("red")), one("ticker", F.lit("")), F.lit("7"))).when(t == 4, whole(one("fiscal_year", y, ', "polarity": "maybe"'), one("ticker", F.lit("MSFT"))))
+        .otherwise(F.concat(F.lit("Here: "), whole(one("fiscal_year", y))))
+    )
+    found = table(spark, d, "orders").select(k.alias("query_id"), F.explode(overlay.filters(asked, said)).alias("f"))
+    return found.select("query_id", "f.field", F.array_join("f.values", "|").alias("values"), "f.include")

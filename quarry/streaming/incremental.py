@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.sources.storage import changed
@@ -41,6 +43,35 @@ def unseen(stream: DataFrame, key: str, time: str, late: str = "1 day") -> DataF
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def first_seen(stream: DataFrame, key: str, keep: timedelta | None = None) -> DataFrame:
+    """The first row of each key, in this batch or any later one however late, with ``keep`` unless the key has not been seen for that long.
+
+    State is one flag a key in the state store of the query (RocksDB), so a batch touches the keys it has and not all
+    that are known. The flag's age is counted by the clock and starts anew each time the key comes; Spark looks for old flags in batches without
+    data too, so with ``keep`` the query needs a trigger that goes on, not one that ends with the data. Of rows of one batch that share a key any one may pass; a null key is a key.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    life = None if keep is None else int(keep.total_seconds() * 1000)
+
+    class First(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.seen = handle.getValueState("seen", "seen boolean", life)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+            known = self.seen.exists()
+            for part in rows:
+                if not known and len(part):
+                    known = True
+                    yield part.head(1)
+            if not (known and life is None and self.seen.exists()):
+                self.seen.update((True,))
+
+        def close(self) -> None:
+            pass
+
+    return stream.groupBy(key).transformWithStateInPandas(First(), stream.schema, "Append", "None" if life is None else "ProcessingTime")
+
+
 def windowed(stream: DataFrame, time: str, by: str, value: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by tumbling window."""
     return stream.withWatermark(time, late).groupBy(F.window(time, size), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
