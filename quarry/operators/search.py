@@ -82,20 +82,21 @@ def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, words: Callable[[Column], Column] = tokens) -> DataFrame:
-    """Okapi BM25 of ``queries(query_id, text)`` on ``docs(doc_id, text)``; only scores above 0.
+    """Okapi BM25 of ``queries(query_id, text)`` on ``docs(doc_id, text)``, ids unique; only scores above 0. Of the documents' terms only those that are asked for are shuffled with their document.
 
     Scores are rounded, so that ties do not hang on the order of summation. A term in more than half of the documents has a negative idf; it gets ``floor`` times the mean idf instead.
     """
-    tf = postings(docs, words=words)
-    size = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    stats = F.broadcast(docs.agg(F.count("*").alias("n")).crossJoin(size.agg(F.sum("dl").alias("all_dl"))))  # one row
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats)
+    every = docs.select("doc_id", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    stats = F.broadcast(every.agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("all_dl")))  # one row
+    df = every.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats)
     idf = df.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = F.broadcast(idf.agg(F.avg("raw").alias("mean")))  # one row
     idf = idf.crossJoin(mean).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = postings(queries, "query_id", words=words).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qf"))
-    weighted = asked.join(idf, "term")
-    hit = weighted.join(tf, "term").join(size, "doc_id").crossJoin(stats)
+    terms = asked.select("term").distinct()
+    held = every.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term", "left_semi")
+    tf = held.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hit = tf.join(asked.join(idf, "term"), "term").crossJoin(stats)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("all_dl") / F.col("n")))
     score = F.sum(F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm)
     return top(hit.groupBy("query_id", "doc_id").agg(F.round(score, 6).alias("score")).where("score > 0"), k)
