@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.search import importable
+
 HAN = "一-鿿"
 PIECE = rf"[{HAN}]+|[\p{{L}}\p{{M}}\p{{N}}&&[^{HAN}]]+"
 #: Entries and characters an entry that a dictionary may have; it is held by every worker.
@@ -76,6 +78,7 @@ def segmenter(dictionary: DataFrame) -> Callable[[Column], Column]:
     never leave the JVM; the pieces of the others go to Python in Arrow batches, in time linear in their length.
     """
     spark = dictionary.sparkSession
+    importable(spark)
     known = dictionary.where("word <> '' AND n >= 1").groupBy(F.lower("word").alias("word")).agg(F.sum("n").cast("long").alias("n"))
     rows = known.limit(ENTRIES + 1).collect()
     if len(rows) > ENTRIES or any(len(r.word) > LONGEST for r in rows):
