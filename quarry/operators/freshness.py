@@ -63,6 +63,9 @@ def cover_fields(ranked: DataFrame, selected: DataFrame, wanted: DataFrame, stor
     fundamentals; ``stored(ticker, period_basis, source, chunk_index, content, score)``. Level 0 is what was selected, 1 comes from
     ``ranked``, 2 from the trailing-year rows of ``stored``, looked up only for what level 1 left open and only if fields are asked for. Ties go to the smaller source
     and chunk. Nothing is taken twice and nothing selected is lost.
+
+    What level 2 finds hangs on the ticker and the fields alone, so rows are held against the different (ticker, field), and the best of each
+    meets the questions: neither the stored rows nor their texts are multiplied by the number of keys that ask for them.
     """
     place = ["source", "chunk_index"]
     columns = [key, "ticker", *place, "content", "score"]
@@ -71,17 +74,20 @@ def cover_fields(ranked: DataFrame, selected: DataFrame, wanted: DataFrame, stor
     def fitting(rows: DataFrame, on: list[str], asked: DataFrame) -> DataFrame:
         return rows.where(F.col("source").contains("Fundamentals")).join(asked, on).where(has_field(F.col("content"), F.col("fields")))
 
-    def best(rows: DataFrame) -> DataFrame:
+    def best(rows: DataFrame, by: list[str]) -> DataFrame:
         first = F.min_by(F.struct(*place, "content", "score"), F.struct((-F.col("score")).alias("s"), *place))
-        return rows.groupBy(key, "ticker").agg(first.alias("_b")).select(key, "ticker", "_b.*")
+        return rows.groupBy(*by).agg(first.alias("_b")).select(*by, "_b.*")
 
     both = [key, "ticker"]
     open_ = want.join(fitting(selected.select(*columns), both, want).select(*both).distinct(), both, "left_anti")
     fresh = ranked.select(*columns).join(selected.select(key, *place).distinct(), [key, *place], "left_anti")
-    one = best(fitting(fresh, both, open_))
+    one = best(fitting(fresh, both, open_), both)
     still = open_.join(one.select(*both), both, "left_anti").where("size(fields) > 0")
     kept = stored.where("period_basis = 'TTM'").select("ticker", *place, "content", "score")
-    two = best(fitting(kept, ["ticker"], still)).join(selected.select(key, *place).distinct(), [key, *place], "left_anti")
+    asks = still.select(key, "ticker", F.explode("fields").alias("_field"))
+    needs = asks.select("ticker", F.array("_field").alias("fields")).distinct()
+    held = best(fitting(kept, ["ticker"], needs), ["ticker", "fields"]).withColumn("_field", F.col("fields")[0])
+    two = best(asks.join(held, ["ticker", "_field"]), both).join(selected.select(key, *place).distinct(), [key, *place], "left_anti")
     out = selected.select(*columns, F.lit(0).alias("level"))
     for level, rows in ((1, one), (2, two)):
         out = out.unionByName(rows.select(*columns, F.lit(level).alias("level")))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +76,16 @@ def test_cover_fields_keeps_what_was_selected(spark):
     kept = spark.createDataFrame([("C", "TTM", "C_Fundamentals", 0, "GROSS margin", 0.2), ("C", "FY", "C_Fundamentals", 1, "gross margin", 0.9), ("D", "TTM", "D_Fundamentals", 0, None, 1.0)], "ticker string, period_basis string, source string, chunk_index int, content string, score double")
     got = sorted((r.query_id, r.ticker, r.chunk_index, r.level) for r in freshness.cover_fields(ranked, sel, want, kept).collect())
     assert got == [(1, "A", 1, 0), (1, "A", 2, 1), (1, "B", 0, 0), (1, "C", 0, 2)]
+
+
+def test_stored_rows_are_not_multiplied_by_the_questions(spark):
+    keys = spark.range(20_000).select(F.col("id").alias("query_id"))
+    row = ["query_id", F.lit("A").alias("ticker"), F.lit("A_News").alias("source"), F.lit(0).alias("chunk_index"), F.lit("x").alias("content"), F.lit(0.1).alias("score")]
+    fields = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("Margin"))).otherwise(F.array(F.lit("margin"), F.lit("growth")))
+    want = keys.select("query_id", F.lit("A").alias("ticker"), fields.alias("fields"))
+    kept = spark.range(20_000).select(F.lit("A").alias("ticker"), F.lit("TTM").alias("period_basis"), F.format_string("Fundamentals_%05d", "id").alias("source"), F.lit(0).alias("chunk_index"), F.when(F.col("id") % 2 == 0, "MARGIN").otherwise("Growth").alias("content"), (F.col("id") % 1000).cast("double").alias("score"))
+    out = freshness.cover_fields(keys.select(*row).limit(0), keys.select(*row).limit(0), want, kept)
+    started = time.monotonic()
+    got = {(r.even, r.source, r.level): r["count"] for r in out.groupBy((F.col("query_id") % 2 == 0).alias("even"), "source", "level").count().collect()}
+    assert got == {(True, "Fundamentals_00998", 2): 10_000, (False, "Fundamentals_00999", 2): 10_000}
+    assert time.monotonic() - started < 40  # 400 million pairs take minutes
