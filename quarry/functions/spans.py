@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, put: Callable[[Column], Column]) -> Column:
+    """``put(value)`` with the value worked out once a row: inside a lambda an expression is worked out again for each element."""
+    return F.get(F.transform(F.array(value), put), F.lit(0))
+
+
 def matches(text: Column, pattern: str | Column, groups: int = 0) -> Column:
     """array<struct<at, before, g0, g1, ..>>: each match with its number, the text between it and the match before, and its groups.
 
     A group that takes no part is empty. ``tail`` is what follows the last match. A null text has no matches.
     """
     body = F.coalesce(text, F.lit(""))
-    before = F.split(body, pattern, -1)
-    found = [F.regexp_extract_all(body, F.lit(pattern), F.lit(k)) for k in range(groups + 1)]
-    parts = lambda x, i: F.struct(i.alias("at"), F.get(before, i).alias("before"), *[F.get(f, i).alias(f"g{k}") for k, f in enumerate(found)])
-    return F.transform(found[0], parts)
+    found = [F.regexp_extract_all(body, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(groups + 1)]
+    part = lambda s, i: F.struct(i.alias("at"), F.get(s["before"], i).alias("before"), *[F.get(s[f"g{k}"], i).alias(f"g{k}") for k in range(groups + 1)])
+    return bound(F.struct(F.split(body, pattern, -1).alias("before"), *found), lambda s: F.transform(s["g0"], lambda x, i: part(s, i)))
 
 
 def tail(text: Column, pattern: str) -> Column:
@@ -25,14 +31,17 @@ def tail(text: Column, pattern: str) -> Column:
 
 def placed(text: Column, pattern: str | Column, groups: int = 0) -> Column:
     """``matches`` with ``start`` and ``stop``, in characters from 0."""
-    found = matches(text, pattern, groups)
-    gone = lambda a: F.aggregate(a, F.lit(0), lambda s, m: s + F.length(m["before"]) + F.length(m["g0"]))
 
-    def put(m: Column, i: Column) -> Column:
-        start = gone(F.slice(found, F.lit(1), i)) + F.length(m["before"])
-        return m.withField("start", start).withField("stop", start + F.length(m["g0"]))
+    def put(found: Column, ends: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            stop = F.get(ends, i)
+            return m.withField("start", stop - F.length(m["g0"])).withField("stop", stop)
+
+        return F.transform(found, one)
 
-    return F.transform(found, put)
+    step = lambda a, m: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + F.length(m["before"]) + F.length(m["g0"]))
+    ends = lambda found: F.aggregate(found, F.array().cast("array<int>"), step)
+    return bound(matches(text, pattern, groups), lambda found: bound(ends(found), lambda e: put(found, e)))
 
 
 def rewritten(text: Column, pattern: str, groups: int, put) -> Column:

@@ -72,11 +72,12 @@ def rounding_losses(answers: DataFrame, chunks: DataFrame, key: str = "answer_id
     loss once an answer.
     """
     segments = cited_segments(answers, key)
-    met = segments.join(chunks.select(key, "source", "chunk", "text"), [key, "source", "chunk"])
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n")
-    held = met.groupBy(key, "segment").agg(F.min("said").alias("said"), texts.alias("cited"), F.min(F.struct("at", "source", "chunk")).alias("first"))
-    every = segments.groupBy(key, "segment").agg(F.min(F.struct("at", "source", "chunk")).alias("named"))
-    found = held.join(every, [key, "segment"]).select("*", F.explode(F.array_distinct(F.transform(spans.matches(F.col("cited"), MEASURED, 2), lambda m: F.struct(m["g1"].alias("value"), _unit(m["g2"]).alias("unit"))))).alias("n"))
+    there = chunks.select(key, "source", "chunk", F.struct("text").alias("_there"))
+    met = segments.join(there, [key, "source", "chunk"], "left")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_there").isNotNull(), F.struct("at", "_there.text")))), lambda x: x["text"]), "\n")
+    named = F.min(F.struct("at", "source", "chunk"))  # of all citations, those without a chunk included
+    held = met.groupBy(key, "segment").agg(F.min("said").alias("said"), texts.alias("cited"), named.alias("named"), F.count("_there").alias("_n")).where("_n > 0")
+    found = held.select("*", F.explode(F.array_distinct(F.transform(spans.matches(F.col("cited"), MEASURED, 2), lambda m: F.struct(m["g1"].alias("value"), _unit(m["g2"]).alias("unit"))))).alias("n"))
     lost = found.where(~appears(F.col("said"), F.col("n.value"), F.col("n.unit")))
     exact = F.col("n.value").cast(f"decimal(38,{PLACES + 1})")
     forms = [F.when(F.length(F.regexp_extract("n.value", r"\.(\d+)", 1)) > p, _plain(F.bround(exact, p).cast(f"decimal(38,{p})").cast("string"))) for p in range(PLACES - 1, -1, -1)]

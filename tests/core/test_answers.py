@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+import re
 from pyspark.sql import functions as F
 
 from quarry.functions import spans
@@ -61,3 +63,23 @@ def test_numbers_at_the_precision_of_the_answer(spark):
     wanted = spark.createDataFrame([(1, "74.1"), (1, "74.2"), (1, "18.3"), (1, "7"), (2, "5"), (3, "5")], "answer_id int, literal string")
     sources = spark.createDataFrame([(1, 74.144995, False, 10), (1, 0.183, True, 10), (1, 6.5, False, 10), (2, 9.0, False, 999)], "answer_id int, value double, share boolean, size int")
     assert rows(answers.unsupported_numbers(wanted, sources, 100), "answer_id", "literal") == [(1, "7"), (1, "74.2")]
+
+
+def test_matches_of_a_text_are_looked_for_once(spark):
+    from quarry.functions import amounts, spans
+
+    text = "".join(f"then $ {i} billion " + "x" * 60 for i in range(3_000))
+    rows = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "id int, text string")
+    started = time.monotonic()
+    got = {r.id: r for r in rows.select("id", amounts.stated(F.col("text")).alias("s"), spans.placed(F.col("text"), r"\$ (\d+)", 1).alias("p")).collect()}
+    assert time.monotonic() - started < 30  # a search for each match takes minutes
+    assert [m.start for m in got[1].p] == [m.start() for m in re.finditer(r"\$ \d+", text)]
+    assert [(m.at, m.g1) for m in got[1].p][::1000] == [(0, "0"), (1000, "1000"), (2000, "2000")]
+    assert [x.millions for x in got[1].s] == [i * 1000.0 for i in range(3_000)]
+    assert got[2].p == got[2].s == got[3].p == got[3].s == []
+
+
+def test_a_segment_is_named_by_its_first_citation_even_without_its_chunk(spark):
+    answer = spark.createDataFrame([(1, "It was 3.1 million【a.txt, chunk #1】【b.txt, chunk #2】 and 9 million【c.txt, chunk #3】")], "answer_id int, answer string")
+    chunks = spark.createDataFrame([(1, "b.txt", 2, "3.14 million"), (1, "b.txt", 2, None)], "answer_id int, source string, chunk int, text string")
+    assert [tuple(r) for r in answers.rounding_losses(answer, chunks).collect()] == [(1, "3.14", "million", "3.1", "a.txt", 1)]
