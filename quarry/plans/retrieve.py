@@ -1,4 +1,4 @@
-"""The whole retrieval plan for a batch of queries: one lazy plan, no loop over queries."""
+"""The whole retrieval plan for a batch of queries: no loop over queries."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import ranking, search
 from quarry.operators.predicates import Clause, cascade, compile_clauses
+from quarry.sources.storage import checkpoint_folder
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, cfg: Config = Config(), scor
 
     Both lanes search under the same predicate; lists are fused by reciprocal rank; candidates are scored again, collapsed by section and cut to
     ``top_k``, and entities of ``wanted(query_id, ticker)`` that lack a row get their best one, so an answer may have more rows. Metadata joins after the lanes, on candidates alone.
+    The candidates and their scores are checkpointed, so that the lanes run once, however often collapsing and cover read them.
     """
     admitted = cascade(corpus, list(cfg.clauses)).drop("tier") if cfg.clauses else corpus
     lanes = [search.bm25_topk(queries, admitted.select("doc_id", "text"), cfg.lane)]
@@ -40,11 +42,11 @@ def retrieve(queries: DataFrame, corpus: DataFrame, cfg: Config = Config(), scor
         stored = stored.join(admitted.select(F.col("doc_id").alias("id")), "id", "left_semi")
         lanes.append(search.dense_topk(asked, stored, cfg.lane))
     else:
-        asked = search.postings(queries, "query_id").select(F.col("doc_id").alias("query_id"), "term", F.col("tf").cast("double").alias("w"))
-        lanes.append(search.sparse_topk(asked, search.postings(admitted).select("doc_id", "term", F.col("tf").cast("double").alias("w")), cfg.lane))
-    pool = search.fuse(lanes, cfg.rrf_k, cfg.fused).select("query_id", "doc_id")
+        lanes.append(search.counts_topk(queries, admitted, cfg.lane))
+    checkpoint_folder(corpus.sparkSession)
+    pool = search.fuse(lanes, cfg.rrf_k, cfg.fused).select("query_id", "doc_id").checkpoint()
     pairs = pool.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(admitted, "doc_id")
-    scored = pairs.withColumn("score", F.round(scorer(F.col("query"), F.col("text")), 9)).drop("query", "text")
+    scored = pairs.withColumn("score", F.round(scorer(F.col("query"), F.col("text")), 9)).drop("query", "text").checkpoint()
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     collapsed = ranking.collapse(ranked, ["ticker", "filing_type", "item_id"], "source", cfg.keep_sources, cfg.prefer)
     seated = collapsed.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
