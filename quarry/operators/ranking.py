@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,21 +46,28 @@ def suppress_near(rows: DataFrame, numbers: str, source: str, order: str, min_sh
     """Drops rows whose numbers are mostly within those of an earlier kept row of the same source.
 
     Whether a row stays depends on the rows that stayed, so a source's rows are walked in order; a
-    source is one filing, whose number of rows is bounded.
+    source is one filing, whose number of rows is bounded. A task walks its sources one after the other in Arrow batches, which
+    costs nothing a source, and holds the kept numbers of one.
     """
-    schema = rows.schema
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        kept, stay = [], []
-        for nums in part.sort_values(order)[numbers]:
-            mine = set(nums) if nums is not None else set()
-            near = len(mine) >= min_shared and any(len(mine & k) >= min_shared and len(mine & k) >= min_cover * len(mine) for k in kept)
-            stay.append(not near)
-            if not near:
-                kept.append(mine)
-        return part.sort_values(order)[stay]
-
-    return rows.groupBy(source).applyInPandas(walk, schema)
+    columns = rows.columns
+    at, own = columns.index(numbers), columns.index(source)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, None
+        for b in batches:
+            stay = []
+            for who, nums in zip(b.column(own).to_pylist(), b.column(at).to_pylist()):
+                if kept is None or who != now:
+                    now, kept = who, []
+                mine = frozenset(nums or ())
+                near = len(mine) >= min_shared and any((n := len(mine & k)) >= min_shared and n >= min_cover * len(mine) for k in kept)
+                stay.append(not near)
+                if not near and len(mine) >= min_shared:  # smaller ones are near to nothing
+                    kept.append(mine)
+            yield b.filter(pa.array(stay, pa.bool_()))
+
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(width, source).sortWithinPartitions(source, order).mapInArrow(walk, rows.schema)
 
 
 def cover(ranked: DataFrame, selected: DataFrame, wanted: DataFrame, entity: str, score: str = "score", key: str = "query_id", tie: str = "doc_id") -> DataFrame:
