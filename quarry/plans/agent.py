@@ -23,13 +23,18 @@ def todos(plan: DataFrame) -> DataFrame:
 def wave_numbers(plan: DataFrame) -> DataFrame:
     """Todos with the ``wave`` in which they can run: 0 without a dependency, else one after it.
 
-    Dependencies point to smaller ids, so ``MAX_TODOS - 1`` steps of a self-join settle all of them.
+    A plan has at most ``MAX_TODOS`` items with different ids, so it is one row while ``MAX_TODOS - 1`` steps settle them: plans move once, whatever the number of steps.
     """
-    now = plan.withColumn("wave", F.when(F.col("depends_on").isNull(), F.lit(0)))
-    for _ in range(MAX_TODOS - 1):
-        parent = now.select("query_id", F.col("id").alias("depends_on"), (F.col("wave") + 1).alias("_wave"))
-        now = now.join(parent, ["query_id", "depends_on"], "left").withColumn("wave", F.coalesce("wave", "_wave")).drop("_wave")
-    return now
+    columns = plan.columns
+    whole = plan.groupBy("query_id").agg(F.collect_list(F.struct(*columns)).alias("_t"))
+    rows = F.col("_t")
+    before = lambda x, m: F.get(F.filter(m, lambda y: y["id"] == x["depends_on"]), F.lit(0))["wave"]
+    wave = lambda x, m: F.when(x["depends_on"].isNull(), F.lit(0)).otherwise(before(x, m) + 1)
+    step = lambda m: F.transform(rows, lambda x: F.struct(x["id"].alias("id"), wave(x, m).alias("wave")))
+    start = F.transform(rows, lambda x: F.struct(x["id"].alias("id"), F.when(x["depends_on"].isNull(), F.lit(0)).alias("wave")))
+    settled = whole.withColumn("_m", F.aggregate(F.sequence(F.lit(2), F.lit(MAX_TODOS - 1)), start, lambda m, _: step(m)))
+    each = settled.select("_m", F.explode("_t").alias("_x"))
+    return each.select(*[F.col(f"_x.`{c}`").alias(c) for c in columns], wave(F.col("_x"), F.col("_m")).alias("wave"))
 
 
 def run_waves(plan: DataFrame, execute: Callable[[DataFrame, DataFrame | None], DataFrame], waves: int = MAX_WAVES) -> DataFrame:
