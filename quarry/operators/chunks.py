@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.text import table_rows
 from quarry.operators import lines
@@ -84,8 +86,8 @@ def chunk_records(elements: DataFrame, key: str = "file", split: Callable[[str],
     ``summaries(key, pos, summary)``. The other elements follow in sections: a header starts a new one once the
     present one has ``SECTION`` characters. ``split`` cuts each section, and pieces of ``SHORTEST`` characters or fewer go.
 
-    A table function that Spark hands the elements of a file in order makes the sections; it holds one of them at a
-    time. Files are the partitions; positions are unique in a file. Null and blank texts give no record, equal
+    Elements are dealt by file and sorted, and a map over Arrow batches makes the sections; it holds one of them and a batch at a
+    time, and starts nothing anew for a file; positions are unique in a file. Null and blank texts give no record, equal
     elements one each, an empty table none. Columns besides the four are not read, whatever their names.
     """
     importable(elements.sparkSession)
@@ -101,33 +103,44 @@ def chunk_records(elements: DataFrame, key: str = "file", split: Callable[[str],
     texts = plain.select("_key", F.lit(1).alias("part"), "pos", section_header(F.col("role"), F.col("text")).alias("header"), "text")
     least, shortest = SECTION, SHORTEST
 
-    class Records:
-        def __init__(self) -> None:
-            self.key, self.index, self.held, self.size = None, 0, [], 0
+    kind = to_arrow_type(e.schema["_key"].dataType)
 
-        def told(self, kind: str, text: str):
-            self.index += 1
-            return self.key, self.index - 1, kind, text
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, begun, index, held, size, out = None, False, 0, [], 0, []
 
-        def flush(self) -> Iterator[tuple]:
-            for piece in split("\n\n".join(self.held)) if self.held else ():
+        def told(what: str, text: str) -> None:
+            nonlocal index
+            out.append((key, index, what, text))
+            index += 1
+
+        def flush() -> None:
+            nonlocal held, size
+            for piece in split("\n\n".join(held)) if held else ():
                 if len(piece.strip()) > shortest:
-                    yield self.told("text", piece.strip())
-            self.held, self.size = [], 0
-
-        def eval(self, row) -> Iterator[tuple]:
-            self.key = row["_key"]
-            if row["part"] == 0:
-                yield self.told("table", row["text"])
-                return
-            if row["header"] and self.size >= least:
-                yield from self.flush()
-            self.held.append(row["text"])
-            self.size += len(row["text"])
-
-        def terminate(self) -> Iterator[tuple]:
-            yield from self.flush()
-
-    kind = e.schema["_key"].dataType.simpleString()
-    made = F.udtf(Records, returnType=f"`{key}` {kind}, chunk_index int, chunk_type string, text string")
-    return made(tables.unionByName(texts).asTable().partitionBy("_key").orderBy("part", "pos", "text"))
+                    told("text", piece.strip())
+            held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            nonlocal out
+            cells, out = list(zip(*out)) or [()] * 4, []
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (kind, pa.int32(), pa.string(), pa.string()))], names=["key", "chunk_index", "chunk_type", "text"])
+
+        for b in batches:
+            for file, part, _, header, text in zip(*(c.to_pylist() for c in b.columns)):
+                if not begun or file != key:
+                    flush()
+                    key, begun, index = file, True, 0
+                if part == 0:
+                    told("table", text)
+                    continue
+                if header and size >= least:
+                    flush()
+                held.append(text)
+                size += len(text)
+            yield batch()
+        flush()
+        yield batch()
+
+    order = ["_key", "part", "pos", "text"]
+    rows = tables.unionByName(texts).repartition(int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key").sortWithinPartitions(*order)
+    return rows.mapInArrow(made, f"`{key}` {e.schema['_key'].dataType.simpleString()}, chunk_index int, chunk_type string, text string")
