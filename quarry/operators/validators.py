@@ -15,13 +15,16 @@ def conflicting_claims(claims: DataFrame, key: str = "answer_id", tolerance: flo
     ``tolerance`` apart, and is not a split of 100 percent.
     """
     known = claims.where((F.col("metric") != "") & (F.col("period_key") != "unknown") & F.col("kind").isin("change", "growth_pct"))
-    cells = known.groupBy(key, *CELL).agg(
-        F.count_distinct("quote").alias("quotes"), F.count_distinct(F.bround("value", 4)).alias("values"), F.count("*").alias("n"),
-        F.min("value").alias("low"), F.max("value").alias("high"), F.sum("value").alias("total"),
+    # A row a different value first: two distinct counts in one aggregation would move each claim three times.
+    values = known.groupBy(key, *CELL, F.bround("value", 4).alias("_v")).agg(
+        F.min("quote").alias("first"), F.max("quote").alias("last"), F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum("value").alias("total"),
+    )
+    cells = values.groupBy(key, *CELL).agg(
+        (F.min("first") < F.max("last")).alias("quoted"), F.count("_v").alias("values"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"),
     )
     split = (F.col("unit") == "percent") & (F.abs(F.col("total") - 100) <= 1)
     apart = (F.col("high") > 0) & (F.try_divide(F.col("high") - F.col("low"), F.col("high")) > tolerance)
-    return cells.where((F.col("quotes") >= 2) & (F.col("n") >= 2) & ~split & (F.col("values") <= 2) & apart).select(key, *CELL, "low", "high")
+    return cells.where(F.col("quoted") & (F.col("n") >= 2) & ~split & (F.col("values") <= 2) & apart).select(key, *CELL, "low", "high")
 
 
 def segment_conflicts(claims: DataFrame, key: str = "answer_id") -> DataFrame:
@@ -61,8 +64,10 @@ def stale_periods(chunks: DataFrame, key: str, entity: str = "ticker", rank: str
 def check_citations(cited: DataFrame, allowed: DataFrame, key: str = "answer_id") -> DataFrame:
     """(key, invented, valid): citations outside and inside the allowed chunks."""
     on = [key, "source", "chunk"]
-    marked = cited.distinct().join(allowed.select(*on).distinct().withColumn("_ok", F.lit(1)), on, "left")
-    return marked.groupBy(key).agg(F.count_if(F.col("_ok").isNull()).alias("invented"), F.count_if(F.col("_ok").isNotNull()).alias("valid"))
+    both = cited.select(*on, F.lit(True).alias("_cited"), F.lit(False).alias("_ok")).unionByName(allowed.select(*on, F.lit(False).alias("_cited"), F.lit(True).alias("_ok")))
+    known = F.col(key).isNotNull() & F.col("source").isNotNull() & F.col("chunk").isNotNull()  # a citation with a null is none of the allowed
+    marked = both.groupBy(*on).agg(F.bool_or("_cited").alias("_cited"), (F.bool_or("_ok") & known).alias("_ok")).where("_cited")
+    return marked.groupBy(key).agg(F.count_if(~F.col("_ok")).alias("invented"), F.count_if("_ok").alias("valid"))
 
 
 def accept_revision(before: DataFrame, after: DataFrame, key: str, counters: list[str]) -> DataFrame:
