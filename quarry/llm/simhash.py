@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import jaccard, words
-from quarry.llm.graph import connected_components
+from quarry.llm.graph import connected_components, stars
 from quarry.llm.scratch import importable, release, stored, width
 
 SEED = 42
@@ -196,7 +196,7 @@ def _search(radius: int, keys: int):
 
     def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
         u, v = linked(cols[:keys], np.stack(cols[keys + 1 :], axis=1).view(np.uint64), radius)
-        return pa.RecordBatch.from_arrays([pa.array(cols[keys][u]), pa.array(cols[keys][v])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(cols[keys][u], cols[keys][v])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
