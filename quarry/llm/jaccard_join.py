@@ -16,6 +16,7 @@ from any pivot, so pivots alone can't cut the space of all texts. The regions co
    stay only in the window of the triangle inequality. What is left of a large region is cut again: members are
    measured to several pivots, belong to the cell of the nearest, and are copied to each other cell
    whose pivot is at most two radii farther. Regions that hold the same members are one.
+   Before that, sets in large regions are dealt anew by their rarest shingles, of which linked sets share one.
 3. *Leaves.* Regions of bounded size are compared in one task through an index of their shingles. Before sets are moved, sketches are: the
    parities of the numbers of shingles in classes differ in no more places than the sets, so pairs that they put beyond the radius are no links. A region that
    pivots don't cut (its members are all equally far from each other) is dealt to blocks that meet in twos.
@@ -43,12 +44,14 @@ from quarry.llm.scratch import importable, release, stored, width
 
 #: Members and shingles of a region that one task compares; a larger one is cut further, so the result does not depend on them.
 LEAF, LEAF_SIZE = 256, 1 << 20
-#: Pivots that each region is measured to, one after the other, between two looks at what is connected; and looks before what is left is cut or compared.
-STARS, TURNS = 2, 2
+#: Pivots that each region is measured to, one after the other, before a look at what is connected.
+STARS = 2
+#: A shingle is frequent if a sample of one set in ``DRAWN`` of those in large regions has it ``OFTEN`` times. It decides which regions sets get, not what is found.
+DRAWN, OFTEN = 32, 4
 #: Pivots of a region that is cut, at most; the share of its pairs that its cells may have for the cut to be worth while.
 PIVOTS, CUT = 64, 0.5
-#: Rows that are broadcast at most, some ids each; leaves of members that regions with common members may have together.
-FEW_ROWS, MERGED = 1 << 18, 16
+#: Rows that are broadcast at most, some ids each; leaves of members that regions with common members may have together, and shingles from which on they are made one.
+FEW_ROWS, MERGED, MERGE_SIZE = 1 << 16, 16, 1 << 25
 #: A key is salted if a sample of one document in ``SAMPLE`` has it ``HOT`` times. It decides where rows go, not what is found.
 SAMPLE, HOT, SALTS = 256, 32, 64
 #: Bits of the map that tells which documents are read a second time; a full map only makes more of them be read.
@@ -189,6 +192,31 @@ def _chosen(bitmap: np.ndarray, shingle: int):
     return run
 
 
+def _rarest(often: tuple[np.ndarray, np.ndarray], percent: int):
+    """(key, node, n) of sets (node, n, items): those of a set's shingles, the rarest first, of which sets that link share one at least.
+
+    The order is the same for all sets: places in ``often``, sorted values and their ranks, others before them.
+    """
+    values, ranks = often
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b, keys = whole.slice(at, 512), [np.zeros(0, np.uint64)]
+                for items in b.column(2):
+                    g = items.values.to_numpy().view(np.uint64)
+                    rank = np.zeros(len(g), np.int64)
+                    if len(values):
+                        place = np.minimum(np.searchsorted(values, g), len(values) - 1)
+                        rank = np.where(values[place] == g, ranks[place], 0)
+                    keys.append(g[np.lexsort((g, rank))[: len(g) + 1 + (-percent * len(g)) // 100]])
+                many = np.array([len(k) for k in keys[1:]], np.int64)
+                cols = [pa.array(np.repeat(b.column(i).to_numpy(), many)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(words.mixed(np.concatenate(keys) ^ _K[1]).view(np.int64)), *cols], names=["key", "node", "n"])
+
+    return run
+
+
 def _possible(percent: int):
     """Of rows (region.., node, part, n, bits), a region after the other, those that by their sketches may link with one of another part."""
 
@@ -325,10 +353,16 @@ class _Space:
         return self.kept(self.outside(cells).drop("near"), "join-cells"), regions.join(useful, "key", "left_anti")
 
     def blocks(self, regions: DataFrame, *columns: str) -> DataFrame:
-        """``columns`` of ``regions(key, node, m, total, ..)`` with i and j: a small region is one block, members of a large one meet in twos of blocks."""
+        """``columns`` of ``regions(key, node, m, total, ..)`` with i and j: a small region is one block, members of a large one meet in twos of blocks.
+
+        Where ``main`` is given, its members needn't meet each other: each is in one block, and the few others are in all.
+        """
         count = F.when(_small(), 1).otherwise(F.greatest(F.ceil(2 * F.col("m") / LEAF), F.ceil(2 * F.col("total") / LEAF_SIZE)).cast("int"))
         mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
         meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+        if "main" in regions.columns:
+            own, each = F.array(F.struct(mine.alias("i"), mine.alias("j"))), F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(j.alias("i"), j.alias("j")))
+            meets = F.when(F.col("main").isNull(), meets).when(F.col("part") == F.col("main"), own).otherwise(each)
         return regions.withColumn("k", count).select(*columns, F.explode(meets).alias("c")).select(*columns, "c.i", "c.j")
 
     def dealt(self, regions: DataFrame) -> DataFrame:
@@ -343,6 +377,8 @@ class _Space:
         if possible.isEmpty():
             return
         left = possible.join(self.sets.select("node", "n"), "node")
+        if left.agg(F.sum("n")).first()[0] <= MERGE_SIZE:
+            return self.linked(possible)
         firsts = left.groupBy("key", "i", "j").agg(F.min("node").alias("first"))
         group = connected_components(left.join(firsts, ["key", "i", "j"]).select(F.col("node").alias("u"), F.col("first").alias("v")))
         one = left.select("node", "n").distinct().join(group, "node").select(F.col("component").alias("key"), "node", "n")
@@ -351,6 +387,10 @@ class _Space:
         apart = left.join(few.select("node"), "node", "left_anti").select("key", "i", "j", "node")
         rows = self.kept(self.blocks(few, "key", "node").unionByName(apart), "join-leaves")
         release(*group._reads)
+        self.linked(rows)
+
+    def linked(self, rows: DataFrame) -> None:
+        """Links of ``rows(key, i, j, node)``, a block being what one task compares."""
         near = self.beside(rows, "node").select("key", "i", "j", "node", "items")
         near = near.repartition(width(near.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         self.links.append(self.kept(near.mapInArrow(_leaf(self.percent / 100), "u long, v long"), "join-links"))
@@ -361,29 +401,58 @@ class _Space:
             out = out.unionByName(x)
         return out
 
-    def parted(self, regions: DataFrame) -> DataFrame:
-        """``regions`` with ``part``, a node that each member is known to be connected with: the least within two steps. Regions of one part are done."""
-        links = self.found()
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        once = self.kept(both.groupBy("u").agg(F.least("u", F.min("v")).alias("part")), "join-near")
-        twice = once.join(once.select(F.col("u").alias("part"), F.col("part").alias("next")), "part").select(F.col("u").alias("node"), F.col("next").alias("part"))
-        named = regions.drop("near", "m", "total").join(twice, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    def parted(self, regions: DataFrame, steps: int = 2) -> DataFrame:
+        """``regions`` with ``part``, a node that each member is known to be connected with: the least within two steps, or of all. Regions of one part are done."""
+        links, known = self.found(), None
+        if steps == 2:
+            both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            once = self.kept(both.groupBy("u").agg(F.least("u", F.min("v")).alias("part")), "join-near")
+            parts = once.join(once.select(F.col("u").alias("part"), F.col("part").alias("next")), "part").select(F.col("u").alias("node"), F.col("next").alias("part"))
+        else:
+            known = connected_components(links)
+            parts = known.select("node", F.col("component").alias("part"))
+        named = regions.drop("near", "m", "total", "part").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
         several = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-        return self.kept(_different(named.join(several, "key")), "join-parted")
+        out = self.kept(_different(named.join(several, "key")), "join-parted")
+        release(*(known._reads if known else ()))
+        return out
+
+    def told(self, regions: DataFrame) -> DataFrame:
+        """``regions(key, node, n, part, m, total)`` with ``main``, the largest part of a region if few members are outside it, else null."""
+        sizes = regions.groupBy("key", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        sizes = sizes.groupBy("key").agg(F.max_by("part", "c").alias("main"), (F.sum("c") - F.max("c")).alias("others"), (F.sum("s") - F.max_by("s", "c")).alias("size"))
+        few = (F.col("others") <= LEAF // 2) & (F.col("size") <= LEAF_SIZE // 2)
+        return self.kept(regions.join(sizes.select("key", F.when(few, F.col("main")).alias("main")), "key"), "join-told")
+
+    def rarest(self, regions: DataFrame) -> DataFrame:
+        """Large ``regions(key, node, ..)`` dealt anew, by the rarest shingles of their members: (key, node, n, m, total).
+
+        Two linked sets share 0.85 of each one's shingles, so in any order of all shingles one of the first 0.15 of each; frequent ones, such as
+        those of a common passage, come last. A region of texts that share nothing else thus falls apart without looking at its pairs.
+        """
+        nodes = self.kept(regions.select("node").distinct(), "join-crowded")
+        members = self.beside(nodes, "node")
+        drawn = members.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(DRAWN)) == 0).select(F.explode("items").alias("x"))
+        often = drawn.groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "x").limit(FEW_ROWS).toArrow()
+        values = often["x"].to_numpy().view(np.uint64)
+        order = np.argsort(values)
+        table = values[order], often["c"].to_numpy()[order]
+        dealt = self.kept(members.select("node", "n", "items").mapInArrow(_rarest(table, self.percent), "key long, node long, n long"), "join-rarest")
+        return self.kept(_different(dealt), "join-anew")
 
     def joined(self, regions: DataFrame) -> DataFrame:
-        """All links that are needed for the components of ``regions(key, node, n)``."""
-        left, level = regions, 0
-        for turn in range(TURNS):
-            left = left.select("key", "node", "n", F.lit(False).alias("near"))
-            for _ in range(STARS):
-                left = self.star(left)
-                if left.isEmpty():
-                    return self.found()
-            left = self.parted(left)
-            if turn < TURNS - 1:  # of small regions, those go on that may still have a link between their parts
-                few = self.dealt(left.where(_small())).select("key", "node").join(self.sets.select("node", "n"), "node")
-                left = few.select("key", "node", "n").unionByName(left.where(~_small()).select("key", "node", "n"))
+        """All links that are needed for the components of ``regions(key, node, n, m, total)``."""
+        large = regions.where(~_small())
+        if not large.isEmpty():
+            regions = regions.where(_small()).unionByName(self.rarest(large))
+        few = self.dealt(regions.where(_small()).withColumn("part", F.col("node"))).select("key", "node").join(self.sets.select("node", "n"), "node")
+        left, level = few.select("key", "node", "n").unionByName(regions.where(~_small()).select("key", "node", "n")), 0
+        left = left.withColumn("near", F.lit(False))
+        for _ in range(STARS):
+            left = self.star(left)
+            if left.isEmpty():
+                return self.found()
+        left = self.parted(left)
         while not left.isEmpty():
             self.compared(left.where(_small()))
             large = left.where(~_small())
@@ -391,7 +460,8 @@ class _Space:
                 break
             level += 1
             left, whole = self.cells(large, level)
-            self.compared(whole)
+            if not whole.isEmpty():  # its members were measured to many pivots: most are connected by now
+                self.compared(self.told(self.parted(whole, steps=0)))
         return self.found()
 
 
@@ -441,7 +511,7 @@ def classes(docs: DataFrame, percent: int = 85, shingle: int = 4, id_col: str =
     nodes = stored(scanned.where("n > 0").groupBy(*same).agg(F.min("at").alias("node"), F.min("doc_id").alias("first")), "join-nodes")
     met = _regions(scanned)
     placed = met.join(scanned.select("at", *same), "at").join(nodes, same).select("key", "node", "n").distinct()
-    regions = stored(_different(stored_placed := stored(placed, "join-placed")).select("key", "node", "n"), "join-different")
+    regions = stored(_different(stored_placed := stored(placed, "join-placed")), "join-different")
     release(met, stored_placed)
     wanted = nodes.join(regions.select("node").distinct(), "node", "left_semi")
     sets = stored(_sets(rows, wanted, shingle), "join-sets")
