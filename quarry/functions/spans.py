@@ -13,20 +13,45 @@ def bound(value: Column, put: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), put), F.lit(0))
 
 
+#: Marks put around what is found: behind a match, and between the parts of one.
+END, PART = "\x01", "\x02"
+
+
+def cut(text: Column, pattern: str | Column, groups: int = 0) -> Column:
+    """struct<found, rest>: ``matches`` and ``tail`` by one search.
+
+    A search is dear and a split by one character is cheap, so the matches are marked and the marked text is split. A text that holds a mark itself is
+    searched once for what stands between the matches and once for each group.
+    """
+    regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    fields = lambda i, before, group: F.struct(i.alias("at"), before.alias("before"), *[group(k).alias(f"g{k}") for k in range(groups + 1)])
+
+    def marked(body: Column) -> Column:
+        pieces = F.split(F.regexp_replace(body, regex, F.lit("".join(f"{PART}${k}" for k in range(groups + 1)) + END)), END, -1)
+        parts = lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: F.split(x, PART, -1))
+        found = lambda p: F.transform(parts(p), lambda x, i: fields(i, F.get(x, F.lit(0)), lambda k: F.get(x, F.lit(k + 1))))
+        return bound(pieces, lambda p: F.struct(found(p).alias("found"), F.element_at(p, -1).alias("rest")))
+
+    def searched(body: Column) -> Column:
+        every = [F.regexp_extract_all(body, regex, F.lit(k)).alias(f"g{k}") for k in range(groups + 1)]
+        found = lambda s: F.transform(s["g0"], lambda x, i: fields(i, F.get(s["before"], i), lambda k: F.get(s[f"g{k}"], i)))
+        return bound(F.struct(F.split(body, regex, -1).alias("before"), *every), lambda s: F.struct(found(s).alias("found"), F.element_at(s["before"], -1).alias("rest")))
+
+    holds = lambda body: F.contains(body, F.lit(END)) | F.contains(body, F.lit(PART))
+    return bound(F.coalesce(text, F.lit("")), lambda body: F.when(holds(body), searched(body)).otherwise(marked(body)))
+
+
 def matches(text: Column, pattern: str | Column, groups: int = 0) -> Column:
     """array<struct<at, before, g0, g1, ..>>: each match with its number, the text between it and the match before, and its groups.
 
     A group that takes no part is empty. ``tail`` is what follows the last match. A null text has no matches.
     """
-    body = F.coalesce(text, F.lit(""))
-    found = [F.regexp_extract_all(body, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(groups + 1)]
-    part = lambda s, i: F.struct(i.alias("at"), F.get(s["before"], i).alias("before"), *[F.get(s[f"g{k}"], i).alias(f"g{k}") for k in range(groups + 1)])
-    return bound(F.struct(F.split(body, pattern, -1).alias("before"), *found), lambda s: F.transform(s["g0"], lambda x, i: part(s, i)))
+    return cut(text, pattern, groups)["found"]
 
 
 def tail(text: Column, pattern: str) -> Column:
     """What follows the last match; the whole text if there is none."""
-    return F.element_at(F.split(F.coalesce(text, F.lit("")), pattern, -1), -1)
+    return cut(text, pattern)["rest"]
 
 
 def placed(text: Column, pattern: str | Column, groups: int = 0) -> Column:
@@ -46,5 +71,5 @@ def placed(text: Column, pattern: str | Column, groups: int = 0) -> Column:
 
 def rewritten(text: Column, pattern: str, groups: int, put) -> Column:
     """The text with each match replaced by ``put(match)``, a Column."""
-    parts = F.transform(matches(text, pattern, groups), lambda m: F.concat(m["before"], put(m)))
-    return F.concat(F.array_join(parts, ""), tail(text, pattern))
+    parts = lambda c: F.transform(c["found"], lambda m: F.concat(m["before"], put(m)))
+    return bound(cut(text, pattern, groups), lambda c: F.concat(F.array_join(parts(c), ""), c["rest"]))

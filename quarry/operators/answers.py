@@ -93,7 +93,7 @@ def repaired_references(answers: DataFrame, allowed: DataFrame, key: str = "answ
     ``allowed(key, place, source, chunk)``, places from 1. A reference is repaired only where the chunk it names is the one at its place;
     others stay as they are and count as skipped. Of several chunks at a place the first by number counts. A key without allowed chunks keeps its answer.
     """
-    rows = answers.select(key, spans.matches(F.col("answer"), REFERENCE, 4).alias("m"), spans.tail(F.col("answer"), REFERENCE).alias("rest"))
+    rows = answers.select(key, spans.cut(F.col("answer"), REFERENCE, 4).alias("c")).select(key, F.col("c.found").alias("m"), "c.rest")
     each = rows.select(key, "rest", F.explode_outer("m").alias("m")).select(key, "rest", "m", F.col("m.g2").try_cast("int").alias("place"), F.col("m.g3").try_cast("int").alias("chunk"))
     first = allowed.groupBy(key, "place").agg(F.min(F.struct("chunk", "source")).alias("x")).select(key, "place", "x.chunk", F.col("x.source").alias("_source"))
     at = each.join(first, [key, "place", "chunk"], "left")
